@@ -5,11 +5,19 @@ from __future__ import annotations
 import corpus_pipeline
 
 from granary.llm.decontaminate import OP1_SQL, op1_decontaminate
+from granary.llm.licenses import op4_licenses
 from granary.llm.mixing import op7_mixing
+from granary.llm.neighbours import op5_neighbours
 from granary.llm.quality import op9_quality
 from granary.llm.simhash import op6_simhash
 from granary.llm.substrings import OP10_SQL, op10_substrings
+from granary.llm.toxicity import op2_toxicity
+from granary.llm.urls import op8_urls
+from granary.llm.warc import OP3_SQL, op3_warc
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op6_simhash, op7_mixing, op9_quality, op10_substrings)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontaminate, op2_toxicity, op3_warc, op4_licenses, op5_neighbours, op6_simhash, op7_mixing, op8_urls, op9_quality, op10_substrings)
+}
 QUERIES["pipeline"] = corpus_pipeline.run
-SQL = {"op1_decontaminate": OP1_SQL, "op10_substrings": OP10_SQL}
+SQL = {"op1_decontaminate": OP1_SQL, "op3_warc": OP3_SQL, "op10_substrings": OP10_SQL}

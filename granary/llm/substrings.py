@@ -19,7 +19,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import WordIds, rolling, space_words, table
@@ -118,23 +118,39 @@ def digests(words: list[bytes], starts, n: int) -> list[bytes]:
     return [xxhash.xxh3_128_digest(b" ".join(words[i : i + n])) for i in starts]
 
 
-def _windows(shared, n: int):
+def _windows(shared, n: int, chunk: int = 60_000):
+    """Rows (doc_id, w, known): what the documents ask about. Of documents met together, only the smallest asks about
+    a window; the others already know that it repeats, so no window has more askers than there are such groups."""
+
     def run(batches):
         sketch, ids_of = Sketch(shared.value), WordIds()
+
+        def told(group, kind):
+            first: dict[bytes, int] = {}
+            for d, own in group:
+                for w in own:
+                    if first.setdefault(w, d) > d:
+                        first[w] = d
+            docs, ws, known = [], [], []
+            for d, own in group:
+                docs += [d] * len(own)
+                ws += own
+                known += [first[w] < d for w in own]
+            return pa.RecordBatch.from_arrays([pa.array(docs, kind), pa.array(ws, pa.binary()), pa.array(known, pa.bool_())], names=["doc_id", "w", "known"])
+
         for b in batches:
-            docs, out, got = [], [], 0
+            group, size = [], 0
             for d, t in zip(b[0], b[1]):
                 if not d.is_valid or len(words := space_words(t.as_py())) < n:
                     continue
-                own = set(digests(words, sketch.repeated(anchors(ids_of(words), n)), n))
-                docs.append(np.full(len(own), d.as_py(), object))
-                out += own
-                got += len(own)
-                if got > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs), b.schema[0].type), pa.array(out, pa.binary())], names=["doc_id", "w"])
-                    docs, out, got = [], [], 0
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs), b.schema[0].type), pa.array(out, pa.binary())], names=["doc_id", "w"])
+                if own := set(digests(words, sketch.repeated(anchors(ids_of(words), n)), n)):
+                    group.append((d.as_py(), own))
+                    size += len(own)
+                if size > chunk:
+                    yield told(group, b.schema[0].type)
+                    group, size = [], 0
+            if group:
+                yield told(group, b.schema[0].type)
 
     return run
 
@@ -147,9 +163,11 @@ def repeated_windows(docs: DataFrame, n: int = 13) -> DataFrame:
     counted = texts.mapInArrow(_counts(n), "block int, once binary, more binary")
     merged = counted.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block int, bits binary")
     shared = spark.sparkContext.broadcast([tuple(r) for r in merged.collect()])  # at most DEPTH * 2**SKETCH_BITS bits
-    found = texts.mapInArrow(_windows(shared, n), f"doc_id {kind}, w binary")
-    firsts = found.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "first")
-    later = found.join(firsts, "w").where("first < doc_id")
+    found = texts.mapInArrow(_windows(shared, n), f"doc_id {kind}, w binary, known boolean")
+    # Rows that know are dealt by their document, so that a frequent window doesn't gather them.
+    spread = found.withColumn("by", F.when(F.col("known"), F.col("doc_id")))
+    first = F.min("doc_id").over(Window.partitionBy("w", "by"))
+    later = spread.withColumn("first", first).where("known OR first < doc_id")
     return later.groupBy("doc_id").agg(F.collect_set("w").alias("windows"))
 
 
