@@ -2,8 +2,8 @@
 
 A text's features are the distinct n-grams (GRAMS bytes long, ASCII lower case, spaces folded, padded with a space at
 both ends), hashed to 2**BITS places. r = log((p / |p|) / (q / |q|)) of smoothed counts in toxic and other texts
-scales them; a logistic fit with L2 weighs the scaled features. Words that mark toxicity get a large ratio, and the
-bulk of a long text about none, so whole texts of any length can be scored.
+scales them; a logistic fit with L2 weighs the scaled features. Only features whose shares in the two classes differ by
+LEAST_Z standard errors take part, so the bulk of a long text adds nothing and whole texts of any length can be scored.
 
 The fit takes at most MOST labelled documents (by a hash of the id); scoring reads whole texts. Null and empty texts
 have no n-gram and score by the intercept. With no labelled text, or one class only, every score is the (smoothed) share.
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import in_fold, rolling, table, training_rows
 
-MOST, BITS, GRAMS, BASE = 6000, 18, (4, 6), 0x9E3779B97F4A7C15
+MOST, BITS, GRAMS, BASE = 6000, 20, (4, 6), 0x9E3779B97F4A7C15
+#: A feature counts when its shares in the classes differ by so many standard errors and so many texts have it; the weights' penalty.
+LEAST_Z, LEAST_TEXTS, L2 = 5.0, 4, 1e-3
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 127 else c for c in range(256))
 SPACES = re.compile(rb" +")
 
@@ -39,31 +41,35 @@ def grams(text: str | None) -> np.ndarray:
 
 
 class RatioModel:
-    def fit(self, docs: list[tuple[np.ndarray, int]], steps: int = 60) -> RatioModel:
-        y = np.array([d[1] for d in docs], float)
-        share = (y.sum() + 1) / (len(y) + 2)
-        self.w, self.bias = np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share)))
-        if not 0 < y.sum() < len(y):
+    def fit(self, docs: list[tuple[np.ndarray, int]], steps: int = 150) -> RatioModel:
+        y, size = np.array([d[1] for d in docs], float), 1 << BITS
+        ones, zeros = y.sum(), len(y) - y.sum()
+        share = (ones + 1) / (len(y) + 2)
+        self.w, self.bias = np.zeros(size, np.float32), float(np.log(share / (1 - share)))
+        if not ones or not zeros:
             return self
-        sizes = np.array([len(d[0]) for d in docs])
-        x, of = np.concatenate([d[0] for d in docs]), np.repeat(np.arange(len(docs)), sizes)
-        size = 1 << BITS
-        pos = np.bincount(x, y[of], size) + 1
-        neg = np.bincount(x, 1 - y[of], size) + 1
-        r = np.log((pos / (y.sum() + 2)) / (neg / (len(y) - y.sum() + 2)))
-        # A feature in under four documents says nothing sure.
-        r[pos + neg < 6] = 0
-        keep = r[x] != 0
-        x, of = x[keep], of[keep]
+        pos, neg = np.zeros(size), np.zeros(size)
+        for f, label in docs:
+            (pos if label else neg)[f] += 1
+        # Features whose shares in the two classes differ by chance alone add noise with a text's length: they go.
+        both = (pos + neg) / len(y)
+        z = (pos / ones - neg / zeros) / np.sqrt(both * (1 - both) * (1 / ones + 1 / zeros) + 1e-12)
+        kept = np.flatnonzero((np.abs(z) >= LEAST_Z) & (pos + neg >= LEAST_TEXTS))
+        r = np.log((pos[kept] + 1) / (ones + 2)) - np.log((neg[kept] + 1) / (zeros + 2))
+        place = np.full(size, -1, np.int32)
+        place[kept] = np.arange(len(kept))
+        own = [(p := place[f])[p >= 0] for f, _ in docs]
+        x, of = np.concatenate(own), np.repeat(np.arange(len(docs)), [len(p) for p in own])
         scale = r[x]
-        w, b, m, v = np.zeros(size), self.bias, np.zeros(size + 1), np.zeros(size + 1)
+        w, b, m, v = np.zeros(len(kept)), self.bias, np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
         for t in range(1, steps + 1):
             p = 1 / (1 + np.exp(-np.clip(np.bincount(of, w[x] * scale, len(y)) + b, -50, 50)))
-            g = np.append(np.bincount(x, (p - y)[of] * scale, size) / len(y) + 1e-4 * w, (p - y).mean())
+            g = np.append(np.bincount(x, (p - y)[of] * scale, len(kept)) / len(y) + L2 * w, (p - y).mean())
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-            w, b = w - step[:-1], b - step[-1]
-        self.w, self.bias = (w * r).astype(np.float32), float(b)
+            step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+            # A weight below zero would turn a feature against its own ratio.
+            w, b = np.maximum(w - step[:-1], 0), b - step[-1]
+        self.w[kept], self.bias = w * r, float(b)
         return self
 
     def score(self, text: str | None) -> float:
@@ -79,6 +85,7 @@ def _features(batches):
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST) -> RatioModel:
     rows = training_rows(docs, labels, "toxic", 4, 2, most).mapInArrow(_features, "f binary, y int").collect()
     parsed = sorted((bytes(r.f), int(r.y > 0)) for r in rows)
+    del rows
     return RatioModel().fit([(np.frombuffer(f, np.int32), y) for f, y in parsed])
 
 
