@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import strip, token_count
+from granary.functions.text import SPACE, chunk_id, strip, token_count, windows
 
 
 def line_blocks(docs: DataFrame) -> DataFrame:
@@ -41,3 +41,67 @@ def merge_small(parts: DataFrame, least: int = 100, most: int = 512) -> DataFram
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The old rows that no new row replaces, and the new rows; a repeated run changes nothing."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def section_paths(blocks: DataFrame) -> DataFrame:
+    """(doc_id, section, path): a numbered heading of depth d keeps the root and d - 1 levels of the path before it."""
+    heads = F.transform(F.array_sort(F.collect_list(F.when(F.col("heading"), F.struct("block_ord", "text")))), lambda x: strip(x["text"]))
+
+    def step(acc, head):
+        last, number = F.element_at(acc, -1), F.regexp_extract(head, rf"(?U)^(\d+(?:\.\d+)*){SPACE}", 1)
+        depth = F.when(number == "", 1).otherwise(F.size(F.split(number, r"\.")))
+        return F.concat(acc, F.array(F.concat(F.slice(last, F.lit(1), depth), F.array(head))))
+
+    folded = blocks.groupBy("doc_id").agg(heads.alias("heads"))
+    root = F.array(F.array(F.lit("root")))
+    return folded.select("doc_id", F.posexplode(F.aggregate("heads", root, step)).alias("section", "path")).withColumn("section", F.col("section").cast("long"))
+
+
+def fold(parts: DataFrame, takes) -> DataFrame:
+    """Rows (doc_id, ord, path, text, ...) in order of ord; a chunk takes the next part while takes(chunk, part) holds and
+    keeps its own other fields. Returns (doc_id, chunk, fields)."""
+    names = [c for c in parts.columns if c != "doc_id"]
+    rows = F.array_sort(F.collect_list(F.struct("ord", *[c for c in names if c != "ord"])))
+    ordered = parts.groupBy("doc_id").agg(rows.alias("rows"))
+
+    def step(acc, x):
+        last = F.element_at(acc, -1)
+        joined = last.withField("text", F.concat(last["text"], F.lit(" "), x["text"]))
+        both = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))
+        return F.when(F.size(acc) == 0, F.array(x)).when(takes(last, x), both).otherwise(F.concat(acc, F.array(x)))
+
+    kind = ordered.schema["rows"].dataType
+    none = F.filter("rows", lambda x: F.lit(False)).cast(kind)
+    got = ordered.select("doc_id", F.aggregate("rows", none, step).alias("rows"))
+    return got.select("doc_id", F.posexplode("rows").alias("chunk", "r")).select("doc_id", "chunk", "r.*")
+
+
+def chunk_documents(blocks: DataFrame, most: int = 512, overlap: int = 64, least: int = 100) -> DataFrame:
+    """Rows (doc_id, block_ord, text, heading) to chunks (doc_id, chunk, chunk_id, path, text): windows of sections; a short
+    window joins the one before it if both have the same path; then small chunks take their successors."""
+    body = sections(blocks).withColumn("section", F.coalesce("section", F.lit(0).cast("long"))).join(section_paths(blocks), ["doc_id", "section"])
+    cut = F.when(token_count(F.col("text")) <= most, F.array("text")).otherwise(windows(F.split(strip(F.col("text")), rf"(?U){SPACE}+"), int(most * 0.8), int(overlap * 0.8)))
+    parts = body.select("doc_id", "section", "path", F.posexplode(cut).alias("part", "text")).select("doc_id", F.struct("section", "part").alias("ord"), "path", "text")
+    tails = fold(parts, lambda last, x: (token_count(x["text"]) < least) & (last["path"] == x["path"]))
+    named = tails.select("doc_id", F.col("chunk").alias("ord"), chunk_id(F.col("doc_id").cast("string"), F.col("path"), F.col("chunk")).alias("chunk_id"), "path", "text")
+    small = fold(named, lambda last, x: (token_count(last["text"]) < least) & (token_count(last["text"]) + token_count(x["text"]) <= most))
+    return small.select("doc_id", "chunk", "chunk_id", "path", "text")
+
+
+def fixed_windows(docs: DataFrame, size: int = 800, overlap: int = 150, least: int = 80) -> DataFrame:
+    """(doc_id, chunk, text): windows of so many characters, stripped, those longer than ``least``."""
+    n, step = F.length("text"), size - overlap
+    count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1)
+    every = F.transform(F.sequence(F.lit(0), count - 1), lambda i: strip(F.substring(F.col("text"), i * step + 1, F.lit(size))))
+    return docs.select("doc_id", F.posexplode(F.filter(every, lambda t: F.length(t) > least)).alias("chunk", "text"))
+
+
+def chunk_stats(chunks: DataFrame) -> DataFrame:
+    """(doc_id, n, mean_tokens): a document's chunks and their mean size, rounded down."""
+    tokens = token_count(F.col("text"))
+    return chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.floor(F.sum(tokens) / F.count("*")).alias("mean_tokens"))
+
+
+def median_size(blocks: DataFrame, key: str, size: str) -> DataFrame:
+    """A document's median font size over known (positive) sizes; 0 without any."""
+    return blocks.groupBy(key).agg(F.coalesce(F.median(F.when(F.col(size) > 0, F.col(size))), F.lit(0.0)).alias("median_size"))

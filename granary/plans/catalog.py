@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.operators import chunking as C
+from granary.operators import harness as H
 from granary.operators import metrics as M
-from granary.operators.retrieval import cosine_topk
+from granary.operators import serving as S
+from granary.operators.retrieval import cosine_topk, rerank
 from granary.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -170,3 +172,83 @@ def platt_fit(spark, sf_dir):
 @query("SELECT doc_id, round(1 / (1 + exp(-(2.0 * (n_chars % 101) / 100 - 1.0))), 6) AS probability FROM documents")
 def platt_predict(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(T.platt(F.col("n_chars") % 101, 2.0, -1.0), 6).alias("probability"))
+
+
+@query("""WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(CAST(doc_id AS VARCHAR))) AS x FROM documents)
+SELECT doc_id, concat(substr(x, 1, 8), '-', substr(x, 9, 4), '-5', substr(x, 14, 3), '-', substr('89ab', CAST(CAST('0x' || substr(x, 17, 1) AS INTEGER) % 4 + 1 AS INTEGER), 1), substr(x, 18, 3), '-', substr(x, 21, 12)) AS point_id FROM h""")
+def point_ids(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.point_id(F.col("doc_id")).alias("point_id"))
+
+
+@query(
+    NEAR.format(on="q.vec_id < 20")
+    + ", k AS (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY vec_id % 7 DESC, rank) AS INTEGER) AS rerank FROM r WHERE rank <= 20) SELECT * FROM k WHERE rerank <= 5"
+)
+def reranked(spark, sf_dir):
+    return rerank(topk_cosine(spark, sf_dir), (F.col("vec_id") % 7).cast("double")).select("query_id", "vec_id", "rerank")
+
+
+@query(
+    """WITH n AS (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) <= 800 THEN 1 ELSE CAST(ceil((length(text) - 800) / 650.0) AS BIGINT) + 1 END)) AS i FROM documents),
+w AS (SELECT doc_id, i, regexp_replace(substr(text, i * 650 + 1, 800), '^\\s+|\\s+$', '', 'g') AS text FROM n)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk, text FROM w WHERE length(text) > 80"""
+)
+def fixed_windows(spark, sf_dir):
+    return C.fixed_windows(table(spark, sf_dir, "documents"))
+
+
+@query("SELECT doc_id, count(*) AS n, CAST(floor(sum(greatest(1, length(trim(t)) // 4)) / count(*)) AS BIGINT) AS mean_tokens FROM documents, unnest(string_split(text, chr(10))) AS u(t) WHERE trim(t) <> '' GROUP BY doc_id")
+def chunk_stats(spark, sf_dir):
+    return C.chunk_stats(C.line_blocks(table(spark, sf_dir, "documents")))
+
+
+@query("SELECT p_brand, coalesce(CAST(median(p_size) FILTER (p_size > 20) AS DOUBLE), 0.0) AS median_size FROM part GROUP BY p_brand")
+def median_size(spark, sf_dir):
+    return C.median_size(table(spark, sf_dir, "part").withColumn("size", F.when(F.col("p_size") > 20, F.col("p_size").cast("double"))), "p_brand", "size")
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    lines = C.line_blocks(table(spark, sf_dir, "documents"))
+    return C.chunk_documents(lines.withColumn("heading", T.is_heading(F.col("text"), F.lit(0.0), F.lit(0.0))))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 7 > 1 AND doc_id % 5 < 4 THEN 'synthesis' ELSE 'lookup' END AS intent, doc_id % 7 > 1 AND doc_id % 3 = 0 AS is_ood,
+  CASE WHEN doc_id % 7 > 1 THEN (doc_id % 100) / 100.0::DOUBLE ELSE 0.0 END AS confidence, CASE WHEN doc_id % 7 > 1 AND doc_id % 2 = 0 THEN source END AS scope FROM documents"""
+)
+def routes(spark, sf_dir):
+    body = "concat('Sure: {\"intent\": \"', CASE WHEN doc_id % 5 < 4 THEN 'synthesis' ELSE 'other' END, '\", \"is_ood\": ', doc_id % 3 = 0, ', \"confidence\": ', (doc_id % 100) / 100D, ', \"scope\": [', CASE WHEN doc_id % 2 = 0 THEN concat('\"', source, '\"') ELSE '' END, ']}', CASE doc_id % 7 WHEN 0 THEN ' junk {}' WHEN 1 THEN ',}' ELSE ' ok' END)"
+    got = table(spark, sf_dir, "documents").select("doc_id", S.route(F.expr(body)).alias("r"))
+    return got.select("doc_id", "r.intent", "r.is_ood", "r.confidence", F.array_join("r.scope", ",").alias("scope"))
+
+
+@query(
+    NEAR.format(on="q.vec_id < 20")
+    + """SELECT query_id, 'Context: ' || string_agg('[' || rank || '] (v' || vec_id || ' | a > {question})' || chr(10) || score_text, chr(10) || chr(10) ORDER BY rank) || ' Question: q' || query_id AS prompt
+FROM (SELECT *, 'text ' || vec_id AS score_text FROM r WHERE rank <= 5) GROUP BY query_id"""
+)
+def prompts(spark, sf_dir):
+    near = topk_cosine(spark, sf_dir).where("rank <= 5")
+    rows = near.select("query_id", "rank", F.concat(F.lit("v"), F.col("vec_id")).alias("doc_name"), F.array(F.lit("root"), F.lit("a"), F.lit("{question}")).alias("path"), F.concat(F.lit("text "), F.col("vec_id")).alias("text"))
+    prompt = S.render("Context: {context} Question: {question}", context=F.col("context"), question=F.concat(F.lit("q"), F.col("query_id")))
+    return S.context(rows).select("query_id", prompt.alias("prompt"))
+
+
+@query("SELECT doc_id, CASE WHEN CAST('0x' || substr(sha1(CAST(doc_id AS VARCHAR)), 1, 4) AS INTEGER) % 4 < 2 THEN 'train' WHEN CAST('0x' || substr(sha1(CAST(doc_id AS VARCHAR)), 1, 4) AS INTEGER) % 4 = 2 THEN 'dev' ELSE 'holdout' END AS split FROM documents")
+def splits(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", H.split_of(F.col("doc_id")).alias("split"))
+
+
+@query(
+    """WITH c AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 11 = 0) AS errors, count(*) FILTER (quality = 0) AS n_refused, round(avg(quality), 6) AS recall_5, round(avg((doc_id % 100) / 10.0::DOUBLE) FILTER (doc_id % 11 > 0), 6) AS latency_s FROM labels),
+t AS (SELECT count(*) FILTER (toxic = 1 AND quality = 0) AS tp, count(*) FILTER (toxic = 0 AND quality = 0) AS fp, count(*) FILTER (toxic = 1 AND quality = 1) AS fn, count(*) FILTER (toxic = 0 AND quality = 1) AS tn FROM labels WHERE doc_id % 11 > 0)
+SELECT n, errors, n_refused, recall_5, latency_s, round(2 * tp / (2 * tp + fp + fn), 6) AS ood_f1, round(fp / (fp + tn), 6) AS in_scope_refusal_rate FROM c, t"""
+)
+def run_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").selectExpr(
+        "CASE WHEN toxic = 1 THEN 'ood' ELSE 'factual' END AS category", "CASE WHEN doc_id % 11 = 0 THEN 'failed' END AS error", "quality = 0 AS refused",
+        "CAST(quality AS DOUBLE) AS recall_5", "CAST(quality AS DOUBLE) AS recall_20", "toxic AS faithfulness", "toxic AS relevance", "(doc_id % 100) / 10D AS latency_s",
+    )
+    got = H.summary(rows)
+    return got.select("n", "errors", "n_refused", *[F.round(c, 6).alias(c) for c in ("recall_5", "latency_s", "ood_f1", "in_scope_refusal_rate")])
