@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: The name space for point ids (RFC 4122, DNS) and the intents.
 DNS = "6ba7b8109dad11d180b400c04fd430c8"
 INTENTS = ("lookup", "procedural", "synthesis", "definitional", "ood")
-ROUTE = "intent string, is_ood boolean, confidence double, scope array<string>"
+ROUTE = "intent string, is_ood boolean, ood_confidence double, doc_scope array<string>"
 
 
 def point_id(chunk_id: Column) -> Column:
@@ -23,7 +23,7 @@ def point_id(chunk_id: Column) -> Column:
 
 
 def parse_route(reply: str | None) -> tuple:
-    """A model's reply to (intent, is_ood, confidence, scope): the text from its first to its last brace as strict JSON.
+    """A model's reply to (intent, is_ood, ood_confidence, doc_scope): the text from its first to its last brace as strict JSON.
 
     Replies that are no such object, or have wrong types, take the default route: lookup over all documents."""
     default = ("lookup", False, 0.0, None)
@@ -32,8 +32,8 @@ def parse_route(reply: str | None) -> tuple:
         return default
     try:
         got = json.loads(reply[start : end + 1])
-        confidence = float(got.get("confidence", 0.0))
-        scope = got.get("scope")
+        confidence = float(got.get("ood_confidence", 0.0))
+        scope = got.get("doc_scope")
         if not math.isfinite(confidence) or not isinstance(scope, list | None):
             return default
         intent = got.get("intent")
@@ -43,14 +43,14 @@ def parse_route(reply: str | None) -> tuple:
 
 
 def route(reply: Column) -> Column:
-    """A struct of intent, is_ood, confidence and scope. Spark's own JSON functions accept a tail after the object, so
+    """A struct of intent, is_ood, ood_confidence and doc_scope. Spark's own JSON functions accept a tail after the object, so
     the strict parse is an Arrow function."""
     return F.udf(parse_route, ROUTE, useArrow=True)(reply)
 
 
 def refused_early(routes: DataFrame, least: float = 0.85) -> tuple[DataFrame, DataFrame]:
     """(questions refused without retrieval, the others). An unknown confidence goes on."""
-    out = F.coalesce(F.col("is_ood") & (F.col("confidence") >= least), F.lit(False))
+    out = F.coalesce(F.col("is_ood") & (F.col("ood_confidence") >= least), F.lit(False))
     return routes.where(out), routes.where(~out)
 
 

@@ -218,9 +218,9 @@ def chunk_documents(spark, sf_dir):
   CASE WHEN doc_id % 7 > 1 THEN (doc_id % 100) / 100.0::DOUBLE ELSE 0.0 END AS confidence, CASE WHEN doc_id % 7 > 1 AND doc_id % 2 = 0 THEN source END AS scope FROM documents"""
 )
 def routes(spark, sf_dir):
-    body = "concat('Sure: {\"intent\": \"', CASE WHEN doc_id % 5 < 4 THEN 'synthesis' ELSE 'other' END, '\", \"is_ood\": ', doc_id % 3 = 0, ', \"confidence\": ', (doc_id % 100) / 100D, ', \"scope\": [', CASE WHEN doc_id % 2 = 0 THEN concat('\"', source, '\"') ELSE '' END, ']}', CASE doc_id % 7 WHEN 0 THEN ' junk {}' WHEN 1 THEN ',}' ELSE ' ok' END)"
+    body = "concat('Sure: {\"intent\": \"', CASE WHEN doc_id % 5 < 4 THEN 'synthesis' ELSE 'other' END, '\", \"is_ood\": ', doc_id % 3 = 0, ', \"ood_confidence\": ', (doc_id % 100) / 100D, ', \"doc_scope\": [', CASE WHEN doc_id % 2 = 0 THEN concat('\"', source, '\"') ELSE '' END, ']}', CASE doc_id % 7 WHEN 0 THEN ' junk {}' WHEN 1 THEN ',}' ELSE ' ok' END)"
     got = table(spark, sf_dir, "documents").select("doc_id", S.route(F.expr(body)).alias("r"))
-    return got.select("doc_id", "r.intent", "r.is_ood", "r.confidence", F.array_join("r.scope", ",").alias("scope"))
+    return got.select("doc_id", "r.intent", "r.is_ood", F.col("r.ood_confidence").alias("confidence"), F.array_join("r.doc_scope", ",").alias("scope"))
 
 
 @query(
