@@ -30,34 +30,51 @@ WITH n AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embedding
 s AS (SELECT q.vec_id AS query_id, c.vec_id, q.label = c.label AS hit, round(list_cosine_similarity(q.e, c.e), 6) AS score FROM n q JOIN n c ON {on}),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 """
+#: The queries of the *_whole searches: they grow with the table. Those without it keep to the 20 ids of their SQL.
+EACH_50 = "vec_id % 50 = 0"
 
 
 @query(NEAR.format(on="q.vec_id < 20") + "SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20")
-def topk_cosine(spark, sf_dir):
+def topk_cosine(spark, sf_dir, asked="vec_id < 20"):
     rows = table(spark, sf_dir, "embeddings")
-    return cosine_topk(rows.where("vec_id < 20"), rows, 20)
+    return cosine_topk(rows.where(asked), rows, 20)
+
+
+@query(NEAR.format(on=f"q.{EACH_50}") + "SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20")
+def topk_cosine_whole(spark, sf_dir):
+    return topk_cosine(spark, sf_dir, EACH_50)
 
 
 @query(NEAR.format(on="q.vec_id < 20 AND q.label = c.label") + "SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20")
-def topk_scoped(spark, sf_dir):
+def topk_scoped(spark, sf_dir, asked="vec_id < 20"):
     rows = table(spark, sf_dir, "embeddings")
     scope = F.col("q_scope").isNull() | (F.size("q_scope") == 0) | F.array_contains("q_scope", F.col("label"))
-    return cosine_topk(rows.where("vec_id < 20").withColumn("scope", F.array("label")), rows, 20, scope)
+    return cosine_topk(rows.where(asked).withColumn("scope", F.array("label")), rows, 20, scope)
 
 
-@query(
-    NEAR.format(on="q.vec_id < 20 AND q.vec_id <> c.vec_id")
-    + """, c AS (SELECT query_id, max(CASE WHEN rank <= 5 AND hit THEN 1.0 ELSE 0.0 END) AS recall, count(*) FILTER (rank <= 5 AND hit) / 5.0 AS prec, coalesce(1.0 / min(rank) FILTER (hit), 0.0) AS rr FROM r WHERE rank <= 20 GROUP BY query_id)
+@query(NEAR.format(on=f"q.{EACH_50} AND q.label = c.label") + "SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20")
+def topk_scoped_whole(spark, sf_dir):
+    return topk_scoped(spark, sf_dir, EACH_50)
+
+
+SCORES = """, c AS (SELECT query_id, max(CASE WHEN rank <= 5 AND hit THEN 1.0 ELSE 0.0 END) AS recall, count(*) FILTER (rank <= 5 AND hit) / 5.0 AS prec, coalesce(1.0 / min(rank) FILTER (hit), 0.0) AS rr FROM r WHERE rank <= 20 GROUP BY query_id)
 SELECT round(avg(CAST(recall AS DOUBLE)), 6) AS recall_5, round(avg(CAST(prec AS DOUBLE)), 6) AS precision_5, round(avg(CAST(rr AS DOUBLE)), 6) AS mrr FROM c"""
-)
-def recall_precision_mrr(spark, sf_dir):
+
+
+@query(NEAR.format(on="q.vec_id < 20 AND q.vec_id <> c.vec_id") + SCORES)
+def recall_precision_mrr(spark, sf_dir, asked="vec_id < 20"):
     rows = table(spark, sf_dir, "embeddings")
-    near = cosine_topk(rows.where("vec_id < 20"), rows, 20, F.col("q_vec_id") != F.col("vec_id"))
+    near = cosine_topk(rows.where(asked), rows, 20, F.col("q_vec_id") != F.col("vec_id"))
     label = rows.select(F.col("vec_id").alias("id"), "label")
     truth = near.join(label.select(F.col("id").alias("query_id"), F.col("label").alias("q")), "query_id").join(label, near.vec_id == label.id).withColumn("hit", F.col("q") == F.col("label"))
     return M.retrieval_cases(truth, (5,)).agg(*[F.round(F.avg(c), 6).alias(a) for c, a in (("recall_5", "recall_5"), ("precision_5", "precision_5"), ("rr", "mrr"))])
 
 
+@query(NEAR.format(on=f"q.{EACH_50} AND q.vec_id <> c.vec_id") + SCORES)
+def recall_precision_mrr_whole(spark, sf_dir):
+    return recall_precision_mrr(spark, sf_dir, EACH_50)
+
+
 @query("SELECT doc_id, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens FROM documents")
 def token_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text")).alias("tokens"))
@@ -180,12 +197,17 @@ def point_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.point_id(F.col("doc_id")).alias("point_id"))
 
 
-@query(
-    NEAR.format(on="q.vec_id < 20")
-    + ", k AS (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY vec_id % 7 DESC, rank) AS INTEGER) AS rerank FROM r WHERE rank <= 20) SELECT * FROM k WHERE rerank <= 5"
-)
-def reranked(spark, sf_dir):
-    return rerank(topk_cosine(spark, sf_dir), (F.col("vec_id") % 7).cast("double")).select("query_id", "vec_id", "rerank")
+BEST = ", k AS (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY vec_id % 7 DESC, rank) AS INTEGER) AS rerank FROM r WHERE rank <= 20) SELECT * FROM k WHERE rerank <= 5"
+
+
+@query(NEAR.format(on="q.vec_id < 20") + BEST)
+def reranked(spark, sf_dir, asked="vec_id < 20"):
+    return rerank(topk_cosine(spark, sf_dir, asked), (F.col("vec_id") % 7).cast("double")).select("query_id", "vec_id", "rerank")
+
+
+@query(NEAR.format(on=f"q.{EACH_50}") + BEST)
+def reranked_whole(spark, sf_dir):
+    return reranked(spark, sf_dir, EACH_50)
 
 
 @query(
@@ -223,18 +245,23 @@ def routes(spark, sf_dir):
     return got.select("doc_id", "r.intent", "r.is_ood", F.col("r.ood_confidence").alias("confidence"), F.array_join("r.doc_scope", ",").alias("scope"))
 
 
-@query(
-    NEAR.format(on="q.vec_id < 20")
-    + """SELECT query_id, 'Context: ' || string_agg('[' || rank || '] (v' || vec_id || ' | a > {question})' || chr(10) || score_text, chr(10) || chr(10) ORDER BY rank) || ' Question: q' || query_id AS prompt
+PROMPT = """SELECT query_id, 'Context: ' || string_agg('[' || rank || '] (v' || vec_id || ' | a > {question})' || chr(10) || score_text, chr(10) || chr(10) ORDER BY rank) || ' Question: q' || query_id AS prompt
 FROM (SELECT *, 'text ' || vec_id AS score_text FROM r WHERE rank <= 5) GROUP BY query_id"""
-)
-def prompts(spark, sf_dir):
-    near = topk_cosine(spark, sf_dir).where("rank <= 5")
+
+
+@query(NEAR.format(on="q.vec_id < 20") + PROMPT)
+def prompts(spark, sf_dir, asked="vec_id < 20"):
+    near = topk_cosine(spark, sf_dir, asked).where("rank <= 5")
     rows = near.select("query_id", "rank", F.concat(F.lit("v"), F.col("vec_id")).alias("doc_name"), F.array(F.lit("root"), F.lit("a"), F.lit("{question}")).alias("path"), F.concat(F.lit("text "), F.col("vec_id")).alias("text"))
     prompt = S.render("Context: {context} Question: {question}", context=F.col("context"), question=F.concat(F.lit("q"), F.col("query_id")))
     return S.context(rows).select("query_id", prompt.alias("prompt"))
 
 
+@query(NEAR.format(on=f"q.{EACH_50}") + PROMPT)
+def prompts_whole(spark, sf_dir):
+    return prompts(spark, sf_dir, EACH_50)
+
+
 @query("SELECT doc_id, CASE WHEN CAST('0x' || substr(sha1(CAST(doc_id AS VARCHAR)), 1, 4) AS INTEGER) % 4 < 2 THEN 'train' WHEN CAST('0x' || substr(sha1(CAST(doc_id AS VARCHAR)), 1, 4) AS INTEGER) % 4 = 2 THEN 'dev' ELSE 'holdout' END AS split FROM documents")
 def splits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", H.split_of(F.col("doc_id")).alias("split"))

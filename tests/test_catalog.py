@@ -34,3 +34,9 @@ def test_metrics_by_hand(spark):
     assert M.ece(M.reliability(sure, "c", "y")).first().ece == 1.0
     one = spark.createDataFrame([(1, 1)], "a int, b int")
     assert str(M.kappa(one, "a", "b").first().kappa) == "nan"
+
+
+@pytest.mark.parametrize("name", ["topk_cosine_whole", "topk_scoped_whole", "reranked_whole", "prompts_whole"])
+def test_whole_searches_ask_every_fiftieth_row(spark, name):
+    want = {r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
+    assert len(want) == 10 and {r.query_id for r in QUERIES[name](spark, DATA).collect()} == want
