@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from granary.llm.common import shared_dir, table
 from granary.llm.decontaminate import decontaminate
 from granary.llm.mixing import mix
+from granary.llm.near import keep_one
 from granary.llm.quality import fit_quality, score_quality
-from granary.llm.simhash import keep_one
 from granary.llm.substrings import dedup_substrings
 
 
@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each group of texts with 5-word Jaccard similarity 0.8 or more."""
     return keep_one(docs)
 
 

@@ -135,13 +135,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(by_print, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group: that of the smallest doc_id (of repeated ids one row); null ids stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id IS NULL"))
-
-
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     got = near_duplicates(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

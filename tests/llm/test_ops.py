@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from granary.llm import decontaminate, licenses, mixing, neighbours, quality, simhash, substrings, toxicity, urls, warc
+from granary.llm import decontaminate, licenses, mixing, near, neighbours, quality, simhash, substrings, toxicity, urls, warc
 
 BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
 
@@ -160,3 +160,30 @@ def test_neighbours_recall_and_ties(spark):
         hit += len(set([i for i in np.lexsort((np.arange(3000), d)) if i != q][:10]) & set(g.vec_id))
     assert got.query_id.nunique() == 30 and hit / 300 >= 0.9
     assert got[got.query_id == 1100].sort_values("rank").vec_id.tolist() == list(range(999, 1009))
+
+
+def test_keep_one_links_similarity_of_four_fifths(spark):
+    words = [f"w{i}" for i in range(300)]
+    far = [*words[:50], *[f"x{i}" for i in range(60)], *words[110:]]
+    edit = lambda places: " ".join("new" if i in places else w for i, w in enumerate(words))
+    texts = [edit(()), edit((100, 200)), edit((20, 70, 150, 220, 280)), " ".join(far), None, "", "one", "ONE"]
+    got = near.keep_one(docs(spark, [(i, t, None, None, None, None) for i, t in enumerate(texts)]))
+    assert sorted(r.doc_id for r in got.collect()) == [0, 3, 4, 6]
+
+
+def test_near_links_equal_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for r in d.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    want = {x: x for x in sets}
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
+                old, new = sorted((want[a], want[b]), reverse=True)
+                want = {k: new if v == old else v for k, v in want.items()} if old != new else want
+    kept = {r.doc_id for r in near.keep_one(d).collect()}
+    assert kept == set(want.values()) and len(kept) < len(ids)
