@@ -2,8 +2,10 @@
 
 The k-th block of a source of weight w is released at slot floor(k / w) and due by slot ceil((k + 1) / w). Earliest
 deadline first among released blocks keeps every source within one block of its share after each slot. Weights are
-whole numbers of slots out of PERIOD, so the schedule repeats: one period (PERIOD entries) is computed on the driver,
-and block j of a source with q slots a period goes to slot (j div q) * PERIOD + its (j mod q)-th slot.
+exact fractions: numbers as they are written in decimals (0.1 is a tenth). When the whole numbers they stand for sum to
+fewer slots than the rows need, that one period is computed and block j of a source with q slots a period goes to slot
+(j div q) * period + its (j mod q)-th slot. Else the slots are computed up to the last block, in ranges of RANGE slots
+that are written to the shared folder one by one: the driver holds one range and one entry a source.
 
 Rows of a source are ordered by a hash of doc_id (ties: doc_id) and cut into blocks. They are numbered in hash-prefix
 buckets, so a source that holds a third of all rows is spread over many tasks. Every row is kept: where a source has
@@ -15,13 +17,16 @@ sources; more raise an error.
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import table
+from granary.llm.common import shared_dir, table
 
-PERIOD, BLOCK, BUCKET_ROWS = 1000, 64, 2000
+PERIOD, BLOCK, BUCKET_ROWS, RANGE = 1000, 64, 2000, 200_000
 
 
 def quotas(shares: dict, period: int = PERIOD) -> dict:
@@ -38,21 +43,51 @@ def quotas(shares: dict, period: int = PERIOD) -> dict:
     return out
 
 
-def schedule(slots: dict) -> list:
-    """The source of each slot of one period."""
-    period, out, due, waiting = sum(slots.values()), [], [], []
-    name = {str(i): s for i, s in enumerate(sorted(slots, key=lambda s: (s is not None, str(s))))}
-    for i, s in name.items():
+def whole(shares: dict) -> dict:
+    """The smallest whole numbers in the shares' exact proportions."""
+    exact = {s: Fraction(str(x)) if isinstance(x, float) else Fraction(x) for s, x in shares.items()}
+    common = math.lcm(*(x.denominator for x in exact.values()))
+    out = {s: int(x * common) for s, x in exact.items()}
+    least = math.gcd(*out.values())
+    return {s: x // least for s, x in out.items()}
+
+
+def pfair(slots: dict):
+    """(source, k) of each slot in turn, without end; slots are whole numbers of slots a period."""
+    period, due, waiting = sum(slots.values()), [], []
+    name = dict(enumerate(sorted(slots, key=lambda s: (s is not None, str(s)))))
+    for i in name:
         heapq.heappush(waiting, (0, i, 0))
-    for t in range(period):
+    for t in itertools.count():
         while waiting and waiting[0][0] <= t:
             _, i, k = heapq.heappop(waiting)
             heapq.heappush(due, (-(-(k + 1) * period // slots[name[i]]), i, k))
         _, i, k = heapq.heappop(due)
-        out.append(name[i])
-        if k + 1 < slots[name[i]]:
-            heapq.heappush(waiting, ((k + 1) * period // slots[name[i]], i, k + 1))
-    return out
+        yield name[i], k
+        heapq.heappush(waiting, ((k + 1) * period // slots[name[i]], i, k + 1))
+
+
+def schedule(slots: dict) -> list:
+    """The source of each slot of one period."""
+    return [s for s, _ in itertools.islice(pfair(slots), sum(slots.values()))]
+
+
+def planned(spark, slots: dict, blocks: dict, kind: str, span: int = RANGE) -> tuple[DataFrame, dict, int]:
+    """Rows (s, _k, t): the _k-th of a source's blocks in a period is at slot t; its blocks a period; and the period.
+
+    Without a period short enough, a source's period has all its blocks and is never passed."""
+    period = sum(slots.values())
+    last = max(-(-blocks[s] * period // x) for s, x in slots.items())
+    each = slots if period <= last else blocks
+    turns = enumerate(itertools.islice(pfair(slots), min(period, last)))
+    path, schema = None, f"s {kind}, _k long, t long"
+    while part := list(itertools.islice(turns, span)):
+        rows = spark.createDataFrame([(s, k, t) for t, (s, k) in part if k < min(each[s], blocks[s])], schema)
+        if path is None and len(part) < span:
+            return F.broadcast(rows), each, min(period, last)  # fewer than ``span`` rows
+        path = path or shared_dir(spark, "mixing")
+        rows.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path), each, min(period, last)
 
 
 def mix(docs: DataFrame, weights: dict | None = None, period: int = PERIOD, block: int = BLOCK) -> DataFrame:
@@ -68,13 +103,10 @@ def mix(docs: DataFrame, weights: dict | None = None, period: int = PERIOD, bloc
     shares = {s: (weights or {}).get(s, 0) if weights else n**0.5 for s, n in counts.items()}
     if bad := [s for s, x in shares.items() if x <= 0]:
         raise ValueError(f"no positive weight for sources {bad[:5]}")
-    slots = quotas(shares, period)
-    met: dict = {}
-    plan = []
-    for t, s in enumerate(schedule(slots)):
-        plan.append((s, met.get(s, 0), t, slots[s]))
-        met[s] = met.get(s, 0) + 1
-    plan = spark.createDataFrame(plan, f"s {rows.schema['source'].dataType.simpleString()}, k long, t long, q long")
+    if len(shares) > period:
+        raise ValueError(f"more than {period} sources")
+    kind = rows.schema["source"].dataType.simpleString()
+    plan, each, length = planned(spark, whole(shares), {s: -(-n // block) for s, n in counts.items()}, kind)
     buckets = 1 << max(0, (max(counts.values()) // BUCKET_ROWS).bit_length())
     bits = buckets.bit_length() - 1
     h = F.xxhash64("doc_id")
@@ -86,11 +118,11 @@ def mix(docs: DataFrame, weights: dict | None = None, period: int = PERIOD, bloc
     own = rows.withColumn("place", F.row_number().over(Window.partitionBy("source", "b").orderBy(*order)))
     own = own.join(before, own.source.eqNullSafe(before._s) & (own.b == before._b)).withColumn("source_row", F.col("first") + F.col("place") - 1)
     own = own.withColumn("block", F.floor(F.col("source_row") / block))
-    per = F.broadcast(plan.groupBy("s").agg(F.max("q").alias("q")))  # at most ``period`` rows, as the plan
+    per = F.broadcast(spark.createDataFrame(list(each.items()), f"s {kind}, q long"))  # an entry a source
     own = own.join(per, own.source.eqNullSafe(per.s)).drop("s")
     own = own.withColumn("k", F.col("block") % F.col("q"))
-    out = own.join(F.broadcast(plan.drop("q").withColumnRenamed("k", "_k")), own.source.eqNullSafe(F.col("s")) & (own.k == F.col("_k")))
-    slot = F.floor(F.col("block") / F.col("q")) * period + F.col("t")
+    out = own.join(plan, own.source.eqNullSafe(F.col("s")) & (own.k == F.col("_k")))
+    slot = F.floor(F.col("block") / F.col("q")) * length + F.col("t")
     return out.select("doc_id", "source", "source_row", "block", slot.alias("slot"), (slot * block + F.col("source_row") % block).alias("position"))
 
 

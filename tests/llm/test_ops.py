@@ -1,5 +1,7 @@
 import hashlib
+import itertools
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -187,3 +189,20 @@ def test_near_links_equal_brute_force(spark):
                 want = {k: new if v == old else v for k, v in want.items()} if old != new else want
     kept = {r.doc_id for r in near.keep_one(d).collect()}
     assert kept == set(want.values()) and len(kept) < len(ids)
+
+
+@pytest.mark.parametrize("others", [9, 19, 200])
+def test_mixing_keeps_the_given_weights(spark, monkeypatch, others):
+    monkeypatch.setattr(mixing.planned, "__defaults__", (700,))
+    weights = {"a": Fraction(1, 2)} | {f"s{i}": Fraction(1, 2 * others) for i in range(others)}
+    met = dict.fromkeys(weights, 0)
+    for t, (s, k) in enumerate(itertools.islice(mixing.pfair(mixing.whole(weights)), 3000), 1):
+        assert k == met[s]
+        met[s] += 1
+        assert all(abs(met[x] - t * w) < 1 for x, w in weights.items())
+    rows = [(i, "x", None, "a" if i % 2 else f"s{i // 2 % others}", 1, None) for i in range(4000)]
+    for given in (weights, None, {s: float(w) ** 0.7 for s, w in weights.items()}):
+        got = sorted((r.slot, r.source, r.block) for r in mixing.mix(docs(spark, rows), given, block=1).collect())
+        shares = mixing.whole(given or {s: n**0.5 for s, n in [("a", 2000), *[(f"s{i}", len(range(i, 2000, others))) for i in range(others)]]})
+        want = {(s, k): t for t, (s, k) in enumerate(itertools.islice(mixing.pfair(shares), 200_000))}
+        assert len(got) == 4000 and all(t == want[s, k] for t, s, k in got)
