@@ -1,6 +1,9 @@
-"""License scan: phrases, and an exact set-similarity join of license templates with the texts' lines.
+"""License scan: phrases, and an exact set-similarity join of license templates with the texts' runs of lines.
 
-A template matches a block (a line of a text) when at least CONTAINMENT of the template's distinct words are in it.
+A template matches a block when at least CONTAINMENT of the template's distinct words are in it. A block is a run of
+consecutive lines of one paragraph (blank lines part paragraphs), so a wrapped notice is found: as many lines as hold
+the template at WRAP characters a line, and one more for a notice that begins within a line; fewer at a paragraph's
+end. Such a run has every word of the shorter runs and the line that it begins with, so these need no look of their own.
 All tokens of all templates are ordered by how many blocks of the corpus hold them, rarest first. Filters, none of
 which loses a match: prefix - of a template of t tokens needing c, a block must hold one of the first t - c + 1;
 length - a block has at least c distinct words; positional - with the first shared prefix token at place i, at most
@@ -29,7 +32,16 @@ TEMPLATES = {
     "gpl-3": "this program is free software you can redistribute it under the terms of the gnu general public license version 3",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that conditions are met",
 }
-CONTAINMENT, MOST_TEMPLATES = 0.8, 100
+#: Other wordings of the same licenses, as their notices have them.
+NOTICES = {
+    "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"],
+    "cc-by-nc": ["this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
+    "gpl-3": [
+        "this work is licensed under the gnu general public license version 3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license",
+    ],
+}
+CONTAINMENT, MOST_TEMPLATES, WRAP = 0.8, 100, 40
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,8 +80,17 @@ def _hits(phrase: str, label: str) -> Column:
     return F.when(F.contains("joined", F.lit(f" {phrase} ")), F.transform(places(F.col("words"), phrase), place)).otherwise(none)
 
 
-def _best_block(label: str, ranked: list[str], containment: float) -> Column:
-    """The template's label and its best containment over the lines, as an array of one or none."""
+def runs(text: Column, n: int) -> Column:
+    """The run of n lines from each line on, within its paragraph."""
+    def of(paragraph):
+        lines = F.split(paragraph, "\n")
+        return F.transform(lines, lambda _, i: F.array_join(F.slice(lines, i + 1, F.lit(n)), " "))
+
+    return F.flatten(F.transform(F.split(text, r"\n[ \t\r\x0B\x0C]*\n"), of))
+
+
+def _best_block(label: str, ranked: list[str], containment: float, lines: int) -> Column:
+    """The template's label and its best containment over the runs of lines, as an array of one or none."""
     need = math.ceil(containment * len(ranked) - 1e-9)
     literals = lambda ts: F.array(*[F.lit(t) for t in ts])
     prefix, full = literals(ranked[: len(ranked) - need + 1]), literals(ranked)
@@ -80,7 +101,7 @@ def _best_block(label: str, ranked: list[str], containment: float) -> Column:
         shared = F.size(F.array_intersect(full, own))
         return F.when(may, F.when(shared >= need, shared / len(ranked)))
 
-    sets = F.transform(F.split("low", "\n"), lambda x: F.array_distinct(words_of(x)))
+    sets = F.transform(runs(F.col("low"), lines), lambda x: F.array_distinct(words_of(x)))
     top = F.array_max(F.transform(F.filter(sets, lambda own: F.arrays_overlap(own, prefix)), score))
     # A text without a prefix token, or with too few words, has no such block: most texts end here.
     may = F.arrays_overlap("words", prefix) & (F.size("words") >= need)
@@ -88,16 +109,24 @@ def _best_block(label: str, ranked: list[str], containment: float) -> Column:
     return F.when(may, F.filter(one, lambda m: m["score"].isNotNull())).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, containment: float = CONTAINMENT) -> DataFrame:
-    """Per document: doc_id, n_words, hits (label and start of each phrase place), matches (label and containment of the best block)."""
-    if len(templates) > MOST_TEMPLATES:
+def _best_of(matches: list[Column]) -> Column:
+    """The match of the highest score of one label's wordings, as an array of one or none."""
+    return matches[0] if len(matches) == 1 else F.slice(F.reverse(F.array_sort(F.flatten(F.array(*matches)))), 1, 1)
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, containment: float = CONTAINMENT, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
+    """Per document: doc_id, n_words, hits (label and start of each phrase place), matches (label and containment of the best block).
+
+    notices: further wordings of the templates' labels; of a label's matches the best one stays."""
+    wordings = [(label, t) for label, first in templates.items() for t in (first, *notices.get(label, []))]
+    if len(wordings) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    sets = {label: set(t.lower().split()) for label, t in templates.items()}
-    order = token_order(docs, set().union(*sets.values())) if sets else {}
+    sets = [(label, set(t.lower().split()), math.ceil(len(t) / WRAP) + 1) for label, t in wordings]
+    order = token_order(docs, set().union(*(tokens for _, tokens, _ in sets))) if sets else {}
     base = docs.select("doc_id", F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("low")).select("doc_id", "low", words_of(F.col("low")).alias("words"))
     base = base.withColumn("joined", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
     found = [_hits(phrase, label) for phrase, label in phrases.items()]
-    best = [_best_block(label, sorted(tokens, key=order.__getitem__), containment) for label, tokens in sets.items()]
+    best = [_best_of([_best_block(label, sorted(tokens, key=order.__getitem__), containment, n) for own, tokens, n in sets if own == label]) for label in templates]
     none = F.array().cast("array<struct<label:string,score:double>>")
     return base.select("doc_id", F.size("words").cast("long").alias("n_words"), F.flatten(F.array(*found)).alias("hits"), F.flatten(F.array(none, *best)).alias("matches"))
 

@@ -206,3 +206,15 @@ def test_mixing_keeps_the_given_weights(spark, monkeypatch, others):
         shares = mixing.whole(given or {s: n**0.5 for s, n in [("a", 2000), *[(f"s{i}", len(range(i, 2000, others))) for i in range(others)]]})
         want = {(s, k): t for t, (s, k) in enumerate(itertools.islice(mixing.pfair(shares), 200_000))}
         assert len(got) == 4000 and all(t == want[s, k] for t, s, k in got)
+
+
+def test_wrapped_and_short_notices(spark):
+    words = licenses.TEMPLATES["bsd"].split()
+    wrapped = "see below: " + " ".join(words[:7]) + "\n" + " ".join(words[7:13]) + "\n" + " ".join(words[13:]) + " and more"
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    cc = "This work is licensed under a\r\nCreative Commons Attribution-NonCommercial 4.0 International License."
+    split = " ".join(words[:10]) + "\n \n" + " ".join(words[10:])
+    texts = [wrapped, "a\n" + gpl + "\nb", cc, split, "this work\nis a work"]
+    df = docs(spark, [(i, t, None, None, None, None) for i, t in enumerate(texts)])
+    got = {r.doc_id: [(m.label, m.score) for m in r.matches] for r in licenses.scan_licenses(df).collect()}
+    assert got == {0: [("bsd", 1.0)], 1: [("gpl-3", 1.0)], 2: [("cc-by-nc", 1.0)], 3: [], 4: []}
