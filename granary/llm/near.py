@@ -109,7 +109,10 @@ def near_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group: that of the smallest doc_id (of repeated ids one row); null ids stay."""
-    kept = near_rows(docs).where("doc_id IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each near-duplicate group: that of the smallest doc_id, then of the smallest text hash; null ids stay.
+
+    Rows that repeat an id are judged each by its own text."""
+    first = F.min(F.struct("doc_id", "h"))
+    kept = near_rows(docs).where("doc_id IS NOT NULL").groupBy("root").agg(first.alias("r")).select("r.*").distinct()
+    once = docs.withColumn("h", F.xxhash64("text")).join(kept, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    return once.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -218,3 +218,10 @@ def test_wrapped_and_short_notices(spark):
     df = docs(spark, [(i, t, None, None, None, None) for i, t in enumerate(texts)])
     got = {r.doc_id: [(m.label, m.score) for m in r.matches] for r in licenses.scan_licenses(df).collect()}
     assert got == {0: [("bsd", 1.0)], 1: [("gpl-3", 1.0)], 2: [("cc-by-nc", 1.0)], 3: [], 4: []}
+
+
+def test_keep_one_judges_repeated_ids_by_row(spark):
+    other = BASE.replace("a", "o")
+    rows = [(1, BASE), (2, BASE + " end"), (2, other), (2, other), (3, "one of a kind"), (3, "of another kind"), (None, BASE)]
+    got = near.keep_one(docs(spark, [(i, t, None, None, None, None) for i, t in rows])).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, BASE), (1, BASE), (2, other), (3, "one of a kind"), (3, "of another kind")])
