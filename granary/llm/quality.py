@@ -5,8 +5,8 @@ adds weights for two neighbouring labels. The field is fitted by maximum likelih
 quality as the label of its lines. A document's quality is the mean of its lines' forward-backward marginals,
 weighted by their lengths, set to the labels' scale by a logistic curve fitted on the same documents.
 
-The fit takes at most MOST labelled documents (chosen by a hash of the id) and at most LINES lines of features of each
-to the driver; scoring reads every line of every text. Texts without a line (null, empty, blank) count as one empty line.
+The fit takes the features of all lines of at most MOST labelled documents (chosen by a hash of the id) to the driver;
+scoring reads every line of every text. Texts without a line (null, empty, blank) count as one empty line.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import in_fold, table, training_rows
 
-MOST, LINES, GROUP = 6000, 400, 512
+MOST, GROUP = 6000, 512
 UPPER = bytes(range(65, 91))
 DIGIT = bytes(range(48, 58))
 SPACE = b" \t\r\x0b\x0c"
@@ -164,7 +164,7 @@ def _features(batches):
     for b in batches:
         found = [line_features(t) for t in b[1].to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([f[:LINES].astype(np.float32).tobytes() for f, _ in found], pa.binary()), b[2].cast(pa.int32())], names=["f", "y"]
+            [pa.array([f.astype(np.float32).tobytes() for f, _ in found], pa.binary()), b[2].cast(pa.int32())], names=["f", "y"]
         )
 
 

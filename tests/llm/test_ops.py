@@ -4,6 +4,7 @@ import re
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -225,3 +226,10 @@ def test_keep_one_judges_repeated_ids_by_row(spark):
     rows = [(1, BASE), (2, BASE + " end"), (2, other), (2, other), (3, "one of a kind"), (3, "of another kind"), (None, BASE)]
     got = near.keep_one(docs(spark, [(i, t, None, None, None, None) for i, t in rows])).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, BASE), (1, BASE), (2, other), (3, "one of a kind"), (3, "of another kind")])
+
+
+def test_quality_fit_reads_every_line():
+    text = "\n".join(f"line {i}" for i in range(1000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([1])], names=["doc_id", "text", "y"])
+    (got,) = quality._features([batch])
+    assert len(got[0][0].as_py()) == 1000 * quality.OWN * 4
