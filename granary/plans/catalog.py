@@ -104,6 +104,17 @@ def windows(spark, sf_dir):
     return long.select("doc_id", F.posexplode(T.windows(F.split(T.strip(F.col("text")), rf"(?U){T.SPACE}+"), 409, 51)).alias("window_no", "text"))
 
 
+@query(
+    """WITH d AS (SELECT doc_id, text, length(text) // 4 <= 512 AS short, string_split_regex(trim(text), '\\s+') AS w FROM documents),
+n AS (SELECT *, unnest(range(0, CASE WHEN short OR len(w) <= 409 THEN 1 ELSE CAST(ceil((len(w) - 409) / 358.0) AS BIGINT) + 1 END)) AS i FROM d)
+SELECT doc_id, CAST(i AS INTEGER) AS window_no, CASE WHEN short THEN text ELSE array_to_string(w[i * 358 + 1:i * 358 + 409], ' ') END AS text FROM n"""
+)
+def windows_whole(spark, sf_dir):
+    """All documents: those of at most 512 tokens are one window, unchanged."""
+    short = table(spark, sf_dir, "documents").where(T.token_count(F.col("text")) <= 512)
+    return windows(spark, sf_dir).unionByName(short.select("doc_id", F.lit(0).alias("window_no"), "text"))
+
+
 @query("SELECT doc_id, substr(sha1('d' || doc_id || '|root|' || n_chars), 1, 16) AS chunk_id FROM documents")
 def chunk_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.chunk_id(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.array(F.lit("root")), F.col("n_chars")).alias("chunk_id"))

@@ -40,3 +40,8 @@ def test_metrics_by_hand(spark):
 def test_whole_searches_ask_every_fiftieth_row(spark, name):
     want = {r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
     assert len(want) == 10 and {r.query_id for r in QUERIES[name](spark, DATA).collect()} == want
+
+
+def test_windows_whole_has_every_document(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id")
+    assert docs.subtract(QUERIES["windows_whole"](spark, DATA).select("doc_id")).count() == 0
