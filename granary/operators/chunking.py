@@ -1,107 +1,181 @@
-"""Blocks, sections and chunks."""
+"""Sections and chunks.
+
+A document's blocks depend on those before them, so they are folded in order: each document is gathered in one row and
+folded by an Arrow function that joins its texts once, at a cost in proportion to its length. Documents are independent.
+One document must fit a task.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.text import SPACE, chunk_id, strip, token_count, windows
+from granary.functions.text import chunk_id, strip, token_count, window_words, windows
+from granary.operators.blocks import content_pages, with_headings
 
+NUMBER = re.compile(r"(\d+(?:\.\d+)*)\s")
 
-def line_blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, block_ord, text): the non-blank lines of each document."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_ord", "line"))
-    return lines.select("doc_id", F.col("block_ord").cast("long").alias("block_ord"), strip(F.col("line")).alias("text")).where("text <> ''")
 
+def tokens(chars: int) -> int:
+    return max(1, chars // 4)
 
-def sections(blocks: DataFrame) -> DataFrame:
-    """Rows (doc_id, block_ord, text, heading) to sections: ordinal, heading (null before the first) and body text."""
-    order = Window.partitionBy("doc_id").orderBy("block_ord")
-    marked = blocks.withColumn("section", F.sum(F.col("heading").cast("long")).over(order))
-    body = F.array_sort(F.collect_list(F.when(~F.col("heading"), F.struct("block_ord", "text"))))
-    got = marked.groupBy("doc_id", "section").agg(F.max(F.when(F.col("heading"), F.col("text"))).alias("title"), F.array_join(F.transform(body, lambda x: x["text"]), " ").alias("text"))
-    return got.where("text <> ''")
 
+def path_below(path: tuple, heading: str) -> tuple:
+    """A numbered heading of depth d keeps the root and d - 1 levels of the path before it; others stand below the root."""
+    number = NUMBER.match(heading)
+    return (*path[: number[1].count(".") + 1 if number else 1], heading)
+
+
+def sections_of(blocks: Iterable[dict]) -> Iterator[tuple]:
+    """(section, path, page, text) of the sections with text; section 0 stands before the first heading."""
+    section, path, page, held = 0, ("root",), 1, []
+    for b in [*blocks, None]:
+        if b is not None and not b["heading"]:
+            held.append(b["text"])
+            continue
+        if text := " ".join(held).strip():
+            yield section, path, page, text
+        if b is not None:
+            section, path, page, held = section + 1, path_below(path, b["text"].strip()), b["page_num"], []
+
+
+def pieces(text: str, most: int, overlap: int) -> list[str]:
+    """The windows of functions.text.windows for one text."""
+    width, step = window_words(most, overlap)
+    w = text.split() if tokens(len(text)) > most else []
+    return [" ".join(w[i : i + width]) for i in range(0, max(1, len(w) - width + step), step)] if w else [text]
 
-def merge_small(parts: DataFrame, least: int = 100, most: int = 512) -> DataFrame:
-    """Rows (doc_id, ord, text) to chunks: a pending chunk under ``least`` tokens takes the next while both fit ``most``."""
-    ordered = parts.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("parts"))
 
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        joined = F.concat(last, F.lit(" "), x)
-        fits = (F.size(acc) > 0) & (token_count(last) < least) & (token_count(last) + token_count(x) <= most)
-        head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(F.size(acc) == 0, F.array(x)).when(fits, F.concat(head, F.array(joined))).otherwise(F.concat(acc, F.array(x)))
+def runs(parts: Iterable[tuple], takes) -> list[list]:
+    """Parts (head, text) as runs [head of the first, characters joined by blanks, texts]; a run takes the next part while
+    takes(run, head, text) holds."""
+    out: list[list] = []
+    for head, text in parts:
+        if out and takes(out[-1], head, text):
+            out[-1][1] += 1 + len(text)
+            out[-1][2].append(text)
+        else:
+            out.append([head, len(text), [text]])
+    return out
 
-    folded = ordered.select("doc_id", F.aggregate("parts", F.array().cast("array<string>"), step).alias("chunks"))
-    return folded.select("doc_id", F.posexplode("chunks").alias("chunk", "text"))
 
+def _folded(rows: DataFrame, fold, schema: str) -> DataFrame:
+    """fold(key, items) yields output tuples for each row (key, items)."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The old rows that no new row replaces, and the new rows; a repeated run changes nothing."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+    def run(batches):
+        for b in batches:
+            out = [row for key, items in zip(b[0].to_pylist(), b[1].to_pylist()) for row in fold(key, items)]
+            cols = list(zip(*out)) if out else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
 
-def section_paths(blocks: DataFrame) -> DataFrame:
-    """(doc_id, section, path): a numbered heading of depth d keeps the root and d - 1 levels of the path before it."""
-    heads = F.transform(F.array_sort(F.collect_list(F.when(F.col("heading"), F.struct("block_ord", "text")))), lambda x: strip(x["text"]))
+    kinds = [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)]
+    return rows.mapInArrow(run, schema)
 
-    def step(acc, head):
-        last, number = F.element_at(acc, -1), F.regexp_extract(head, rf"(?U)^(\d+(?:\.\d+)*){SPACE}", 1)
-        depth = F.when(number == "", 1).otherwise(F.size(F.split(number, r"\.")))
-        return F.concat(acc, F.array(F.concat(F.slice(last, F.lit(1), depth), F.array(head))))
 
-    folded = blocks.groupBy("doc_id").agg(heads.alias("heads"))
-    root = F.array(F.array(F.lit("root")))
-    return folded.select("doc_id", F.posexplode(F.aggregate("heads", root, step)).alias("section", "path")).withColumn("section", F.col("section").cast("long"))
+def _gathered(rows: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("items"))
 
 
-def fold(parts: DataFrame, takes) -> DataFrame:
-    """Rows (doc_id, ord, path, text, ...) in order of ord; a chunk takes the next part while takes(chunk, part) holds and
-    keeps its own other fields. Returns (doc_id, chunk, fields)."""
-    names = [c for c in parts.columns if c != "doc_id"]
-    rows = F.array_sort(F.collect_list(F.struct("ord", *[c for c in names if c != "ord"])))
-    ordered = parts.groupBy("doc_id").agg(rows.alias("rows"))
+def _kind(df: DataFrame, c: str) -> str:
+    return df.schema[c].dataType.simpleString()
 
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        joined = last.withField("text", F.concat(last["text"], F.lit(" "), x["text"]))
-        both = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))
-        return F.when(F.size(acc) == 0, F.array(x)).when(takes(last, x), both).otherwise(F.concat(acc, F.array(x)))
 
-    kind = ordered.schema["rows"].dataType
-    none = F.filter("rows", lambda x: F.lit(False)).cast(kind)
-    got = ordered.select("doc_id", F.aggregate("rows", none, step).alias("rows"))
-    return got.select("doc_id", F.posexplode("rows").alias("chunk", "r")).select("doc_id", "chunk", "r.*")
+def sections(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Blocks (key, block_ord, page_num, text, heading) to sections with text: ordinal, path, the page of the heading
+    (1 before any), and the body texts joined by blanks. Headings aren't part of a text."""
+    rows = _gathered(blocks, key, "block_ord", ["page_num", "text", "heading"])
+    schema = f"{key} {_kind(blocks, key)}, section bigint, section_path array<string>, page_num int, text string"
+    return _folded(rows, lambda k, items: ((k, s, list(p), n, t) for s, p, n, t in sections_of(items)), schema)
+
+
+def _joins_small(least: int, most: int, across: bool = True):
+    def takes(run, head, text):
+        return tokens(run[1]) < least and tokens(run[1] + 1 + len(text)) <= most and (across or run[0][1] == head[1])
+
+    return takes
+
+
+def merge_small(parts: DataFrame, least: int = 100, most: int = 512) -> DataFrame:
+    """Rows (doc_id, ord, text) to chunks (doc_id, chunk, text): a pending chunk under ``least`` tokens takes the next one
+    while the joined text has at most ``most`` tokens."""
+    rows = _gathered(parts, "doc_id", "ord", ["text"])
+    takes = _joins_small(least, most)
 
+    def fold(key, items):
+        return ((key, i, " ".join(texts)) for i, (_, _, texts) in enumerate(runs(((None, x["text"]) for x in items), takes)))
 
-def chunk_documents(blocks: DataFrame, most: int = 512, overlap: int = 64, least: int = 100) -> DataFrame:
-    """Rows (doc_id, block_ord, text, heading) to chunks (doc_id, chunk, chunk_id, path, text): windows of sections; a short
-    window joins the one before it if both have the same path; then small chunks take their successors."""
-    body = sections(blocks).withColumn("section", F.coalesce("section", F.lit(0).cast("long"))).join(section_paths(blocks), ["doc_id", "section"])
-    cut = F.when(token_count(F.col("text")) <= most, F.array("text")).otherwise(windows(F.split(strip(F.col("text")), rf"(?U){SPACE}+"), int(most * 0.8), int(overlap * 0.8)))
-    parts = body.select("doc_id", "section", "path", F.posexplode(cut).alias("part", "text")).select("doc_id", F.struct("section", "part").alias("ord"), "path", "text")
-    tails = fold(parts, lambda last, x: (token_count(x["text"]) < least) & (last["path"] == x["path"]))
-    named = tails.select("doc_id", F.col("chunk").alias("ord"), chunk_id(F.col("doc_id").cast("string"), F.col("path"), F.col("chunk")).alias("chunk_id"), "path", "text")
-    small = fold(named, lambda last, x: (token_count(last["text"]) < least) & (token_count(last["text"]) + token_count(x["text"]) <= most))
-    return small.select("doc_id", "chunk", "chunk_id", "path", "text")
+    return _folded(rows, fold, f"doc_id {_kind(parts, 'doc_id')}, chunk int, text string")
 
 
-def fixed_windows(docs: DataFrame, size: int = 800, overlap: int = 150, least: int = 80) -> DataFrame:
-    """(doc_id, chunk, text): windows of so many characters, stripped, those longer than ``least``."""
+def chunk_documents(blocks: DataFrame, most: int = 512, overlap: int = 64, least: int = 100, merge_across_sections: bool = True, key: str = "doc_id") -> DataFrame:
+    """Blocks (key, block_ord, page_num, text, font_size) to chunks (key, chunk, chunk_id, section_path, page_num, text,
+    token_count).
+
+    Headings by the document's median size or by pattern; sections; windows of long sections; a window under ``least``
+    tokens joins the chunk before it if both have equal paths (whatever its size then); then chunks under ``least`` tokens
+    take their successors while both fit ``most``, across sections unless merge_across_sections is false. A joined chunk
+    keeps its first part's id, path and page."""
+    rows = _gathered(with_headings(blocks, key), key, "block_ord", ["page_num", "text", "heading"])
+    small = _joins_small(least, most, merge_across_sections)
+
+    def tail(run, head, text):
+        return tokens(len(text)) < least and run[0][0] == head[0]
+
+    def fold(k, items):
+        cut = (((path, page), piece) for _, path, page, text in sections_of(items) for piece in pieces(text, most, overlap))
+        ended = [((i, *run[0]), " ".join(run[2])) for i, run in enumerate(runs(cut, tail))]
+        for n, ((i, path, page), _, texts) in enumerate(runs(ended, small)):
+            yield k, n, i, list(path), page, " ".join(texts)
+
+    got = _folded(rows, fold, f"{key} {_kind(blocks, key)}, chunk int, number int, section_path array<string>, page_num int, text string")
+    named = chunk_id(F.col(key).cast("string"), F.col("section_path"), F.col("number"))
+    return got.select(key, "chunk", named.alias("chunk_id"), "section_path", "page_num", "text", token_count(F.col("text")).alias("token_count"))
+
+
+def text_windows(docs: DataFrame, most: int = 512, overlap: int = 64) -> DataFrame:
+    """(doc_id, window_no, text): the windows of every text."""
+    return docs.select("doc_id", F.posexplode(windows(F.col("text"), most, overlap)).alias("window_no", "text"))
+
+
+def fixed_windows(docs: DataFrame, size: int = 800, overlap: int = 150, least: int = 80, keys: tuple = ("doc_id",)) -> DataFrame:
+    """(keys, chunk, text): windows of so many characters, stripped, those longer than ``least``; only they are numbered."""
+    if overlap >= size:
+        raise ValueError("overlap must be smaller than the window")
     n, step = F.length("text"), size - overlap
     count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1)
     every = F.transform(F.sequence(F.lit(0), count - 1), lambda i: strip(F.substring(F.col("text"), i * step + 1, F.lit(size))))
-    return docs.select("doc_id", F.posexplode(F.filter(every, lambda t: F.length(t) > least)).alias("chunk", "text"))
+    return docs.select(*keys, F.posexplode(F.filter(every, lambda t: F.length(t) > least)).alias("chunk", "text"))
+
+
+def build_corpus(pages: DataFrame) -> DataFrame:
+    """Pages (document, page, text) to fixed windows (document, page, chunk, text); pages of little text are left out."""
+    return fixed_windows(content_pages(pages), keys=("document", "page"))
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
     """(doc_id, n, mean_tokens): a document's chunks and their mean size, rounded down."""
-    tokens = token_count(F.col("text"))
-    return chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.floor(F.sum(tokens) / F.count("*")).alias("mean_tokens"))
+    each = token_count(F.col("text"))
+    return chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.floor(F.sum(each) / F.count("*")).alias("mean_tokens"))
+
+
+def ingest_summary(status: DataFrame) -> DataFrame:
+    """One row over (doc_name, n_chunks, error): documents processed (those without a chunk too), failed, chunks in all, and
+    the errors by name. Only failed documents are gathered."""
+    pairs = F.collect_list(F.when(F.col("error").isNotNull(), F.struct("doc_name", "error")))
+    failed = F.count("error")
+    return status.agg((F.count("*") - failed).alias("processed"), failed.alias("failed"), F.coalesce(F.sum(F.when(F.col("error").isNull(), F.col("n_chunks"))), F.lit(0)).cast("long").alias("total_chunks"), F.map_from_entries(F.array_sort(pairs)).alias("errors"))
 
 
-def median_size(blocks: DataFrame, key: str, size: str) -> DataFrame:
-    """A document's median font size over known (positive) sizes; 0 without any."""
-    return blocks.groupBy(key).agg(F.coalesce(F.median(F.when(F.col(size) > 0, F.col(size))), F.lit(0.0)).alias("median_size"))
+def chunk_ablation(semantic: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(strategy, n, mean_tokens, least_tokens, most_tokens) of two chunk tables with a text column."""
+    size = token_count(F.col("text"))
+    rows = semantic.select(F.lit("semantic").alias("strategy"), size.alias("t")).unionByName(fixed.select(F.lit("fixed").alias("strategy"), size.alias("t")))
+    return rows.groupBy("strategy").agg(F.count("*").alias("n"), F.avg("t").alias("mean_tokens"), F.min("t").alias("least_tokens"), F.max("t").alias("most_tokens"))

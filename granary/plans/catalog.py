@@ -1,292 +1,8 @@
-"""Queries over the test tables, with SQL for the same results."""
+"""All queries over the test tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from granary.plans import evaluation, retrieval, serving, storage, texts  # noqa: F401
+from granary.plans.registry import QUERIES, SQL
 
-from granary.functions import text as T
-from granary.operators import chunking as C
-from granary.operators import harness as H
-from granary.operators import metrics as M
-from granary.operators import serving as S
-from granary.operators.retrieval import cosine_topk, rerank
-from granary.sources.tables import table
-
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-NEAR = """
-WITH n AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, q.label = c.label AS hit, round(list_cosine_similarity(q.e, c.e), 6) AS score FROM n q JOIN n c ON {on}),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
-"""
-#: The queries of the *_whole searches: they grow with the table. Those without it keep to the 20 ids of their SQL.
-EACH_50 = "vec_id % 50 = 0"
-
-
-@query(NEAR.format(on="q.vec_id < 20") + "SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20")
-def topk_cosine(spark, sf_dir, asked="vec_id < 20"):
-    rows = table(spark, sf_dir, "embeddings")
-    return cosine_topk(rows.where(asked), rows, 20)
-
-
-@query(NEAR.format(on=f"q.{EACH_50}") + "SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20")
-def topk_cosine_whole(spark, sf_dir):
-    return topk_cosine(spark, sf_dir, EACH_50)
-
-
-@query(NEAR.format(on="q.vec_id < 20 AND q.label = c.label") + "SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20")
-def topk_scoped(spark, sf_dir, asked="vec_id < 20"):
-    rows = table(spark, sf_dir, "embeddings")
-    scope = F.col("q_scope").isNull() | (F.size("q_scope") == 0) | F.array_contains("q_scope", F.col("label"))
-    return cosine_topk(rows.where(asked).withColumn("scope", F.array("label")), rows, 20, scope)
-
-
-@query(NEAR.format(on=f"q.{EACH_50} AND q.label = c.label") + "SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20")
-def topk_scoped_whole(spark, sf_dir):
-    return topk_scoped(spark, sf_dir, EACH_50)
-
-
-SCORES = """, c AS (SELECT query_id, max(CASE WHEN rank <= 5 AND hit THEN 1.0 ELSE 0.0 END) AS recall, count(*) FILTER (rank <= 5 AND hit) / 5.0 AS prec, coalesce(1.0 / min(rank) FILTER (hit), 0.0) AS rr FROM r WHERE rank <= 20 GROUP BY query_id)
-SELECT round(avg(CAST(recall AS DOUBLE)), 6) AS recall_5, round(avg(CAST(prec AS DOUBLE)), 6) AS precision_5, round(avg(CAST(rr AS DOUBLE)), 6) AS mrr FROM c"""
-
-
-@query(NEAR.format(on="q.vec_id < 20 AND q.vec_id <> c.vec_id") + SCORES)
-def recall_precision_mrr(spark, sf_dir, asked="vec_id < 20"):
-    rows = table(spark, sf_dir, "embeddings")
-    near = cosine_topk(rows.where(asked), rows, 20, F.col("q_vec_id") != F.col("vec_id"))
-    label = rows.select(F.col("vec_id").alias("id"), "label")
-    truth = near.join(label.select(F.col("id").alias("query_id"), F.col("label").alias("q")), "query_id").join(label, near.vec_id == label.id).withColumn("hit", F.col("q") == F.col("label"))
-    return M.retrieval_cases(truth, (5,)).agg(*[F.round(F.avg(c), 6).alias(a) for c, a in (("recall_5", "recall_5"), ("precision_5", "precision_5"), ("rr", "mrr"))])
-
-
-@query(NEAR.format(on=f"q.{EACH_50} AND q.vec_id <> c.vec_id") + SCORES)
-def recall_precision_mrr_whole(spark, sf_dir):
-    return recall_precision_mrr(spark, sf_dir, EACH_50)
-
-
-@query("SELECT doc_id, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens FROM documents")
-def token_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text")).alias("tokens"))
-
-
-@query("SELECT doc_id, o - 1 AS block_ord, trim(t) AS text FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(t, o) WHERE trim(t) <> ''")
-def blocks(spark, sf_dir):
-    return C.line_blocks(table(spark, sf_dir, "documents"))
-
-
-HEADS = "CASE p_partkey % 4 WHEN 0 THEN concat(p_partkey % 9 + 1, '.', p_size, ' ', p_name) WHEN 1 THEN upper(p_name) WHEN 2 THEN concat({cap}, ':') ELSE p_name END"
-
-
-@query(f"WITH h AS (SELECT p_partkey, {HEADS.format(cap="array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ')")} AS t FROM part) SELECT p_partkey, t AS text, p_partkey % 4 < 3 AS heading FROM h")
-def headings_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(HEADS.format(cap="initcap(p_name)")).alias("text"))
-    return rows.withColumn("heading", T.is_heading(F.col("text"), F.lit(0.0), F.lit(0.0)))
-
-
-@query(
-    """WITH d AS (SELECT doc_id, string_split_regex(trim(text), '\\s+') AS w FROM documents WHERE length(text) // 4 > 512),
-n AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) <= 409 THEN 1 ELSE CAST(ceil((len(w) - 409) / 358.0) AS BIGINT) + 1 END)) AS i FROM d)
-SELECT doc_id, CAST(i AS INTEGER) AS window_no, array_to_string(w[i * 358 + 1:i * 358 + 409], ' ') AS text FROM n"""
-)
-def windows(spark, sf_dir):
-    long = table(spark, sf_dir, "documents").where(T.token_count(F.col("text")) > 512)
-    return long.select("doc_id", F.posexplode(T.windows(F.split(T.strip(F.col("text")), rf"(?U){T.SPACE}+"), 409, 51)).alias("window_no", "text"))
-
-
-@query(
-    """WITH d AS (SELECT doc_id, text, length(text) // 4 <= 512 AS short, string_split_regex(trim(text), '\\s+') AS w FROM documents),
-n AS (SELECT *, unnest(range(0, CASE WHEN short OR len(w) <= 409 THEN 1 ELSE CAST(ceil((len(w) - 409) / 358.0) AS BIGINT) + 1 END)) AS i FROM d)
-SELECT doc_id, CAST(i AS INTEGER) AS window_no, CASE WHEN short THEN text ELSE array_to_string(w[i * 358 + 1:i * 358 + 409], ' ') END AS text FROM n"""
-)
-def windows_whole(spark, sf_dir):
-    """All documents: those of at most 512 tokens are one window, unchanged."""
-    short = table(spark, sf_dir, "documents").where(T.token_count(F.col("text")) <= 512)
-    return windows(spark, sf_dir).unionByName(short.select("doc_id", F.lit(0).alias("window_no"), "text"))
-
-
-@query("SELECT doc_id, substr(sha1('d' || doc_id || '|root|' || n_chars), 1, 16) AS chunk_id FROM documents")
-def chunk_ids(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.chunk_id(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.array(F.lit("root")), F.col("n_chars")).alias("chunk_id"))
-
-
-@query()
-def merge_small(spark, sf_dir):
-    return C.merge_small(C.line_blocks(table(spark, sf_dir, "documents")).withColumnRenamed("block_ord", "ord"))
-
-
-@query()
-def sections(spark, sf_dir):
-    lines = C.line_blocks(table(spark, sf_dir, "documents"))
-    return C.sections(lines.withColumn("heading", T.is_heading(F.col("text"), F.lit(0.0), F.lit(0.0))))
-
-
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END AS text FROM documents")
-def upsert_idempotent(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    new = docs.where("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit("!")))
-    return C.upsert(C.upsert(docs, new, "doc_id"), new, "doc_id")
-
-
-@query("SELECT doc_id, CASE WHEN n_chars % 7 = 0 THEN 50 ELSE least(100, CAST(n_chars % 150 AS INTEGER)) END AS confidence, 'answer' AS answer FROM documents")
-def confidence_tag(spark, sf_dir):
-    reply = F.when(F.col("n_chars") % 7 == 0, F.lit("answer  ")).otherwise(F.concat(F.lit("answer <Confidence> "), (F.col("n_chars") % 150).cast("string"), F.lit("</confidence>\n")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", reply.alias("reply"))
-    return rows.select("doc_id", T.confidence(F.col("reply")).alias("confidence"), T.without_tag(F.col("reply")).alias("answer"))
-
-
-@query("SELECT CASE WHEN n_chars % 101 < 70 THEN 'refuse' WHEN n_chars % 101 < 85 THEN 'notice' ELSE 'answer' END AS action, count(*) AS n FROM documents GROUP BY 1")
-def guardrail(spark, sf_dir):
-    conf = (F.col("n_chars") % 101) / 100
-    return table(spark, sf_dir, "documents").groupBy(T.action(conf).alias("action")).agg(F.count("*").alias("n"))
-
-
-LABELLED = "WITH x AS (SELECT doc_id, quality, toxic, (n_chars % 101) / 100.0::DOUBLE AS c FROM documents JOIN labels USING (doc_id))\n"
-
-
-def labelled(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
-    return rows.withColumn("raw", F.col("n_chars") % 101).withColumn("c", F.col("raw") / 100)
-
-
-@query(
-    """WITH r AS (SELECT doc_id % 3 AS a, CASE WHEN quality = 1 THEN doc_id % 3 ELSE (doc_id + 1) % 3 END AS b FROM labels),
-t AS (SELECT count(*) AS n, avg(CAST(a = b AS INTEGER)) AS po, avg(CAST(a = 0 AS INTEGER)) * avg(CAST(b = 0 AS INTEGER)) + avg(CAST(a = 1 AS INTEGER)) * avg(CAST(b = 1 AS INTEGER)) + avg(CAST(a = 2 AS INTEGER)) * avg(CAST(b = 2 AS INTEGER)) AS pe FROM r)
-SELECT n, round((po - pe) / (1 - pe), 6) AS kappa FROM t"""
-)
-def kappa(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels").selectExpr("doc_id % 3 AS a", "CASE WHEN quality = 1 THEN doc_id % 3 ELSE (doc_id + 1) % 3 END AS b")
-    return M.kappa(rows, "a", "b").select("n", F.round("kappa", 6).alias("kappa"))
-
-
-@query(
-    """WITH t AS (SELECT count(*) AS n, count(*) FILTER (toxic = 1 AND quality = 0) AS tp, count(*) FILTER (toxic = 0 AND quality = 0) AS fp, count(*) FILTER (toxic = 1 AND quality = 1) AS fn, count(*) FILTER (toxic = 0 AND quality = 1) AS tn FROM labels)
-SELECT n, tp, fp, fn, tn, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM t"""
-)
-def refusal(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels").select((F.col("toxic") == 1).alias("is_ood"), (F.col("quality") == 0).alias("refused"))
-    return M.refusal(rows).select("n", "tp", "fp", "fn", "tn", F.round("f1", 6).alias("f1"))
-
-
-EDGES = " + ".join(f"CAST(c >= {i * 0.1!r}::DOUBLE AS INTEGER)" for i in range(1, 10))
-
-
-@query(LABELLED + f"SELECT CAST({EDGES} AS INTEGER) AS bin, count(*) AS n, round(avg(quality), 6) AS accuracy, round(avg(c), 6) AS mean_confidence FROM x GROUP BY 1")
-def reliability_bins(spark, sf_dir):
-    got = M.reliability(labelled(spark, sf_dir), "c", "quality")
-    return got.where("n > 0").select("bin", "n", F.round("accuracy", 6).alias("accuracy"), F.round("mean_confidence", 6).alias("mean_confidence"))
-
-
-@query(LABELLED + "SELECT round(avg(pow(c - quality, 2)), 6) AS brier, round(avg(-(quality * ln(least(greatest(c, 1e-6), 1 - 1e-6)) + (1 - quality) * ln(1 - least(greatest(c, 1e-6), 1 - 1e-6)))), 6) AS log_loss FROM x")
-def brier_logloss(spark, sf_dir):
-    return M.losses(labelled(spark, sf_dir), "c", "quality").select(F.round("brier", 6).alias("brier"), F.round("log_loss", 6).alias("log_loss"))
-
-
-@query()
-def platt_fit(spark, sf_dir):
-    return spark.createDataFrame([M.fit_platt(labelled(spark, sf_dir), "raw", "quality")], "coef double, intercept double")
-
-
-@query("SELECT doc_id, round(1 / (1 + exp(-(2.0 * (n_chars % 101) / 100 - 1.0))), 6) AS probability FROM documents")
-def platt_predict(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.platt(F.col("n_chars") % 101, 2.0, -1.0), 6).alias("probability"))
-
-
-@query("""WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(CAST(doc_id AS VARCHAR))) AS x FROM documents)
-SELECT doc_id, concat(substr(x, 1, 8), '-', substr(x, 9, 4), '-5', substr(x, 14, 3), '-', substr('89ab', CAST(CAST('0x' || substr(x, 17, 1) AS INTEGER) % 4 + 1 AS INTEGER), 1), substr(x, 18, 3), '-', substr(x, 21, 12)) AS point_id FROM h""")
-def point_ids(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", S.point_id(F.col("doc_id")).alias("point_id"))
-
-
-BEST = ", k AS (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY vec_id % 7 DESC, rank) AS INTEGER) AS rerank FROM r WHERE rank <= 20) SELECT * FROM k WHERE rerank <= 5"
-
-
-@query(NEAR.format(on="q.vec_id < 20") + BEST)
-def reranked(spark, sf_dir, asked="vec_id < 20"):
-    return rerank(topk_cosine(spark, sf_dir, asked), (F.col("vec_id") % 7).cast("double")).select("query_id", "vec_id", "rerank")
-
-
-@query(NEAR.format(on=f"q.{EACH_50}") + BEST)
-def reranked_whole(spark, sf_dir):
-    return reranked(spark, sf_dir, EACH_50)
-
-
-@query(
-    """WITH n AS (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) <= 800 THEN 1 ELSE CAST(ceil((length(text) - 800) / 650.0) AS BIGINT) + 1 END)) AS i FROM documents),
-w AS (SELECT doc_id, i, regexp_replace(substr(text, i * 650 + 1, 800), '^\\s+|\\s+$', '', 'g') AS text FROM n)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk, text FROM w WHERE length(text) > 80"""
-)
-def fixed_windows(spark, sf_dir):
-    return C.fixed_windows(table(spark, sf_dir, "documents"))
-
-
-@query("SELECT doc_id, count(*) AS n, CAST(floor(sum(greatest(1, length(trim(t)) // 4)) / count(*)) AS BIGINT) AS mean_tokens FROM documents, unnest(string_split(text, chr(10))) AS u(t) WHERE trim(t) <> '' GROUP BY doc_id")
-def chunk_stats(spark, sf_dir):
-    return C.chunk_stats(C.line_blocks(table(spark, sf_dir, "documents")))
-
-
-@query("SELECT p_brand, coalesce(CAST(median(p_size) FILTER (p_size > 20) AS DOUBLE), 0.0) AS median_size FROM part GROUP BY p_brand")
-def median_size(spark, sf_dir):
-    return C.median_size(table(spark, sf_dir, "part").withColumn("size", F.when(F.col("p_size") > 20, F.col("p_size").cast("double"))), "p_brand", "size")
-
-
-@query()
-def chunk_documents(spark, sf_dir):
-    lines = C.line_blocks(table(spark, sf_dir, "documents"))
-    return C.chunk_documents(lines.withColumn("heading", T.is_heading(F.col("text"), F.lit(0.0), F.lit(0.0))))
-
-
-@query(
-    """SELECT doc_id, CASE WHEN doc_id % 7 > 1 AND doc_id % 5 < 4 THEN 'synthesis' ELSE 'lookup' END AS intent, doc_id % 7 > 1 AND doc_id % 3 = 0 AS is_ood,
-  CASE WHEN doc_id % 7 > 1 THEN (doc_id % 100) / 100.0::DOUBLE ELSE 0.0 END AS confidence, CASE WHEN doc_id % 7 > 1 AND doc_id % 2 = 0 THEN source END AS scope FROM documents"""
-)
-def routes(spark, sf_dir):
-    body = "concat('Sure: {\"intent\": \"', CASE WHEN doc_id % 5 < 4 THEN 'synthesis' ELSE 'other' END, '\", \"is_ood\": ', doc_id % 3 = 0, ', \"ood_confidence\": ', (doc_id % 100) / 100D, ', \"doc_scope\": [', CASE WHEN doc_id % 2 = 0 THEN concat('\"', source, '\"') ELSE '' END, ']}', CASE doc_id % 7 WHEN 0 THEN ' junk {}' WHEN 1 THEN ',}' ELSE ' ok' END)"
-    got = table(spark, sf_dir, "documents").select("doc_id", S.route(F.expr(body)).alias("r"))
-    return got.select("doc_id", "r.intent", "r.is_ood", F.col("r.ood_confidence").alias("confidence"), F.array_join("r.doc_scope", ",").alias("scope"))
-
-
-PROMPT = """SELECT query_id, 'Context: ' || string_agg('[' || rank || '] (v' || vec_id || ' | a > {question})' || chr(10) || score_text, chr(10) || chr(10) ORDER BY rank) || ' Question: q' || query_id AS prompt
-FROM (SELECT *, 'text ' || vec_id AS score_text FROM r WHERE rank <= 5) GROUP BY query_id"""
-
-
-@query(NEAR.format(on="q.vec_id < 20") + PROMPT)
-def prompts(spark, sf_dir, asked="vec_id < 20"):
-    near = topk_cosine(spark, sf_dir, asked).where("rank <= 5")
-    rows = near.select("query_id", "rank", F.concat(F.lit("v"), F.col("vec_id")).alias("doc_name"), F.array(F.lit("root"), F.lit("a"), F.lit("{question}")).alias("path"), F.concat(F.lit("text "), F.col("vec_id")).alias("text"))
-    prompt = S.render("Context: {context} Question: {question}", context=F.col("context"), question=F.concat(F.lit("q"), F.col("query_id")))
-    return S.context(rows).select("query_id", prompt.alias("prompt"))
-
-
-@query(NEAR.format(on=f"q.{EACH_50}") + PROMPT)
-def prompts_whole(spark, sf_dir):
-    return prompts(spark, sf_dir, EACH_50)
-
-
-@query("SELECT doc_id, CASE WHEN CAST('0x' || substr(sha1(CAST(doc_id AS VARCHAR)), 1, 4) AS INTEGER) % 4 < 2 THEN 'train' WHEN CAST('0x' || substr(sha1(CAST(doc_id AS VARCHAR)), 1, 4) AS INTEGER) % 4 = 2 THEN 'dev' ELSE 'holdout' END AS split FROM documents")
-def splits(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", H.split_of(F.col("doc_id")).alias("split"))
-
-
-@query(
-    """WITH c AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 11 = 0) AS errors, count(*) FILTER (quality = 0) AS n_refused, round(avg(quality), 6) AS recall_5, round(avg((doc_id % 100) / 10.0::DOUBLE) FILTER (doc_id % 11 > 0), 6) AS latency_s FROM labels),
-t AS (SELECT count(*) FILTER (toxic = 1 AND quality = 0) AS tp, count(*) FILTER (toxic = 0 AND quality = 0) AS fp, count(*) FILTER (toxic = 1 AND quality = 1) AS fn, count(*) FILTER (toxic = 0 AND quality = 1) AS tn FROM labels WHERE doc_id % 11 > 0)
-SELECT n, errors, n_refused, recall_5, latency_s, round(2 * tp / (2 * tp + fp + fn), 6) AS ood_f1, round(fp / (fp + tn), 6) AS in_scope_refusal_rate FROM c, t"""
-)
-def run_summary(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels").selectExpr(
-        "CASE WHEN toxic = 1 THEN 'ood' ELSE 'factual' END AS category", "CASE WHEN doc_id % 11 = 0 THEN 'failed' END AS error", "quality = 0 AS refused",
-        "CAST(quality AS DOUBLE) AS recall_5", "CAST(quality AS DOUBLE) AS recall_20", "toxic AS faithfulness", "toxic AS relevance", "(doc_id % 100) / 10D AS latency_s",
-    )
-    got = H.summary(rows)
-    return got.select("n", "errors", "n_refused", *[F.round(c, 6).alias(c) for c in ("recall_5", "latency_s", "ood_f1", "in_scope_refusal_rate")])
+__all__ = ["QUERIES", "SQL"]
