@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.sources.shared import new_folder, shared_root
+
 #: Lower-cases A-Z, keeps 0-9, a-z and every non-ASCII byte, makes the rest spaces.
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -66,20 +66,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one all executors share (spark.checkpoint.dir)."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    top = spark.sparkContext.getCheckpointDir() or conf or "file:///tmp/granary-checkpoints"
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one all executors share (spark.checkpoint.dir); a cluster without one raises."""
+    return new_folder(spark, name)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with an eager checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/granary-checkpoints")
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "left", salts: int = 8) -> DataFrame:
+    """left joined with right on key, where one key may have a large share of left's rows: they are dealt over ``salts``
+    tasks by a hash of ``by``, and right's rows (few a key) are there once for each."""
+    a = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return a.join(b, [key, "_salt"], how).drop("_salt")
+
+
+def appended(docs: DataFrame, run, added: str) -> DataFrame:
+    """docs through ``run`` (an Arrow map that sees columns c0, c1, ... and appends those of ``added``). An input column of
+    an added name gives way to the new one; all other columns stay as they are."""
+    names, new = docs.columns, [x.split(" ") for x in added.split(", ")]
+    kinds = [f.dataType.simpleString() for f in docs.schema] + [k for _, k in new]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    out = plain.mapInArrow(run, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
+    fresh = [n for n, _ in new]
+    kept = [F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n not in fresh]
+    return out.select(*kept, *[F.col(f"c{len(names) + i}").alias(n) for i, n in enumerate(fresh)])
+
+
 def in_fold(doc_id: str, folds: int, fold: int):
     """Whether crc32 of the id as text falls in a fold; false for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))

@@ -120,10 +120,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, remove: st
     """Documents (all their columns) without contaminated ones, or with the hit spans cut out of each text."""
     names = docs.columns
     # Rows are told apart by all columns they came with: the text rides along, so no join back is needed.
-    packed = docs.select(F.struct(*names).alias("doc_id"), F.col("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc_id"), F.col("text"))
     found = scan_hits(packed, benchmark, n)
     if remove == "documents":
-        return found.where(~is_contaminated()).select("doc_id.*")
+        return found.where(~is_contaminated()).select(*[F.col("doc_id")[c].alias(c) for c in names])
     if remove != "spans":
         raise ValueError("remove: documents or spans")
     cleaned = F.udf(without_spans, "string", useArrow=True)("text", "hits")

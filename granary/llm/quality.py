@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import in_fold, table, training_rows
+from granary.llm.common import appended, in_fold, table, training_rows
 
 MOST, GROUP = 6000, 512
 UPPER = bytes(range(65, 91))
@@ -175,19 +175,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST) -> LineFie
     return LineField().fit(got)
 
 
-def score_quality(docs: DataFrame, model: LineField) -> DataFrame:
-    """The rows with a column quality_score; all others stay (the name must be free)."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
-    at = names.index("text")
+def score_quality(docs: DataFrame, model: LineField, out: str = "quality_score") -> DataFrame:
+    """The rows with a column ``out``, in place of an input column of that name; all others stay."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
         for b in batches:
             cols = [*b.columns, pa.array(shared.value.score(b[at].to_pylist()), pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
 
-    kinds = [docs.schema[c].dataType.simpleString() for c in names] + ["double"]
-    out = docs.mapInArrow(run, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate([*names, "quality_score"])])
+    return appended(docs, run, f"{out} double")
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

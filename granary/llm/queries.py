@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
+from granary.llm import stages
 from granary.llm.decontaminate import OP1_SQL, op1_decontaminate
 from granary.llm.licenses import op4_licenses
 from granary.llm.mixing import op7_mixing
@@ -14,10 +13,11 @@ from granary.llm.substrings import OP10_SQL, op10_substrings
 from granary.llm.toxicity import op2_toxicity
 from granary.llm.urls import op8_urls
 from granary.llm.warc import OP3_SQL, op3_warc
+from granary.plans.registry import shipped
 
 QUERIES = {
-    f.__name__: f
+    f.__name__: shipped(f)
     for f in (op1_decontaminate, op2_toxicity, op3_warc, op4_licenses, op5_neighbours, op6_simhash, op7_mixing, op8_urls, op9_quality, op10_substrings)
 }
-QUERIES["pipeline"] = corpus_pipeline.run
+QUERIES["pipeline"] = shipped(stages.run)
 SQL = {"op1_decontaminate": OP1_SQL, "op3_warc": OP3_SQL, "op10_substrings": OP10_SQL}

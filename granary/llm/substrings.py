@@ -198,21 +198,23 @@ def _strip(n: int, text_at: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, n: int = 13, details: bool = False) -> DataFrame:
-    """The documents with repeated passages cut from text (texts without any stay as they are); with details also
-    columns n_words, n_removed and kept_sha256. Rows and all other columns stay."""
+def dedup_substrings(docs: DataFrame, n: int = 13, details: tuple = ()) -> DataFrame:
+    """The documents with repeated passages cut from text (texts without any stay as they are). details: three names of
+    columns that are added (words, removed words, SHA-256 of the kept ones), in place of input columns of those names. Rows
+    and all other columns stay, whatever their names."""
     names = docs.columns
-    cut_of = repeated_windows(docs, n).select(F.col("doc_id").alias("_id"), F.col("windows").alias("_windows"))
-    joined = docs.join(cut_of, docs["doc_id"] == cut_of["_id"], "left").drop("_id")
-    kinds = [docs.schema[c].dataType.simpleString() for c in names] + ["bigint", "bigint", "string"]
+    cut_of = repeated_windows(docs.select("doc_id", "text"), n).toDF("id", "windows")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    joined = plain.join(cut_of, plain[f"c{names.index('doc_id')}"] == cut_of["id"], "left").drop("id")
+    kinds = [f.dataType.simpleString() for f in docs.schema] + ["bigint", "bigint", "string"]
     out = joined.mapInArrow(_strip(n, names.index("text")), ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
-    out = out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *([F.col(f"c{len(names) + i}").alias(c) for i, c in enumerate(("n_words", "n_removed", "kept_sha256"))] if details else []))
-    return out
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in details]
+    return out.select(*kept, *[F.col(f"c{len(names) + i}").alias(c) for i, c in enumerate(details)])
 
 
 def op10_substrings(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_substrings(docs, details=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return dedup_substrings(docs, details=("n_words", "n_removed", "kept_sha256")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 #: The same by hand: every window, its smallest document, the words under later ones.
