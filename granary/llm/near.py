@@ -1,9 +1,11 @@
-"""Near-duplicate documents: Jaccard similarity of WORDS-word shingle sets at SIMILAR or more, candidates by MinHash bands.
+"""Near-duplicate documents: SimHash of WORDS-word shingle sets, for Jaccard similarity SIMILAR or more.
 
-A 64-bit SimHash does not serve here: at similarity 0.8 two fingerprints are expected to differ at about 10 bits, which
-leaves the pigeonring no selective segments. So each set gets BANDS keys of ROWS minima; a pair of similarity 0.8
-shares no key with a chance of (1 - 0.8**ROWS)**BANDS, below 1 in 10,000. All that share a key are then compared by
-their whole shingle sets (32 bits of each shingle's hash), so no pair below SIMILAR is linked.
+At similarity 0.8 two sets' fingerprints differ at about 15 % of their bits. No key made of segments selects there, so
+candidates come from minima of the same shingle hashes: BANDS keys of ROWS minima each; a pair of similarity 0.8
+shares no key with a chance of (1 - 0.8**ROWS)**BANDS, below 1 in 10,000. All pairs that share a key are then pruned by
+SimHash: BITS-bit fingerprints pass the pigeonring rule, then the full Hamming check, at MOST differing bits. That is five
+standard deviations above what similarity 0.8 gives (78 of 512, deviation 8), and below what 0.5 gives (137). What is left is
+compared by whole shingle sets (32 bits of each shingle's hash), so no pair below SIMILAR is linked.
 
 Only different sets are compared. A key of up to BUCKET sets compares all its pairs. In larger ones (clouds of near
 copies) each member is compared with one leader, another one in each band, so the work does not grow with the square;
@@ -21,15 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import WordIds, cut, rolling
-from granary.llm.simhash import components
+from granary.llm.common import WordIds, cut, rolling, spread_join
+from granary.llm.simhash import bit_counts, components, ring_passes
 
 WORDS, SIMILAR = 5, 0.8
+BITS, MOST = 512, 118
 ROWS, BANDS, BUCKET, PART, SLICE = 5, 24, 64, 1024, 512
 BASE, MIX = 0xD1342543DE82EF95, np.uint64(0x9FB21C651E98DF25)
 _rng = np.random.default_rng(6)
 TURN, SHIFT = (_rng.integers(0, 2**64, (ROWS * BANDS, 1), np.uint64) | np.uint64(1) for _ in range(2))
 JOIN = _rng.integers(0, 2**64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+WIDE = _rng.integers(0, 2**64, BITS // 64, np.uint64) | np.uint64(1)
 
 
 def shingles(text: str | None, ids_of: WordIds) -> np.ndarray:
@@ -42,6 +46,18 @@ def shingles(text: str | None, ids_of: WordIds) -> np.ndarray:
     return np.unique(runs ^ (runs >> np.uint64(29)))
 
 
+def wide_print(own: np.ndarray) -> bytes:
+    """The SimHash of a set in BITS bits."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(own), 1 << 16):
+        h = own[i : i + (1 << 16), None] * WIDE
+        h ^= h >> np.uint64(32)
+        h *= MIX
+        h ^= h >> np.uint64(29)
+        ones += bit_counts(h)
+    return np.packbits(2 * ones > len(own), bitorder="little").tobytes()
+
+
 def band_keys(own: np.ndarray) -> np.ndarray:
     low = np.full(ROWS * BANDS, 2**64 - 1, np.uint64)
     for i in range(0, len(own), PART):
@@ -60,14 +76,15 @@ def sliced(batches):
 def _sets(batches):
     ids_of = WordIds(100_000)
     for b in sliced(batches):
-        nodes, keys, sets = [], [], []
+        nodes, keys, prints, sets = [], [], [], []
         for t in b[2]:
             own = shingles(t.as_py(), ids_of)
             nodes.append(xxhash.xxh64_intdigest(own.tobytes()) - 2**63)
             keys.append(band_keys(own) if len(own) else None)
+            prints.append(wide_print(own) if len(own) else None)
             sets.append((own >> np.uint64(32)).astype(np.uint32).tobytes())
-        cols = [b[0], b[1], pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "node", "keys", "own"])
+        cols = [b[0], b[1], pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.binary()), pa.array(sets, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "node", "keys", "print", "own"])
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -76,14 +93,30 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _pruned(batches):
+    """Pairs (a, b, x, y) whose fingerprints x and y pass the ring, then the full Hamming check."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in (b[2], b[3]))
+        at = np.flatnonzero(ring_passes(x, y, MOST))
+        at = at[np.bitwise_count(x[at] ^ y[at]).sum(1, dtype=np.int64) <= MOST]
+        yield pa.RecordBatch.from_arrays([b[0], b[1]], names=["a", "b"]).take(pa.array(at))
+
+
 def _verify(batches):
     for b in sliced(batches):
         ok = [similarity(x.as_py(), y.as_py()) >= SIMILAR for x, y in zip(b[2], b[3])]
         yield pa.RecordBatch.from_arrays([b[0], b[1]], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _with_both(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """Pairs (a, b) with the values x of a and y of b; rows (node, value), one a node. A leader is in many pairs, so the joins
+    are spread."""
+    first = spread_join(pairs, values.select(F.col("node").alias("a"), F.col(value).alias("x")), "a", "b", "inner")
+    return spread_join(first, values.select(F.col("node").alias("b"), F.col(value).alias("y")), "b", "a", "inner").select("a", "b", "x", "y")
+
+
 def links(sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b), a < b, between nodes of rows (node, keys, own)."""
+    """Edges (a, b), a < b, between nodes of rows (node, keys, print, own)."""
     nodes = sets.where("keys IS NOT NULL").groupBy("node").agg(F.first("keys").alias("keys"))
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     # The leader is another one in each band: the smallest by a hash of key and node.
@@ -94,6 +127,9 @@ def links(sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
     stars = shared.where((F.col("n") > bucket) & (F.col("node") != F.col("leader"))).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
     pairs = cut(near.unionByName(stars).distinct())
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    prints = cut(sets.select("node", "print").join(needed, "node", "left_semi").groupBy("node").agg(F.first("print").alias("print")))
+    pairs = cut(_with_both(pairs, prints, "print").mapInArrow(_pruned, "a bigint, b bigint"))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     own = cut(sets.select("node", "own").join(needed, "node", "left_semi").groupBy("node").agg(F.first("own").alias("own")))
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint")
@@ -103,9 +139,9 @@ def near_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, h, root) of every row: h is a hash of its text, root names its group."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    sets = cut(rows.mapInArrow(_sets, f"doc_id {kind}, h bigint, node bigint, keys array<bigint>, own binary"))
+    sets = cut(rows.mapInArrow(_sets, f"doc_id {kind}, h bigint, node bigint, keys array<bigint>, print binary, own binary"))
     roots = components(links(sets.where("doc_id IS NOT NULL")))
-    return sets.select("doc_id", "h", "node").join(roots, "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("root"))
+    return spread_join(sets.select("doc_id", "h", "node"), roots, "node", "h").select("doc_id", "h", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -113,6 +149,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows that repeat an id are judged each by its own text."""
     first = F.min(F.struct("doc_id", "h"))
-    kept = near_rows(docs).where("doc_id IS NOT NULL").groupBy("root").agg(first.alias("r")).select("r.*").distinct()
-    once = docs.withColumn("h", F.xxhash64("text")).join(kept, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
-    return once.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    kept = near_rows(docs).where("doc_id IS NOT NULL").groupBy("root").agg(first.alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.h").alias("_h")).distinct()
+    names = docs.columns
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    once = rows.join(kept, ["_id", "_h"], "left_semi").groupBy("_id", "_h").agg(F.min("_row").alias("_row"))
+    return once.select(*[F.col("_row")[c].alias(c) for c in names]).unionByName(docs.where("doc_id IS NULL"))

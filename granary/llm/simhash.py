@@ -1,15 +1,19 @@
-"""SimHash near-duplicate groups, candidates pruned by the pigeonring rule.
+"""SimHash near-duplicate groups, candidates found and pruned by the pigeonring rule.
 
-A fingerprint of 64 bits is a ring of SEGMENTS segments. When two fingerprints differ at d <= D bits in all, some
-segment starts a chain in which, for every length k, the first k segments differ at no more than floor(k * D / SEGMENTS)
-bits together (pigeonring; plain pigeonholes only give the first of these conditions). With D = 2 and four
-segments the budgets are 0, 1, 1, 2: the start is equal, and of the next two segments at least one. So candidates
-share two whole segments (six keys of 32 bits), then pass the chain budgets, then the full Hamming check.
+A fingerprint is a ring of segments. When two fingerprints differ at d <= D bits in all, some segment starts a chain in
+which, for every length k, the first k of m segments differ at no more than floor(k * D / m) bits together (pigeonring; plain
+pigeonholes only give the first of these conditions).
 
-Only different fingerprints are compared. A key bucket of up to BUCKET fingerprints is joined with itself. The members
-of larger buckets (clouds of near copies) are linked without pairs and exactly: two fingerprints differ at 2 bits or
-fewer just when some value lies within one bit of both, so each member emits its 65 values and links to the
-smallest member of each. Nothing is capped or dropped.
+Exact links of 64-bit fingerprints at D = 2 (``near_duplicates``): three segments of 22, 21 and 21 bits have budgets 0, 1
+and 2, so a chain's first segment is equal, and its second within one bit. The chain itself makes the candidates: each
+fingerprint stands under its three exact keys (start, next) and is looked for under the keys whose second segment is
+changed in one bit or none. Keys have 42 bits and more, so few candidates reach the full Hamming check, the chain's last
+condition. Only different fingerprints are compared. Members of keys with more than BUCKET fingerprints (clouds of near
+copies) are linked without pairs and exactly: two fingerprints differ at 2 bits or fewer just when some value lies within
+one bit of both, so each member emits its 65 values and links to the smallest member of each. Nothing is capped or dropped.
+
+Texts of similarity 0.8 or more (``granary.llm.near``) differ at about 15 % of their bits, where no key made of segments
+selects; there the rule prunes candidate pairs of wide fingerprints (``ring_passes``).
 
 Texts: null and empty texts have no words and fingerprint zero, linked like any other; fewer than three words are
 one shingle. Rows with a null doc_id get a null component and link nothing; repeated ids share a row's group.
@@ -22,15 +26,24 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import cut, table
+from granary.llm.common import cut, spread_join, table
 
-SEGMENTS, WIDTH, BUCKET = 4, 16, 64
+#: (lowest bit, width) of the three segments of 64 bits.
+RING, BUCKET = ((0, 22), (22, 21), (43, 21)), 64
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the rows of (n, words) uint64 hashes have each bit."""
+    parts = hashes.view(np.uint8).reshape(len(hashes), -1)
+    if len(hashes) < 256:
+        return np.unpackbits(parts, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.concatenate([np.bincount(parts[:, k], minlength=256) @ BITS_OF_BYTE for k in range(parts.shape[1])])
+
+
 def fingerprint(text: str | None, n: int = 3) -> int:
     """Signed 64-bit fingerprint of a text's shingles, repeats included."""
     words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()  # ASCII letters alone
@@ -44,10 +57,20 @@ def fingerprint(text: str | None, n: int = 3) -> int:
         starts = (ends[: 1 - n] - np.fromiter(map(len, words[: 1 - n]), np.int64, len(words) - n + 1) - 1).tolist()
         hash_of = functools.partial(xxhash.xxh64_intdigest, seed=42)
         hashes = [hash_of(whole[a:b]) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist())]
-    h = np.array(hashes, np.uint64)
-    parts = h.view(np.uint8).reshape(-1, 8)
-    ones = np.concatenate([np.bincount(parts[:, k], minlength=256) @ BITS_OF_BYTE for k in range(8)])
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
+    return int(np.packbits(2 * bit_counts(np.array(hashes, np.uint64)[:, None]) > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def ring_passes(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs of fingerprints (rows of uint16 segments) have a chain that keeps its proportional budget at every length."""
+    m = a.shape[1]
+    differ = np.bitwise_count(a ^ b).astype(np.int32)
+    sums = np.cumsum(np.concatenate([differ, differ[:, :-1]], 1), 1)
+    before = np.concatenate([np.zeros((len(a), 1), np.int32), sums], 1)
+    budget = np.arange(1, m + 1) * most // m
+    ok = np.zeros(len(a), bool)
+    for start in range(m):
+        ok |= (sums[:, start : start + m] - before[:, start : start + 1] <= budget).all(1)
+    return ok
 
 
 def _prints(batches):
@@ -60,41 +83,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_prints, f"doc_id {kind}, fp bigint")
 
 
-def _segment(col, i: int):
-    return F.shiftrightunsigned(col, WIDTH * i).bitwiseAND(F.lit((1 << WIDTH) - 1))
+def _key(start: int) -> Column:
+    """A chain's first two segments and where it starts: start | first | second."""
+    first, second = (F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)) for low, width in (RING[start], RING[(start + 1) % 3]))
+    return F.shiftleft(first, 22).bitwiseOR(second).bitwiseOR(F.lit(start << 60))
+
+
+def chain_keys(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (fp, key): the exact keys, and the keys with the second segment as it is and with each bit turned."""
+    exact = prints.select("fp", F.explode(F.array(*[_key(s) for s in range(3)])).alias("key"))
 
+    def turned(start: int) -> Column:
+        bits = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << j for j in range(RING[(start + 1) % 3][1])))])
+        return F.transform(bits, lambda bit: _key(start).bitwiseXOR(bit))
 
-def pigeonring(a, b, most: int = 2):
-    """Whether some chain of consecutive segments stays within its budgets at every length."""
-    diff = [F.bit_count(_segment(F.col(a).bitwiseXOR(F.col(b)), i)) for i in range(SEGMENTS)]
-    chains = []
-    for start in range(SEGMENTS):
-        sums, total = [], F.lit(0)
-        for k in range(1, SEGMENTS + 1):
-            total = total + diff[(start + k - 1) % SEGMENTS]
-            sums.append(total <= k * most // SEGMENTS)
-        chains.append(functools.reduce(lambda x, y: x & y, sums))
-    return functools.reduce(lambda x, y: x | y, chains)
+    return exact, prints.select("fp", F.explode(F.concat(*[turned(s) for s in range(3)])).alias("key"))
 
 
 def links(prints: DataFrame, most: int = 2) -> DataFrame:
     """Edges (a, b), a < b, that join all fingerprints linked at up to ``most`` = 2 differing bits (and only those)."""
     if most != 2:
-        raise ValueError("the segment keys are laid out for 2 bits")
-    pairs = [(i, j) for i in range(SEGMENTS) for j in range(i + 1, SEGMENTS)]
-    keys = F.array(*[F.shiftleft(_segment(F.col("fp"), i), WIDTH).bitwiseOR(_segment(F.col("fp"), j)).bitwiseOR(F.shiftleft(F.lit(k).cast("long"), 2 * WIDTH)) for k, (i, j) in enumerate(pairs)])
-    keyed = prints.select("fp", F.explode(keys).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    small = keyed.join(sizes.where(F.col("n").between(2, BUCKET)).select("key"), "key")
-    near = (
-        small.select("key", F.col("fp").alias("a"))
-        .join(small.select("key", F.col("fp").alias("b")), "key")
-        .where(F.col("a") < F.col("b"))
-        .where(pigeonring("a", "b"))
-        .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)
-        .select("a", "b")
-    )
-    crowded = keyed.join(sizes.where(F.col("n") > BUCKET).select("key"), "key").select("fp").distinct()
+        raise ValueError("the segments are laid out for 2 bits")
+    exact, looked = chain_keys(prints)
+    large = cut(exact.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("key"))
+    pairs = exact.join(large, "key", "left_anti").withColumnRenamed("fp", "a").join(looked.withColumnRenamed("fp", "b"), "key").where("a < b")
+    near = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most).select("a", "b")
+    crowded = looked.join(large, "key", "left_semi").select("fp").distinct()
     ball = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     around = crowded.select("fp", F.explode(ball).alias("mid"))
     least = around.groupBy("mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("mid", "a")
@@ -104,7 +118,8 @@ def links(prints: DataFrame, most: int = 2) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges: each round every node moves to its smallest neighbour, then the
-    edges between the nodes that are left are taken; they at least halve, and the mapping is carried along."""
+    edges between the nodes that are left are taken; they at least halve, and the mapping is carried along. Joins on
+    a root or a hub are spread, as one may have a large share of all rows."""
     edges = cut(edges)
     roots = None
     while not edges.isEmpty():
@@ -113,13 +128,11 @@ def components(edges: DataFrame) -> DataFrame:
         if roots is None:
             roots = move.select(F.col("a").alias("node"), F.col("to").alias("root"))
         else:
-            roots = roots.join(move, roots.root == move.a, "left").select("node", F.coalesce("to", "root").alias("root"))
+            roots = spread_join(roots, move.withColumnRenamed("a", "root"), "root", "node").select("node", F.coalesce("to", "root").alias("root"))
         roots = cut(roots)
-        x = move.select("a", F.col("to").alias("x"))
-        y = move.select(F.col("a").alias("b"), F.col("to").alias("y"))
-        edges = cut(
-            edges.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        )
+        x, y = move.select("a", F.col("to").alias("x")), move.select(F.col("a").alias("b"), F.col("to").alias("y"))
+        moved = spread_join(spread_join(edges, x, "a", "b", "inner"), y, "b", "a", "inner")
+        edges = cut(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -131,8 +144,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mapped = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     # Which fingerprint ends as root is arbitrary; the component is named by its smallest doc_id.
     names = mapped.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = mapped.join(names, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    by_print = spread_join(mapped, names, "root", "fp", "inner").select("fp", "component_id")
+    return spread_join(prints, by_print, "fp", "doc_id").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

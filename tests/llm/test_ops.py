@@ -36,7 +36,7 @@ def test_substrings_equal_brute_force(spark):
         gone = {p for i in range(len(w) - 12) if d is not None and owner[tuple(w[i : i + 13])] < d for p in range(i, i + 13)}
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         want.append((str(d), len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    got = substrings.dedup_substrings(df, details=True).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    got = substrings.dedup_substrings(df, details=("n_words", "n_removed", "kept_sha256")).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
     assert any(x[2] for x in want)
     assert substrings.dedup_substrings(df.where("false")).count() == 0
@@ -82,14 +82,26 @@ def test_components_equal_brute_force(spark, monkeypatch, bucket):
 
 
 def test_mixing(spark):
-    slots = mixing.quotas({"a": 5, "b": 3, None: 1}, 100)
-    met = dict.fromkeys(slots, 0)
-    for t, s in enumerate(mixing.schedule(slots), 1):
-        met[s] += 1
-        assert all(abs(met[x] - t * q / 100) < 1 for x, q in slots.items())
     got = mixing.mix(few(spark), block=2).collect()
     assert len(got) == 11 and len({r.position for r in got}) == 11
     assert mixing.mix(few(spark).where("false")).count() == 0
+    kept = mixing.mix(few(spark).withColumnRenamed("fp", "slot"), block=2, keep=True, bucket_rows=1)
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "source_row", "block", "slot", "position"]
+    rows = kept.collect()
+    assert sorted(map(str, (r.text for r in rows))) == sorted(str(r.text) for r in few(spark).collect()) and len({r.position for r in rows}) == 11
+
+
+@pytest.mark.parametrize("n", [1, 3, 1500])
+def test_pfair_keeps_target_weights_over_many_periods(n):
+    weights = {"a": 2**0.5, "b": 1.0, "c": 5**0.5, "d": 0.0005} if n > 1 else {"a": 0.3}
+    weights |= {f"s{i}": 0.001 + i * 1e-6 for i in range(n)} if n > 3 else {}
+    total, met = sum(weights.values()), dict.fromkeys(weights, 0)
+    exact = mixing.whole(weights)
+    for t, (s, k) in enumerate(itertools.islice(mixing.pfair(exact), 20_000 if n > 3 else 200_000), 1):
+        assert k == met[s]
+        met[s] += 1
+        if t % 997 == 0 or t < 3000:
+            assert all(abs(met[x] - t * w / total) < 1 for x, w in weights.items())
 
 
 def test_marginals_equal_enumeration():
@@ -194,7 +206,8 @@ def test_near_links_equal_brute_force(spark):
 
 @pytest.mark.parametrize("others", [9, 19, 200])
 def test_mixing_keeps_the_given_weights(spark, monkeypatch, others):
-    monkeypatch.setattr(mixing.planned, "__defaults__", (700,))
+    monkeypatch.setattr(mixing, "BATCH", 700)
+    monkeypatch.setattr(mixing, "SUPER", 4)
     weights = {"a": Fraction(1, 2)} | {f"s{i}": Fraction(1, 2 * others) for i in range(others)}
     met = dict.fromkeys(weights, 0)
     for t, (s, k) in enumerate(itertools.islice(mixing.pfair(mixing.whole(weights)), 3000), 1):
@@ -203,7 +216,7 @@ def test_mixing_keeps_the_given_weights(spark, monkeypatch, others):
         assert all(abs(met[x] - t * w) < 1 for x, w in weights.items())
     rows = [(i, "x", None, "a" if i % 2 else f"s{i // 2 % others}", 1, None) for i in range(4000)]
     for given in (weights, None, {s: float(w) ** 0.7 for s, w in weights.items()}):
-        got = sorted((r.slot, r.source, r.block) for r in mixing.mix(docs(spark, rows), given, block=1).collect())
+        got = sorted((r.slot, r.source, r.block) for r in mixing.mix(docs(spark, rows), given, block=1, bucket_rows=100).collect())
         shares = mixing.whole(given or {s: n**0.5 for s, n in [("a", 2000), *[(f"s{i}", len(range(i, 2000, others))) for i in range(others)]]})
         want = {(s, k): t for t, (s, k) in enumerate(itertools.islice(mixing.pfair(shares), 200_000))}
         assert len(got) == 4000 and all(t == want[s, k] for t, s, k in got)
