@@ -1,61 +1,7 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline's stages (see granary.llm.stages)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from granary.llm.stages import ORACLE_SQL, STAGES, run
 
-from granary.llm.common import shared_dir, table
-from granary.llm.decontaminate import decontaminate
-from granary.llm.mixing import mix
-from granary.llm.near import keep_one
-from granary.llm.quality import fit_quality, score_quality
-from granary.llm.substrings import dedup_substrings
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier scores at 0.3 or more."""
-    model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).where("quality_score >= 0.3").drop("quality_score")
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with 5-word Jaccard similarity 0.8 or more."""
-    return keep_one(docs)
-
-
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut; n_chars follows the text, and texts cut to nothing go."""
-    cut = dedup_substrings(docs, details=True)
-    kept = cut.where("NOT (n_removed > 0 AND n_removed = n_words)")
-    return kept.selectExpr(*["CASE WHEN n_removed > 0 THEN length(text) ELSE n_chars END AS n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns])
-
-
-def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which under a twentieth of the words are in benchmark windows."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's place in the mix."""
-    return mix(docs)
-
-
-STAGES = [
-    ("quality", quality),
-    ("near_dedup", near_dedup),
-    ("substring_dedup", substring_dedup),
-    ("decontaminate", benchmark_free),
-    ("mixing", mixed),
-]
-
-#: A trained classifier and hash orders stand in these stages; they are tested by brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    top = shared_dir(spark, "pipeline")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
-        docs = spark.read.parquet(f"{top}/{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
