@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.sources.shared import new_folder, shared_root
@@ -109,17 +109,20 @@ def batch_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int) -> DataFrame:
-    """At most ``most`` labelled documents (doc_id, text, y) outside the held-out fold.
+    """At most ``most`` labelled documents (doc_id, text, y, place) outside the held-out fold.
 
-    The labels are chosen by the order of a hash of the id, so the same ones at every run. A null label or id is
-    left out; an id labelled twice takes the larger label. The chosen ids are at most ``most``, so they are broadcast.
+    The labels are chosen by the order of a hash of the id, which is their place from 0, so the same ones at every run. A null
+    label or id is left out; an id labelled twice takes the larger label; of rows that repeat an id, the text of the smallest
+    hash counts. The chosen ids are at most ``most``, so they are broadcast.
     """
-    chosen = (
+    known = (
         labels.select(F.col("doc_id"), F.col(label).alias("y"))
         .where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id", folds, held))
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    first = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = first.withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")).cast("long") - 1)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
+    return rows.groupBy("doc_id").agg(one.alias("text"), F.max("y").alias("y"), F.max("place").alias("place"))

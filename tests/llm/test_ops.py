@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from granary.llm import decontaminate, licenses, mixing, near, neighbours, quality, simhash, substrings, toxicity, urls, warc
+from granary.llm import common, decontaminate, licenses, mixing, near, neighbours, quality, simhash, substrings, toxicity, urls, warc
 
 BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
 
@@ -106,17 +106,41 @@ def test_pfair_keeps_target_weights_over_many_periods(n):
 
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(2)
-    scores, sizes, trans = rng.normal(size=7), np.array([3, 4]), rng.normal(size=(2, 2))
-    good, _ = quality.marginals(scores, sizes, trans)
-    at = 0
+    sizes, trans = np.array([3, 1, 7, 4]), rng.normal(size=(2, 2))
+    scores, weight = rng.normal(size=15) * 3, rng.random(15)
+    good, pairs = quality.marginals(scores, sizes, trans, weight)
+    at, want = 0, np.zeros((2, 2))
     for n in sizes:
-        total, each = 0.0, np.zeros(n)
-        for labels in np.ndindex(*[2] * n):
+        total, each, two = 0.0, np.zeros(n), np.zeros((2, 2))
+        for labels in np.ndindex(*[2] * int(n)):
             w = np.exp(sum(scores[at + i] * labels[i] for i in range(n)) + sum(trans[labels[i], labels[i + 1]] for i in range(n - 1)))
             total += w
             each += w * np.array(labels)
+            for i in range(n - 1):
+                two[labels[i], labels[i + 1]] += w * weight[at + i + 1]
         assert np.allclose(good[at : at + n], each / total)
+        want += two / total
         at += n
+    assert np.allclose(pairs, want)
+
+
+def test_gradient_climbs_the_likelihood():
+    rng = np.random.default_rng(4)
+    data = []
+    for y in (0, 1) * 40:
+        n = int(rng.integers(1, 9))
+        own = rng.normal(size=(n, quality.OWN))
+        own[:, 3] += 2 * y
+        data.append((own, np.ones(n), y))
+    model = quality.LineField().fit(data)
+    assert model.w[3] > 0.3 and model.w[quality.OWN + 3] > 0.1 and model.w[2 * quality.OWN + 3] > 0.1 and model.trans[1, 1] > model.trans[0, 1]
+
+
+def test_quality_of_very_long_and_odd_texts():
+    model = quality.LineField().fit([(own, n, y) for y, t in ((1, "A good line.\nAnd more."), (0, "!!! ###\n$$$")) for own, n in quality.line_blocks(t)])
+    long = "\n".join("A good line." if i % 3 else "!!! ###" for i in range(200_000))
+    got = model.score([None, "", " \n", long, "x", long])
+    assert len(got) == 6 and np.isfinite(got).all() and got[0] == got[1] == got[2] and got[3] == got[5]
 
 
 def test_classifiers(spark):
@@ -241,8 +265,15 @@ def test_keep_one_judges_repeated_ids_by_row(spark):
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, BASE), (1, BASE), (2, other), (3, "one of a kind"), (3, "of another kind")])
 
 
-def test_quality_fit_reads_every_line():
-    text = "\n".join(f"line {i}" for i in range(1000))
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([1])], names=["doc_id", "text", "y"])
+def test_quality_fit_reads_every_line(spark):
+    text = "\n".join(f"line {i}" for i in range(9000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([1]), pa.array([0])], names=["doc_id", "text", "y", "place"])
     (got,) = quality._features([batch])
-    assert len(got[0][0].as_py()) == 1000 * quality.OWN * 4
+    assert len(got[0][0].as_py()) == 9000 * quality.OWN * 4 and got[3][0].as_py() == 9000
+
+
+def test_training_rows_are_one_a_document(spark):
+    df = docs(spark, [(i % 7 or None, f"text {i}", None, None, None, None) for i in range(100)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 7)] + [(3, None), (None, 1), (4, 1)], "doc_id bigint, y int")
+    got = common.training_rows(df, labels, "y", 1, 5, 4).collect()
+    assert len(got) == 4 and sorted(r.place for r in got) == [0, 1, 2, 3] and all(r.y == 1 for r in got if r.doc_id == 4)
