@@ -1,13 +1,16 @@
 """Approximate nearest neighbours: a robust-pruned directed graph per shard, searched by beams.
 
 Equal vectors are one node that keeps its smallest ids (as many as a result can hold), so a vector of any frequency
-costs one node and ties go to smaller ids. Nodes are dealt to shards of about SHARD by a hash. Within a shard
-a random graph is improved in rounds: greedy searches from the medoid propose neighbours, and relaxed distance pruning
+costs one node and ties go to smaller ids. Nodes are dealt to shards of about SHARD by a hash, a shard to each partition. Within a
+shard a random graph is improved in rounds: greedy searches from the medoid propose neighbours, and relaxed distance pruning
 (a candidate goes when a kept one is nearer to it by the factor ALPHA than the node is) keeps at most DEGREE diverse
-edges; reverse edges join and are pruned again. A query's beam search of every shard gives its best nodes, whose
+edges; reverse edges join and are pruned again. The stated queries travel to the shards, in groups of at most QUERY_BYTES that
+are sent out once each, while the index stays where it is; a query's beam search of every shard gives its best nodes, whose
 distances are exact, and the shards' bests are merged. The index holds every valid row; recall is measured in the tests.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, as queries too.
+Vectors that are null, zero, or hold null or non-finite components take no part, as queries too. Vectors of different lengths
+are never compared: each length has shards of its own. Rows that repeat an id with other vectors are one candidate, at the
+least of their distances; as a query, the smallest of their vectors asks. No rows, or no queries, give an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import cut, table
 
-SHARD, DEGREE, BEAM, ALPHA, ROUNDS, QUERY_BLOCK = 4000, 24, 64, 1.2, 2, 256
+SHARD, DEGREE, BEAM, ALPHA, ROUNDS, QUERY_BLOCK, QUERY_BYTES = 4000, 24, 64, 1.2, 2, 256, 64 << 20
 
 
 def distances(x: np.ndarray, of: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -143,43 +146,57 @@ def valid(df: DataFrame) -> DataFrame:
 def build_index(rows: DataFrame, ids: int, shard: int = SHARD) -> DataFrame:
     """One row per shard: vectors, graph, start and the smallest ``ids`` ids of each vector."""
     first = Window.partitionBy("embedding").orderBy("vec_id")
-    nodes = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= ids)
+    nodes = rows.groupBy("embedding", "vec_id").agg(F.lit(0)).withColumn("place", F.row_number().over(first)).where(F.col("place") <= ids)
     nodes = cut(nodes.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
-    shards = max(1, -(-nodes.count() // shard))
-    dealt = nodes.select(F.pmod(F.xxhash64("embedding"), F.lit(shards)).alias("shard"), "embedding", "ids")
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.get("ids", 0))
+    sizes = {r.d: r["count"] for r in nodes.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect()}  # an entry a length
+    number, base = F.lit(None).cast("long"), 0
+    for d, n in sizes.items():
+        own = max(1, -(-n // shard))
+        number = F.when(F.size("embedding") == d, F.pmod(F.xxhash64("embedding"), F.lit(own)) + base).otherwise(number)
+        base += own
+    dealt = nodes.select(number.alias("shard"), "embedding", "ids")
+    # By exact numbers: hashing them would put several shards in one task.
+    dealt = dealt.repartitionById(max(1, base), F.col("shard").cast("int")).sortWithinPartitions("shard", F.get("ids", 0))
     return cut(dealt.mapInArrow(_index, "shard bigint, n bigint, start bigint, x binary, graph binary, sizes binary, ids binary"))
 
 
-def _search(k: int, beam: int):
+def _search(shared, k: int, beam: int):
     def run(batches):
+        asked = shared.value
+        lengths = np.array([len(v) for v in asked[1]])
         for b in batches:
             for r in b.to_pylist():
                 x = np.frombuffer(r["x"]).reshape(r["n"], -1)
                 graph = np.frombuffer(r["graph"], np.int32).reshape(r["n"], -1)
                 sizes, ids = np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["ids"], np.int64)
                 starts = np.cumsum(sizes) - sizes
-                out = []
-                queries = np.array([q["embedding"] for q in r["queries"]], np.float64)
-                nodes, dist = beam_search(x, graph, r["start"], queries, max(beam, 2 * k))
-                for q, own, d in zip(r["queries"], nodes, dist):
-                    got = [(float(np.sqrt(s)), int(i)) for j, s in zip(own[: 2 * k + 2], d) if np.isfinite(s) for i in ids[starts[j] : starts[j] + sizes[j]] if i != q["vec_id"]]
-                    out += [(q["vec_id"], i, s) for s, i in sorted(got)[:k]]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+                mine = np.flatnonzero(lengths == x.shape[1])
+                for lo in range(0, len(mine), QUERY_BLOCK):
+                    at, out = mine[lo : lo + QUERY_BLOCK], []
+                    nodes, dist = beam_search(x, graph, r["start"], np.array([asked[1][i] for i in at], np.float64), max(beam, 2 * k))
+                    for q, own, d in zip(asked[0][at].tolist(), nodes, dist):
+                        got = [(float(np.sqrt(s)), int(i)) for j, s in zip(own[: 2 * k + 2], d) if np.isfinite(s) for i in ids[starts[j] : starts[j] + sizes[j]] if i != q]
+                        out += [(q, i, s) for s, i in sorted(got)[:k]]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
     return run
 
 
 def search(queries: DataFrame, index: DataFrame, k: int = 10, beam: int = BEAM) -> DataFrame:
-    """(query_id, rank, vec_id, score): blocks of the stated queries against every shard, merged."""
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    packed = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
-    spread = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = spread.join(packed, "block").select(*index.columns, "queries").mapInArrow(_search(k, beam), "query_id bigint, vec_id bigint, score double")
+    """(query_id, rank, vec_id, score): the stated queries against every shard, merged. The index must keep k + 1 ids of a vector."""
+    schema = "query_id bigint, vec_id bigint, score double"
+    one = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    size = one.agg(F.coalesce(F.sum(8 * F.size("embedding") + 16), F.lit(0))).first()[0]
+    groups, found = max(1, -(-size // QUERY_BYTES)), None
+    for g in range(groups):
+        part = (one.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g) if groups > 1 else one).toArrow()
+        asked = (part["vec_id"].to_numpy(), [np.asarray(v.values, np.float64) for v in part["embedding"]])
+        got = index.mapInArrow(_search(queries.sparkSession.sparkContext.broadcast(asked), k, beam), schema)
+        found = got if found is None else found.unionByName(got)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_neighbours(spark, sf_dir: str) -> DataFrame:

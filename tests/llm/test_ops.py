@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from granary.llm import common, decontaminate, licenses, mixing, near, neighbours, quality, simhash, substrings, toxicity, urls, warc
 
@@ -186,21 +187,41 @@ def test_urls(spark):
     assert got[3].host == "" and got[4].path == "/de/" and all(r.verdict in ("allow", "block") for r in got.values())
 
 
-def test_neighbours_recall_and_ties(spark):
+def brute_neighbours(x, ids, q, of, k=10):
+    d = np.sqrt(((x - of) ** 2).sum(1))
+    return [(int(ids[i]), d[i]) for i in np.lexsort((ids, d)) if ids[i] != q][:k]
+
+
+@pytest.mark.parametrize("dims, shard", [(16, 800), (64, 500)])
+def test_neighbours_recall_and_ties(spark, monkeypatch, dims, shard):
+    monkeypatch.setattr(neighbours, "QUERY_BYTES", 2000)  # several groups of queries
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(3000, 16)).round(3)
+    x = rng.normal(size=(3000, dims)).round(3)
     x[1000:1200] = x[999]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5100, [0.0] * 16), (5200, [float("nan")] * 16)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5100, [0.0] * dims), (5200, [float("nan")] * dims), (5300, [1.0, None])]
     df = neighbours.valid(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
-    got = neighbours.search(df.where("vec_id % 100 = 0"), neighbours.build_index(df, 11, shard=800)).toPandas()
+    index = neighbours.build_index(df, 11, shard=shard)
+    assert index.count() >= 3 and index.select(F.spark_partition_id()).distinct().count() == index.count()
+    got = neighbours.search(df.where("vec_id % 100 = 0"), index).toPandas()
     hit = 0
     for q, g in got.groupby("query_id"):
-        d = np.sqrt(((x - x[q]) ** 2).sum(1))
-        hit += len(set([i for i in np.lexsort((np.arange(3000), d)) if i != q][:10]) & set(g.vec_id))
+        want = brute_neighbours(x, np.arange(3000), q, x[q])
+        hit += len({i for i, _ in want} & set(g.vec_id))
+        assert np.allclose(g.sort_values("rank").score, np.sqrt(((x[g.sort_values("rank").vec_id] - x[q]) ** 2).sum(1)), rtol=1e-12)
     assert got.query_id.nunique() == 30 and hit / 300 >= 0.9
     assert got[got.query_id == 1100].sort_values("rank").vec_id.tolist() == list(range(999, 1009))
 
 
+def test_neighbours_of_odd_rows(spark):
+    rows = [(0, [1.0, 0.0]), (100, [0.0, 2.0]), (1, [1.0, 1.0]), (1, [1.0, 0.5]), (2, [3.0, 3.0, 3.0]), (200, [1.0, 1.0, 1.0]), (3, [1.0, 0.0]), (0, [5.0, 5.0]), (None, [1.0, 0.0]), (300, [])]
+    df = neighbours.valid(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    got = neighbours.search(df.where("vec_id % 100 = 0"), neighbours.build_index(df, 11)).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 3), (0, 2, 1), (0, 3, 100), (100, 1, 1), (100, 2, 0), (100, 3, 3), (200, 1, 2)]
+    assert got[1].score == 0.5
+    none = df.where("false")
+    assert neighbours.search(none, neighbours.build_index(none, 11)).count() == 0 and neighbours.search(none, neighbours.build_index(df, 11)).count() == 0
+
+
 def test_keep_one_links_similarity_of_four_fifths(spark):
     words = [f"w{i}" for i in range(300)]
     far = [*words[:50], *[f"x{i}" for i in range(60)], *words[110:]]
