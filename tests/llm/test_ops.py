@@ -53,6 +53,32 @@ def test_decontaminate(spark):
     assert {r.text for r in decontaminate.decontaminate(few(spark), bench, remove="spans").where("doc_id = 4").collect()} == {" end"}
 
 
+@pytest.mark.parametrize("block", [1_000_000, 40])
+def test_hits_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    rng = np.random.default_rng(5)
+    word = lambda n: " ".join(rng.choice(["a", "B", "cé", "d4"], n))
+    items = [(i, word(int(rng.integers(0, 25)))) for i in range(12)] + [(20, None), (21, "--"), (3, word(20)), (None, word(15))]
+    texts = [word(int(rng.integers(0, 400))) for _ in range(20)] + [", ".join([word(30), items[5][1], word(9), items[5][1].upper()]), None, "", "x" * 100_000, word(60_000)]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    owners = {}
+    for i, t in items:
+        w = words(t)
+        k = min(13, len(w))
+        for j in range(len(w) - k + 1 if k and i is not None else 0):
+            owners.setdefault(tuple(w[j : j + k]), set()).add(str(i))
+    got = {r.doc_id: r for r in decontaminate.scan_hits(docs(spark, [(i, t, None, None, None, None) for i, t in enumerate(texts)]), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    for i, t in enumerate(texts):
+        w, hits, found = words(t), set(), set()
+        for k in {len(x) for x in owners}:
+            for j in range(len(w) - k + 1):
+                if own := owners.get(tuple(w[j : j + k])):
+                    hits.update(range(j, j + k))
+                    found |= own
+        assert (got[i].n_words, got[i].hits, got[i].item_ids) == (len(w), sorted(hits), sorted(found))
+    assert any(r.hits for r in got.values())
+
+
 def fingerprint(text):
     w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
     s = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
