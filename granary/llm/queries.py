@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from granary.llm import stages
 from granary.llm.decontaminate import OP1_SQL, op1_decontaminate
-from granary.llm.licenses import op4_licenses
+from granary.llm.licenses import OP4_SQL, op4_licenses
 from granary.llm.mixing import op7_mixing
 from granary.llm.neighbours import op5_neighbours
 from granary.llm.quality import op9_quality
@@ -20,4 +20,4 @@ QUERIES = {
     for f in (op1_decontaminate, op2_toxicity, op3_warc, op4_licenses, op5_neighbours, op6_simhash, op7_mixing, op8_urls, op9_quality, op10_substrings)
 }
 QUERIES["pipeline"] = shipped(stages.run)
-SQL = {"op1_decontaminate": OP1_SQL, "op3_warc": OP3_SQL, "op10_substrings": OP10_SQL}
+SQL = {"op1_decontaminate": OP1_SQL, "op3_warc": OP3_SQL, "op4_licenses": OP4_SQL, "op10_substrings": OP10_SQL}
