@@ -238,11 +238,46 @@ def test_license_join_loses_nothing(spark):
     assert all({m.label: pytest.approx(m.score) for m in got[i]} == w for i, w in enumerate(want)) and 0 < sum(map(len, want)) < 60 * 40
 
 
-def test_urls(spark):
-    rows = ["http://A.org/x", "https://m.example.org/es/1", "example.org/es/", None, "http://example.com/de/?q=://", "http://xorg/a", "http://b.com/fr/2#f"]
-    got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string")).collect()}
-    assert [got[i].rule for i in range(7)] == ["org/", "example.org/es/", None, None, "com/de/", None, "com/fr/"]
-    assert got[3].host == "" and got[4].path == "/de/" and all(r.verdict in ("allow", "block") for r in got.values())
+URLS = ["http://A.org/x", "https://m.example.org/es/1", "example.org/es/", None, "http://example.com/de/?q=://", "http://xorg/a", "http://b.com/fr/2#f", "http://a..org/y", "://com/de/x", "http://com/deep", "http://e.com/de/" + "1/" * 5000, ""]
+
+
+def by_rule(url, rules):
+    """(host, path, rule) of one url."""
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fits = [r for r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+    return host, path, max(fits, key=lambda r: (len(r), r), default=None)
+
+
+@pytest.mark.parametrize("more", [0, 500])
+def test_urls(spark, more):
+    rules = urls.RULES | {f"h{i}.net/{i % 7}": "block" for i in range(more)}
+    rows = URLS + [f"http://x.h{i}.net/{i % 5}/a" for i in range(0, more, 7)]
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(rows)] + [(0, URLS[0], "again"), (None, None, None)], "page_id bigint, url string, host string")
+    got = urls.judge_urls(df, rules).collect()
+    assert len(got) == len(rows) + 2 and sorted(r.page_id for r in got if r.page_id is not None)[:2] == [0, 0]
+    for r in got:
+        want = by_rule(rows[r.page_id] if r.page_id is not None else None, rules)
+        assert (r.host, r.path, r.rule) == want and r.verdict == rules.get(r.rule, r.verdict) and r.verdict in ("allow", "block")
+        assert (r.block_probability is None) == (r.rule is not None)
+    assert urls.judge_urls(df.where("false")).count() == 0
+
+
+def test_trees_learn_and_leave_out_the_own_label(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"http://{'x' * int(rng.integers(1, 9))}{i % 3}.info/{'7' * 12 if i % 2 else 'abc'}/{i if i % 2 else ''}", i % 2) for i in range(400)]
+    labelled = spark.createDataFrame(rows, "url string, blocked int")
+    pages = spark.createDataFrame([(i, f"http://new{i}.biz/{'7' * 12 + '/' + str(i) if i % 2 else 'abc/'}") for i in range(100)], "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in urls.judge_urls(pages, labelled=labelled).collect()}
+    assert sum(v == ("block" if i % 2 else "allow") for i, v in got.items()) >= 95
+    # With labels by chance, nothing in the features tells them.
+    noise = spark.createDataFrame([(f"http://s{i}.t{i}.info/p", int(rng.integers(0, 2))) for i in range(400)], "url string, blocked int")
+    p = [r.block_probability for r in urls.judge_urls(spark.createDataFrame([(i, f"http://s{i}.t{i}.info/q") for i in range(400)], "page_id bigint, url string"), labelled=noise).collect()]
+    assert np.std(p) < 0.2
 
 
 def brute_neighbours(x, ids, q, of, k=10):
