@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import itertools
 import re
@@ -182,17 +183,42 @@ def test_classifiers(spark):
     assert quality.score_quality(few(spark), q).count() == 11
 
 
-@pytest.mark.parametrize("version", [1, 2])
-def test_warc_round_trip(spark, tmp_path, version):
-    html = ["<p>é\n\n</p>", None, "", "<p>é\n\n</p>", "WARC/1.0\r\n\r\n x"]
-    pages = spark.createDataFrame([(i, None if i == 4 else f"http://h/{i} x", h) for i, h in enumerate(html)], "page_id bigint, url string, html string")
-    warc.write_arcs(pages, f"{tmp_path}/arc", version)
-    warc.convert_arcs(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
-    got = {r.page_id: r for r in warc.read_warcs(spark, f"{tmp_path}/warc").collect()}
-    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {0: ("revisit", 3), 1: ("revisit", 2), 2: ("response", None), 3: ("response", None), 4: ("response", None)}
-    assert all(r.payload_bytes == len((html[i] or "").encode()) and r.payload in (None, html[i] or "") for i, r in got.items())
+@pytest.mark.parametrize("version, size", [(1, 16 << 20), (2, 16 << 20), (None, 900)])
+def test_warc_round_trip(spark, tmp_path, version, size):
+    html = ["<p>é\n\n</p>", None, "", "<p>é\n\n</p>", "WARC/1.0\r\n\r\n x", "y" * 300_000, "<p>é\n\n</p>", "alone", "alone", "\0 z"]
+    ids = [0, 1, 2, 3, 4, 5, None, None, None, 9]
+    pages = spark.createDataFrame([(i, None if i == 4 else f"http://h/{i} x", h) for i, h in zip(ids, html)] + [(3, "http://h/again", html[3])], "page_id bigint, url string, html string").coalesce(1)
+    warc.write_arcs(pages.withColumn("file", F.lit("clash")), f"{tmp_path}/arc", version, size)
+    warc.convert_arcs(spark, f"{tmp_path}/arc", f"{tmp_path}/warc", file_bytes=size)
+    got = warc.read_warcs(spark, f"{tmp_path}/warc").collect()
+    kinds = sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in got)
+    assert kinds == sorted([("0", "revisit", "3"), ("1", "revisit", "2"), ("2", "response", "None"), ("3", "response", "None"), ("3", "response", "None"), ("4", "response", "None"), ("5", "response", "None"), ("None", "revisit", "3"), ("None", "response", "None"), ("None", "response", "None"), ("9", "response", "None")])
+    by = {r.page_id: r for r in got if r.page_id is not None}
+    assert all(r.payload_bytes == len((html[i] or "").encode()) and r.payload in (None, html[i] or "") for i, r in by.items())
+    assert by[0].refers_to_id in {r.record_id for r in got if r.page_id == 3} and len({r.record_id for r in got}) >= 9
+    files = list((tmp_path / "warc").glob("*.txt"))
+    assert all(list(warc.parse_warc(gzip.decompress(f.read_bytes())))[0][0]["WARC-Type"] == "warcinfo" for f in files) and (len(files) > 3) == (size == 900)
+    arcs = [gzip.decompress(f.read_bytes()) for f in (tmp_path / "arc").glob("*.txt")]
+    assert all(x.startswith(b"filedesc://") and x.count(b"filedesc://") == 1 for x in arcs)
+    assert {int(x.split(b"\n")[1][:1]) for x in arcs} == ({version} if version else {1, 2})
+    none = spark.createDataFrame([], "page_id bigint, url string, html string")
+    warc.write_arcs(none, f"{tmp_path}/none/arc")
+    warc.convert_arcs(spark, f"{tmp_path}/none/arc", f"{tmp_path}/none/warc")
+    assert warc.read_warcs(spark, f"{tmp_path}/none/warc").count() == 0
+
+
+def test_arc_versions_and_damage():
+    body = b"HTTP/1.0 200 OK\r\n\r\nhi"
+    for version, line in ((1, b"http://h 1.2.3.4 20010203040506 text/html %d"), (2, b"http://h 1.2.3.4 20010203040506 text/html 200 - - 0 f.arc %d")):
+        data = warc.filedesc(version) + b"\n" + line % len(body) + b"\n" + body + b"\n"
+        ((arc, block),) = warc.parse_arc(data)
+        assert arc == {"url": "http://h", "ip": "1.2.3.4", "date": "20010203040506", "type": "text/html"} and block == body
+    for bad in (b"http://h 0 1 text/html 99\nshort", b"no header line\n", warc.filedesc(2) + b"\nhttp://h 0 1 text/html 2\nhi"):
+        with pytest.raises(ValueError):
+            list(warc.parse_arc(bad))
+    record = warc.warc_record(arc, b"HTTP/1.0 200 OK\r\n\r\n", b"hi", None)
     with pytest.raises(ValueError):
-        list(warc.parse_arc(b"http://h 0 1 text/html 99\nshort"))
+        list(warc.parse_warc(record.replace(b"hi", b"ho")))
 
 
 def best_blocks(text, wordings, least=0.8):
