@@ -1,12 +1,14 @@
 """Substring dedup: passages whose 13-word windows start in an earlier document are cut.
 
-First pass. A window stands in for its anchor: the 5-word run in it with the smallest hash. Equal windows have equal
-anchors, so an anchor's count is never under its windows'. Each task turns the anchors that its documents hold (each
-once a document) into counts of sketch cells; cells are merged by block over all tasks into one count-min sketch
-(DEPTH rows of 2**SKETCH_BITS cells, two bits of each count kept as a bitmap: "two documents or more"). It has a fixed
-size, so it can be broadcast; with more data it lets more windows through, and never loses one.
-Second pass. Windows whose anchor is in the sketch twice or more in every row are grouped exactly by 96 bits of the
-XXH3-128 of their words (for 10^10 windows a chance of about 10^-9 that any two differ and agree in it); each group's smallest doc_id keeps the passage.
+First pass. Each task counts the distinct windows of each of its documents into a count-min sketch's cells (DEPTH rows of
+2**bits cells); the tasks' counts are merged cell block by cell block in executors. A cell's count is never under that of any
+of its windows, so keeping "two documents or more" (a bit a cell) loses none. The number of cells follows the data, twice
+the corpus's words, up to 2**MOST_BITS a row: the broadcast has at most DEPTH * 2**MOST_BITS bits (64 MiB). Beyond some 10**8
+windows the filter lets more and more through; the second pass stays exact whatever it lets through.
+Second pass. Windows whose cells all say "two or more" are grouped by two independent 64-bit hashes of their words (128 bits: for
+10**13 windows a chance of about 10**-13 that any two differ and agree). Documents that a task meets together, up to GROUP windows
+of them, ask about a window once, by the smallest of them; the others know already that it repeats, and their windows
+travel packed. So a window has no more askers than there are such groups, however many documents have it.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null and empty texts have none; shorter texts have no window. Rows that
 repeat a doc_id are judged as that one document. A null doc_id comes after all others: it owns nothing, and loses nothing.
@@ -22,51 +24,62 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import WordIds, rolling, space_words, table
+from granary.llm.common import rolling, space_words, table
 
-ANCHOR, BASE = 5, 0xD1342543DE82EF95
-SKETCH_BITS, DEPTH, BLOCK_BITS = 27, 2, 19
+BASES = (0xD1342543DE82EF95, 0x9E3779B97F4A7C15)
+DEPTH, BLOCK_BITS, LEAST_BITS, MOST_BITS, GROUP = 2, 16, 20, 28, 1_500_000
 MIX = (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F)
+LOW = (1 << 64) - 1
 
 
-def anchors(ids: np.ndarray, n: int) -> np.ndarray:
-    """For each window of n words, the smallest hash of its ANCHOR-word runs (of all words, when n is smaller)."""
-    k = min(ANCHOR, n)
-    runs = rolling(ids, k, BASE)
-    runs = (runs ^ (runs >> np.uint64(29))) * np.uint64(MIX[0])
-    width, span = n - k + 1, 1
-    if len(runs) < width:
-        return np.empty(0, np.uint64)
-    low = runs
-    while span * 2 <= width:
-        low, span = np.minimum(low[:-span], low[span:]), span * 2
-    rest = width - span
-    return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+class WindowHashes:
+    """Two independent 64-bit hashes of each window of n words; the words' hashes are remembered for up to ``most`` words."""
 
+    def __init__(self, n: int, most: int = 400_000):
+        self.n, self.most = n, most
+        self.known: dict[bytes, int] = {}
+        self.halves = np.empty((2, 1 << 12), np.uint64)
 
-def cells(anchor: np.ndarray, row: int) -> np.ndarray:
-    mixed = (anchor ^ (anchor >> np.uint64(32))) * np.uint64(MIX[row])
-    return (mixed >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32)
+    def __call__(self, words: list[bytes], both: bool = True) -> tuple[np.ndarray, ...]:
+        if len(words) < self.n:
+            return (np.empty(0, np.uint64),) * (1 + both)
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        for w in set(words).difference(known):
+            at = len(known)
+            if at >= self.halves.shape[1]:
+                self.halves = np.concatenate([self.halves, np.empty_like(self.halves)], 1)
+            h = xxhash.xxh3_128_intdigest(w)
+            self.halves[:, at] = h & LOW, h >> 64
+            known[w] = at
+        ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return tuple(rolling(self.halves[k][ids], self.n, BASES[k]) for k in range(1 + both))
 
 
-def _counts(n: int):
+def cells(window: np.ndarray, row: int, bits: int) -> np.ndarray:
+    mixed = (window ^ (window >> np.uint64(31))) * np.uint64(MIX[row])
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(BASES[row]) >> np.uint64(64 - bits)).astype(np.uint32)
+
+
+def _counts(n: int, bits: int):
     def run(batches):
-        ids_of, low = WordIds(), np.uint32((1 << BLOCK_BITS) - 1)
+        hashes, low = WindowHashes(n), np.uint32((1 << BLOCK_BITS) - 1)
         for b in batches:
-            found = [np.unique(anchors(ids_of(space_words(t.as_py())), n)) for d, t in zip(b[0], b[1]) if d.is_valid]
+            found = [np.unique(hashes(space_words(t.as_py()), False)[0]) for d, t in zip(b[0], b[1]) if d.is_valid]
             if not found:
                 continue
             each = np.concatenate(found)
             rows = []
             for row in range(DEPTH):
-                # A document's anchors that share a cell count as many times: an overestimate, as count-min allows.
-                cell, count = np.unique(cells(each, row), return_counts=True)
+                # A document's windows that share a cell count as many times: an overestimate, as count-min allows.
+                cell, count = np.unique(cells(each, row, bits), return_counts=True)
                 block = cell >> np.uint32(BLOCK_BITS)
                 edges = np.flatnonzero(np.diff(block, prepend=np.uint32(2**31)))
+                part = (cell & low).astype(np.uint16)
                 for lo, hi in zip(edges, [*edges[1:], len(cell)]):
                     once = count[lo:hi] == 1
-                    part = cell[lo:hi] & low
-                    rows.append((row << 16 | int(block[lo]), part[once].tobytes(), part[~once].tobytes()))
+                    rows.append((row << 16 | int(block[lo]), part[lo:hi][once].tobytes(), part[lo:hi][~once].tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
                 names=["block", "once", "more"],
@@ -88,109 +101,124 @@ def _merge(batches):
                 if at is not None:
                     yield full()
                 at, seen, twice = block, np.zeros(1 << BLOCK_BITS, bool), np.zeros(1 << BLOCK_BITS, bool)
-            x = np.frombuffer(once, np.uint32)
+            x = np.frombuffer(once, np.uint16)
             twice[x[seen[x]]] = True
             seen[x] = True
-            x = np.frombuffer(more, np.uint32)
+            x = np.frombuffer(more, np.uint16)
             seen[x] = twice[x] = True
     if at is not None:
         yield full()
 
 
 class Sketch:
-    def __init__(self, blocks: list[tuple[int, bytes]]):
-        self.bits = np.zeros((DEPTH, 1 << (SKETCH_BITS - 3)), np.uint8)
-        size = 1 << (BLOCK_BITS - 3)
-        for block, bits in blocks:
-            row, k = block >> 16, block & 0xFFFF
-            self.bits[row, k * size : (k + 1) * size] = np.frombuffer(bits, np.uint8)
-
-    def repeated(self, anchor: np.ndarray) -> np.ndarray:
-        """Places of anchors that every row counts twice or more."""
-        out = np.arange(len(anchor))
+    def __init__(self, blocks: list[tuple[int, bytes]], bits: int):
+        self.bits, size = bits, 1 << (BLOCK_BITS - 3)
+        self.rows = np.zeros((DEPTH, 1 << (bits - 3)), np.uint8)
+        for block, held in blocks:
+            k = block & 0xFFFF
+            self.rows[block >> 16, k * size : (k + 1) * size] = np.frombuffer(held, np.uint8)
+
+    def repeated(self, window: np.ndarray) -> np.ndarray:
+        """Places of windows that every row counts twice or more."""
+        out = np.arange(len(window))
         for row in range(DEPTH):
-            c = cells(anchor[out], row)
-            out = out[(self.bits[row][c >> np.uint32(3)] >> (7 - (c & np.uint32(7))).astype(np.uint8)) & 1 == 1]
+            c = cells(window[out], row, self.bits)
+            out = out[(self.rows[row][c >> np.uint32(3)] >> (7 - (c & np.uint32(7))).astype(np.uint8)) & 1 == 1]
         return out
 
 
-def digests(words: list[bytes], starts, n: int) -> list[bytes]:
-    return [xxhash.xxh3_128_digest(b" ".join(words[i : i + n]))[:12] for i in starts]
-
-
-def _windows(shared, n: int, chunk: int = 60_000):
-    """Rows (doc_id, w, known): what the documents ask about. Of documents met together, only the smallest asks about
-    a window; the others already know that it repeats, so no window has more askers than there are such groups."""
+ASKS = "w bigint, v bigint, packed binary"
+
+
+def _told(group: list[tuple], kind) -> pa.RecordBatch:
+    """Rows (doc_id, w, v, packed) of documents met together: (id, windows, their second hashes) of each."""
+    ids = sorted({d for d, _, _ in group})
+    rank = {d: i for i, d in enumerate(ids)}
+    group = sorted(group, key=lambda g: rank[g[0]])
+    row = np.repeat(np.arange(len(group), dtype=np.int32), [len(w) for _, w, _ in group])
+    w, v = np.concatenate([g[1] for g in group]), np.concatenate([g[2] for g in group])
+    order = np.argsort(w, kind="stable")  # equal windows in the order of their documents
+    w, v, row = w[order], v[order], row[order]
+    doc = np.array([rank[d] for d, _, _ in group], np.int32)[row]
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1])
+    first = doc[new][np.cumsum(new) - 1]
+    again = np.zeros(len(w), bool)
+    again[1:] = ~new[1:] & (doc[1:] == doc[:-1])  # the document has asked already
+    asks, knows = (doc == first) & ~again, doc > first
+    at = np.argsort(doc[knows], kind="stable")
+    held, whose = w[knows][at], doc[knows][at]
+    edges = np.flatnonzero(np.diff(whose, prepend=-1))
+    packed = [held[lo:hi].tobytes() for lo, hi in zip(edges, [*edges[1:], len(held)])]
+    named = pa.array(ids, kind)
+    docs = pa.concat_arrays([named.take(pa.array(doc[asks])), named.take(pa.array(whose[edges]))])
+    # Packed rows go by their document and share a group with nothing.
+    extra = np.array([xxhash.xxh64_intdigest(p, i) - 2**63 for i, p in enumerate(packed)], np.int64)
+    return pa.RecordBatch.from_arrays(
+        [docs, pa.array(np.concatenate([w[asks].view(np.int64), extra])), pa.array(np.concatenate([v[asks].view(np.int64), extra])), pa.array([None] * int(asks.sum()) + packed, pa.binary())],
+        names=["doc_id", "w", "v", "packed"],
+    )
+
+
+def _windows(shared, n: int, bits: int, most: int):
+    """Rows (doc_id, w, v, packed): windows a document asks about, and, packed, those of which it knows that they repeat."""
 
     def run(batches):
-        sketch, ids_of = Sketch(shared.value), WordIds()
-
-        def told(group, kind):
-            first: dict[bytes, int] = {}
-            for d, own in group:
-                for w in own:
-                    if first.setdefault(w, d) > d:
-                        first[w] = d
-            docs, ws, known = [], [], []
-            for d, own in group:
-                docs += [d] * len(own)
-                ws += own
-                known += [first[w] < d for w in own]
-            return pa.RecordBatch.from_arrays([pa.array(docs, kind), pa.array(ws, pa.binary()), pa.array(known, pa.bool_())], names=["doc_id", "w", "known"])
-
+        sketch, hashes = Sketch(shared.value, bits), WindowHashes(n)
+        group, size = [], 0
         for b in batches:
-            group, size = [], 0
             for d, t in zip(b[0], b[1]):
-                if not d.is_valid or len(words := space_words(t.as_py())) < n:
+                if not d.is_valid:
                     continue
-                if own := set(digests(words, sketch.repeated(anchors(ids_of(words), n)), n)):
-                    group.append((d.as_py(), own))
-                    size += len(own)
-                if size > chunk:
-                    yield told(group, b.schema[0].type)
+                w, v = hashes(space_words(t.as_py()))
+                if len(at := sketch.repeated(w)):
+                    group.append((d.as_py(), w[at], v[at]))
+                    size += len(at)
+                if size > most:
+                    yield _told(group, b.schema[0].type)
                     group, size = [], 0
-            if group:
-                yield told(group, b.schema[0].type)
+        if group:
+            yield _told(group, b.schema[0].type)
 
     return run
 
 
-def repeated_windows(docs: DataFrame, n: int = 13) -> DataFrame:
-    """(doc_id, windows): the digests of a document's windows that a document with a smaller doc_id also has."""
+def repeated_windows(docs: DataFrame, n: int = 13, most_bits: int = MOST_BITS, group: int = GROUP) -> DataFrame:
+    """(doc_id, windows, packed): the first hashes of a document's windows that a document with a smaller doc_id also has."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counted = texts.mapInArrow(_counts(n), "block int, once binary, more binary")
+    chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    bits = min(most_bits, max(LEAST_BITS, int(chars // 6 * 2).bit_length()))
+    counted = texts.mapInArrow(_counts(n, bits), "block int, once binary, more binary")
     merged = counted.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block int, bits binary")
-    shared = spark.sparkContext.broadcast([tuple(r) for r in merged.collect()])  # at most DEPTH * 2**SKETCH_BITS bits
-    found = texts.mapInArrow(_windows(shared, n), f"doc_id {kind}, w binary, known boolean")
-    # Rows that know are dealt by their document, so that a frequent window doesn't gather them.
-    spread = found.withColumn("by", F.when(F.col("known"), F.col("doc_id")))
-    first = F.min("doc_id").over(Window.partitionBy("w", "by"))
-    later = spread.withColumn("first", first).where("known OR first < doc_id")
-    return later.groupBy("doc_id").agg(F.collect_set("w").alias("windows"))
-
-
-def covered(words: list[bytes], windows: set[bytes], n: int) -> np.ndarray:
-    mark = np.zeros(len(words) + 1, np.int32)
-    if windows:
-        for i, w in enumerate(digests(words, range(len(words) - n + 1), n)):
-            if w in windows:
-                mark[i] += 1
-                mark[i + n] -= 1
-    return np.cumsum(mark[:-1]) > 0
+    shared = spark.sparkContext.broadcast([tuple(r) for r in merged.collect()])  # at most DEPTH * 2**most_bits bits
+    found = texts.mapInArrow(_windows(shared, n, bits, group), f"doc_id {kind}, {ASKS}")
+    first = F.min("doc_id").over(Window.partitionBy("w", "v"))
+    later = found.withColumn("first", first).where("packed IS NOT NULL OR first < doc_id")
+    return later.groupBy("doc_id").agg(F.collect_list(F.when(F.col("packed").isNull(), F.col("w"))).alias("windows"), F.collect_list("packed").alias("packed"))
 
 
 def _strip(n: int, text_at: int):
     def run(batches):
+        hashes = WindowHashes(n)
         for b in batches:
             rows = []
-            for t, w in zip(b[text_at].to_pylist(), b[b.num_columns - 1].to_pylist()):
-                words = space_words(t)
-                gone = covered(words, set(w or ()), n)
-                left = [x for x, g in zip(words, gone) if not g]
-                rows.append((t if t is None or len(left) == len(words) else b" ".join(left).decode("utf-8", "surrogatepass"), len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()))
-            cols = [b[i] for i in range(b.num_columns - 1)]
+            for i in range(b.num_rows):
+                text = b[text_at][i].as_py()
+                words = left = space_words(text)
+                windows, packed = b[b.num_columns - 2][i], b[b.num_columns - 1][i]
+                if windows.is_valid:
+                    known = np.concatenate([np.asarray(windows.values, np.int64).view(np.uint64), *(np.frombuffer(p, np.uint64) for p in packed.as_py())])
+                    starts = np.flatnonzero(np.isin(hashes(words, False)[0], known))
+                    mark = np.zeros(len(words) + 1, np.int32)
+                    np.add.at(mark, starts, 1)
+                    np.add.at(mark, starts + n, -1)
+                    gone = np.cumsum(mark[:-1]) > 0
+                    left = [x for x, g in zip(words, gone.tolist()) if not g]
+                whole = b" ".join(left)
+                rows.append((text if len(left) == len(words) else whole.decode("utf-8", "surrogatepass"), len(words), len(words) - len(left), hashlib.sha256(whole).hexdigest()))
+            cols = [b[i] for i in range(b.num_columns - 2)]
             cols[text_at] = pa.array([r[0] for r in rows], pa.string())
             cols += [pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
@@ -198,12 +226,12 @@ def _strip(n: int, text_at: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, n: int = 13, details: tuple = ()) -> DataFrame:
+def dedup_substrings(docs: DataFrame, n: int = 13, details: tuple = (), **more) -> DataFrame:
     """The documents with repeated passages cut from text (texts without any stay as they are). details: three names of
     columns that are added (words, removed words, SHA-256 of the kept ones), in place of input columns of those names. Rows
     and all other columns stay, whatever their names."""
     names = docs.columns
-    cut_of = repeated_windows(docs.select("doc_id", "text"), n).toDF("id", "windows")
+    cut_of = repeated_windows(docs.select("doc_id", "text"), n, **more).toDF("id", "windows", "packed")
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     joined = plain.join(cut_of, plain[f"c{names.index('doc_id')}"] == cut_of["id"], "left").drop("id")
     kinds = [f.dataType.simpleString() for f in docs.schema] + ["bigint", "bigint", "string"]

@@ -24,24 +24,34 @@ def few(spark):
     return docs(spark, [(i, t, "en", "a" if i % 2 else None, 1, "clash") for i, t in enumerate(texts)] + [(3, BASE, "en", "a", 1, "clash"), (None, BASE, None, None, None, None)])
 
 
-def test_substrings_equal_brute_force(spark):
-    df = few(spark)
-    owner = {}
-    every = [(r.doc_id, re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in df.collect()]
+def brute_substrings(every, n=13):
+    owner, want = {}, []
     for d, w in every:
-        for i in range(len(w) - 12):
+        for i in range(len(w) - n + 1):
             if d is not None:
-                k = tuple(w[i : i + 13])
+                k = tuple(w[i : i + n])
                 owner[k] = min(owner.get(k, d), d)
-    want = []
     for d, w in every:
-        gone = {p for i in range(len(w) - 12) if d is not None and owner[tuple(w[i : i + 13])] < d for p in range(i, i + 13)}
+        gone = {p for i in range(len(w) - n + 1) if d is not None and owner[tuple(w[i : i + n])] < d for p in range(i, i + n)}
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         want.append((str(d), len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    got = substrings.dedup_substrings(df, details=("n_words", "n_removed", "kept_sha256")).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
-    assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
-    assert any(x[2] for x in want)
-    assert substrings.dedup_substrings(df.where("false")).count() == 0
+    return sorted(want)
+
+
+@pytest.mark.parametrize("more", [{}, {"group": 3}, {"most_bits": 17}])
+def test_substrings_equal_brute_force(spark, more):
+    rng = np.random.default_rng(11)
+    passages = [[f"w{int(x)}" for x in rng.integers(0, 50, int(rng.integers(5, 60)))] for _ in range(12)]
+    made = [" ".join(sum((passages[int(j)] for j in rng.integers(0, 12, int(rng.integers(1, 5)))), [])) for _ in range(60)]
+    df = few(spark).unionByName(docs(spark, [(int(rng.integers(0, 50)), t, None, None, None, None) for t in made])).repartition(3)
+    df = df.withColumnsRenamed({"lang": "n_words", "source": "windows", "fp": "packed"})
+    every = [(r.doc_id, re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in df.collect()]
+    got = substrings.dedup_substrings(df, details=("n_words", "n_removed", "kept_sha256"), **more).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted((str(r[0]), *r[1:]) for r in got) == brute_substrings(every) and any(r.n_removed for r in got)
+    assert substrings.dedup_substrings(df, **more).columns == df.columns
+    assert substrings.dedup_substrings(df.where("false"), **more).count() == 0
+    named = substrings.dedup_substrings(df.withColumn("doc_id", F.col("doc_id").cast("string")), details=("a", "b", "c"), **more)
+    assert sorted((str(r.doc_id), r.a, r.b, r.c) for r in named.collect()) == brute_substrings([(None if d is None else str(d), w) for d, w in every])
 
 
 def test_decontaminate(spark):
