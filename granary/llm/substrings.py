@@ -5,8 +5,8 @@ First pass. Each task counts the distinct windows of each of its documents into
 of its windows, so keeping "two documents or more" (a bit a cell) loses none. The number of cells follows the data, twice
 the corpus's words, up to 2**MOST_BITS a row: the broadcast has at most DEPTH * 2**MOST_BITS bits (64 MiB). Beyond some 10**8
 windows the filter lets more and more through; the second pass stays exact whatever it lets through.
-Second pass. Windows whose cells all say "two or more" are grouped by two independent 64-bit hashes of their words (128 bits: for
-10**13 windows a chance of about 10**-13 that any two differ and agree). Documents that a task meets together, up to GROUP windows
+Second pass. Windows whose cells all say "two or more" are grouped by two independent hashes of their words, of 64 and 31 bits (for
+10**10 windows a chance of about 10**-9 that any two differ and agree; the words are not compared). Documents that a task meets together, up to GROUP windows
 of them, ask about a window once, by the smallest of them; the others know already that it repeats, and their windows
 travel packed. So a window has no more askers than there are such groups, however many documents have it.
 
@@ -33,7 +33,7 @@ LOW = (1 << 64) - 1
 
 
 class WindowHashes:
-    """Two independent 64-bit hashes of each window of n words; the words' hashes are remembered for up to ``most`` words."""
+    """Two independent hashes of each window of n words, of 64 and 31 bits; the words' are remembered for up to ``most`` words."""
 
     def __init__(self, n: int, most: int = 400_000):
         self.n, self.most = n, most
@@ -42,7 +42,7 @@ class WindowHashes:
 
     def __call__(self, words: list[bytes], both: bool = True) -> tuple[np.ndarray, ...]:
         if len(words) < self.n:
-            return (np.empty(0, np.uint64),) * (1 + both)
+            return (np.empty(0, np.uint64), np.empty(0, np.int32))[: 1 + both]
         known = self.known
         if len(known) > self.most:
             known.clear()
@@ -54,7 +54,8 @@ class WindowHashes:
             self.halves[:, at] = h & LOW, h >> 64
             known[w] = at
         ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        return tuple(rolling(self.halves[k][ids], self.n, BASES[k]) for k in range(1 + both))
+        out = [rolling(self.halves[k][ids], self.n, BASES[k]) for k in range(1 + both)]
+        return (out[0], (out[1] >> np.uint64(33)).astype(np.int32)) if both else (out[0],)
 
 
 def cells(window: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -62,6 +63,19 @@ def cells(window: np.ndarray, row: int, bits: int) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(BASES[row]) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
+def gaps(cells: np.ndarray) -> bytes:
+    """Rising numbers as bytes: the steps from one to the next, 255 for each whole 255 of a step, then its rest."""
+    step = np.diff(cells.astype(np.int64), prepend=0)
+    out = np.full(len(step) + int((step // 255).sum()), 255, np.uint8)
+    out[np.cumsum(step // 255 + 1) - 1] = step % 255
+    return out.tobytes()
+
+
+def from_gaps(data: bytes) -> np.ndarray:
+    x = np.frombuffer(data, np.uint8)
+    return np.cumsum(x, dtype=np.int64)[x != 255]
+
+
 def _counts(n: int, bits: int):
     def run(batches):
         hashes, low = WindowHashes(n), np.uint32((1 << BLOCK_BITS) - 1)
@@ -76,10 +90,10 @@ def _counts(n: int, bits: int):
                 cell, count = np.unique(cells(each, row, bits), return_counts=True)
                 block = cell >> np.uint32(BLOCK_BITS)
                 edges = np.flatnonzero(np.diff(block, prepend=np.uint32(2**31)))
-                part = (cell & low).astype(np.uint16)
+                part = cell & low
                 for lo, hi in zip(edges, [*edges[1:], len(cell)]):
                     once = count[lo:hi] == 1
-                    rows.append((row << 16 | int(block[lo]), part[lo:hi][once].tobytes(), part[lo:hi][~once].tobytes()))
+                    rows.append((row << 16 | int(block[lo]), gaps(part[lo:hi][once]), gaps(part[lo:hi][~once])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
                 names=["block", "once", "more"],
@@ -101,10 +115,10 @@ def _merge(batches):
                 if at is not None:
                     yield full()
                 at, seen, twice = block, np.zeros(1 << BLOCK_BITS, bool), np.zeros(1 << BLOCK_BITS, bool)
-            x = np.frombuffer(once, np.uint16)
+            x = from_gaps(once)
             twice[x[seen[x]]] = True
             seen[x] = True
-            x = np.frombuffer(more, np.uint16)
+            x = from_gaps(more)
             seen[x] = twice[x] = True
     if at is not None:
         yield full()
@@ -127,7 +141,7 @@ class Sketch:
         return out
 
 
-ASKS = "w bigint, v bigint, packed binary"
+ASKS = "w bigint, v int, packed binary"
 
 
 def _told(group: list[tuple], kind) -> pa.RecordBatch:
@@ -152,10 +166,10 @@ def _told(group: list[tuple], kind) -> pa.RecordBatch:
     packed = [held[lo:hi].tobytes() for lo, hi in zip(edges, [*edges[1:], len(held)])]
     named = pa.array(ids, kind)
     docs = pa.concat_arrays([named.take(pa.array(doc[asks])), named.take(pa.array(whose[edges]))])
-    # Packed rows go by their document and share a group with nothing.
+    # Packed rows are spread by their bytes; no window's second hash is negative, so they share a group with none.
     extra = np.array([xxhash.xxh64_intdigest(p, i) - 2**63 for i, p in enumerate(packed)], np.int64)
     return pa.RecordBatch.from_arrays(
-        [docs, pa.array(np.concatenate([w[asks].view(np.int64), extra])), pa.array(np.concatenate([v[asks].view(np.int64), extra])), pa.array([None] * int(asks.sum()) + packed, pa.binary())],
+        [docs, pa.array(np.concatenate([w[asks].view(np.int64), extra])), pa.array(np.concatenate([v[asks], np.full(len(extra), -1, np.int32)])), pa.array([None] * int(asks.sum()) + packed, pa.binary())],
         names=["doc_id", "w", "v", "packed"],
     )
 

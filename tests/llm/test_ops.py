@@ -24,6 +24,11 @@ def few(spark):
     return docs(spark, [(i, t, "en", "a" if i % 2 else None, 1, "clash") for i, t in enumerate(texts)] + [(3, BASE, "en", "a", 1, "clash"), (None, BASE, None, None, None, None)])
 
 
+def test_gaps_round_trip():
+    for x in ([], [0], [254], [255], [65535], [0, 1, 255, 256, 511, 1021, 65535], list(range(0, 65536, 7))):
+        assert substrings.from_gaps(substrings.gaps(np.array(x, np.uint32))).tolist() == x
+
+
 def brute_substrings(every, n=13):
     owner, want = {}, []
     for d, w in every:
