@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import cut, shared_dir, spread_join, table
 
-FILE_BYTES = 16 << 20
+FILE_BYTES, LEVEL = 16 << 20, 4
 ARC_HEAD = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -81,6 +82,11 @@ def split_http(block: bytes) -> tuple[dict, bytes, bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, head + gap, payload
 
 
+def unpacked(content: bytes) -> bytes:
+    """The bytes of all gzip members, in one pass."""
+    return gzip.GzipFile(fileobj=io.BytesIO(content)).read()
+
+
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -172,7 +178,7 @@ def _to_arc(version: int | None, most: int):
                 payload = html.as_py() or b""
                 yield len(payload) + 400, lambda k, page=page, url=url, payload=payload: arc_record(of(k), page.as_py(), url.as_py(), payload)
 
-    return lambda batches: _packed(records(batches), lambda k: filedesc(of(k)) + b"\n", lambda data: gzip.compress(data, 6, mtime=0), most)
+    return lambda batches: _packed(records(batches), lambda k: filedesc(of(k)) + b"\n", lambda data: gzip.compress(data, LEVEL, mtime=0), most)
 
 
 ARC_ROWS = "file string, place bigint, page_id bigint, bytes bigint, digest string, id string, url string, date string"
@@ -183,7 +189,7 @@ def _from_arc(batches):
     for b in batches:
         for file, content in zip(b[0].to_pylist(), b[1]):
             rows = []
-            for place, (arc, block) in enumerate(parse_arc(gzip.decompress(content.as_py()))):
+            for place, (arc, block) in enumerate(parse_arc(unpacked(content.as_py()))):
                 fields, head, payload = split_http(block)
                 digest = base32_sha1(payload)
                 rows.append((file, place, int(fields["x-page-id"]) if fields["x-page-id"] else None, len(payload), digest, record_id(arc, head, digest), arc["url"], arc["date"]))
@@ -200,13 +206,13 @@ def _to_warc(most: int):
             for b in batches:
                 for file, content, refs in zip(b[0].to_pylist(), b[1], b[2].to_pylist()):
                     of = {r["place"]: r for r in refs or ()}
-                    for place, (arc, block) in enumerate(parse_arc(gzip.decompress(content.as_py()))):
+                    for place, (arc, block) in enumerate(parse_arc(unpacked(content.as_py()))):
                         _, head, payload = split_http(block)
                         first[:] = [file, iso_date(arc["date"])]
-                        member = gzip.compress(warc_record(arc, head, payload, of.get(place)), 6, mtime=0)
+                        member = gzip.compress(warc_record(arc, head, payload, of.get(place)), LEVEL, mtime=0)
                         yield len(member), lambda k, member=member: member
 
-        yield from _packed(records(), lambda k: gzip.compress(warcinfo(f"{first[0]} {k}", first[1]), 6, mtime=0), lambda data: data, most)
+        yield from _packed(records(), lambda k: gzip.compress(warcinfo(f"{first[0]} {k}", first[1]), LEVEL, mtime=0), lambda data: data, most)
 
     return run
 
@@ -218,7 +224,7 @@ def _from_warc(batches):
     for b in batches:
         for content in b[1]:
             rows = []
-            for f, block in parse_warc(gzip.decompress(content.as_py())):
+            for f, block in parse_warc(unpacked(content.as_py())):
                 if f["WARC-Type"] == "warcinfo":
                     continue
                 http, _, payload = split_http(block)
