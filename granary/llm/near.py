@@ -8,8 +8,10 @@ standard deviations above what similarity 0.8 gives (78 of 512, deviation 8), an
 compared by whole shingle sets (32 bits of each shingle's hash), so no pair below SIMILAR is linked.
 
 Only different sets are compared. A key of up to BUCKET sets compares all its pairs. In larger ones (clouds of near
-copies) each member is compared with one leader, another one in each band, so the work does not grow with the square;
-there a member that is similar to none of the leaders it meets stays unlinked.
+copies) each member is compared with one leader, another one in each band, so the work does not grow with the square. What
+the leaders leave apart is then compared exactly: of each member of such keys the rarest shingles, as many as a set of
+similarity SIMILAR can't miss all, are joined, and members that share one but are in different groups are compared. A cloud
+is one group by then but for a few, so only those few meet it, and texts that merely share a frame have no rare shingle in common.
 
 Words are split at ASCII blanks, ASCII letters lowered; texts of fewer than WORDS words are one shingle. Null and empty
 texts have no shingle and are one group.
@@ -115,8 +117,8 @@ def _with_both(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
     return spread_join(first, values.select(F.col("node").alias("b"), F.col(value).alias("y")), "b", "a", "inner").select("a", "b", "x", "y")
 
 
-def links(sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b), a < b, between nodes of rows (node, keys, print, own)."""
+def candidate_pairs(sets: DataFrame, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """(pairs a < b to compare, nodes of keys with more than ``bucket`` sets) of rows (node, keys, print, own)."""
     nodes = sets.where("keys IS NOT NULL").groupBy("node").agg(F.first("keys").alias("keys"))
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     # The leader is another one in each band: the smallest by a hash of key and node.
@@ -124,15 +126,95 @@ def links(sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
     shared = cut(keyed.join(sizes, "key"))
     small = shared.where(F.col("n") <= bucket)
     near = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-    stars = shared.where((F.col("n") > bucket) & (F.col("node") != F.col("leader"))).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    pairs = cut(near.unionByName(stars).distinct())
+    crowded = shared.where(F.col("n") > bucket)
+    stars = crowded.where(F.col("node") != F.col("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    return cut(near.unionByName(stars).distinct()), cut(crowded.select("node").distinct())
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those of similar sets: by SimHash first, what is left by the sets."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     prints = cut(sets.select("node", "print").join(needed, "node", "left_semi").groupBy("node").agg(F.first("print").alias("print")))
     pairs = cut(_with_both(pairs, prints, "print").mapInArrow(_pruned, "a bigint, b bigint"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     own = cut(sets.select("node", "own").join(needed, "node", "left_semi").groupBy("node").agg(F.first("own").alias("own")))
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint")
+    return cut(_with_both(pairs, own, "own").mapInArrow(_verify, "a bigint, b bigint"))
+
+
+def _bins(batches):
+    """Of one task's sets, how many have a shingle in each of 2**20 bins, in blocks."""
+    count = np.zeros(1 << 20, np.int32)
+    for b in batches:
+        for own in b[0]:
+            x = np.frombuffer(own.as_py(), np.uint32)
+            np.add.at(count, np.unique(x >> np.uint32(12)), 1)
+    live = [k for k in range(256) if count[k << 12 : (k + 1) << 12].any()]
+    yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([count[k << 12 : (k + 1) << 12].tobytes() for k in live], pa.binary())], names=["block", "bins"])
+
+
+def _added(batches):
+    """Rows of a block come one after another; their counts are added."""
+    at, total = None, None
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.astype(np.int64).tobytes()], pa.binary())], names=["block", "bins"])
+    for b in batches:
+        for block, bins in zip(b[0].to_pylist(), b[1].to_pylist()):
+            if block != at:
+                if at is not None:
+                    yield row()
+                at, total = block, np.zeros(1 << 12, np.int64)
+            total += np.frombuffer(bins, np.int32)
+    if at is not None:
+        yield row()
+
+
+def _rarest(shared):
+    """Rows (token, node, root, size) of each set's rarest shingles, by the one order that all tasks have."""
+
+    def run(batches):
+        count = np.zeros(1 << 20, np.int64)
+        for block, bins in shared.value:
+            count[block << 12 : (block + 1) << 12] = np.frombuffer(bins, np.int64)
+        for b in sliced(batches):
+            cols = [[], [], [], []]
+            for node, root, own in zip(b[0].to_pylist(), b[1].to_pylist(), b[2]):
+                x = np.unique(np.frombuffer(own.as_py(), np.uint32))
+                need = int(np.ceil(SIMILAR * len(x) - 1e-9))
+                first = x[np.lexsort((x, count[x >> np.uint32(12)]))[: len(x) - need + 1]]
+                for col, values in zip(cols, (first.astype(np.int64), *(np.full(len(first), v, np.int64) for v in (node, root, len(x))))):
+                    col.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *c]), pa.int64()) for c in cols], names=["token", "node", "root", "size"])
+
+    return run
+
+
+def apart(crowded: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs a < b of crowded nodes in different groups that share one of their rarest shingles and differ in size as similar
+    sets may."""
+    spark = sets.sparkSession
+    own = sets.select("node", "own").join(crowded, "node", "left_semi").groupBy("node").agg(F.first("own").alias("own"))
+    own = cut(spread_join(own, roots, "node", "node", salts=1).select("node", F.coalesce("root", "node").alias("root"), "own"))
+    bins = own.select("own").mapInArrow(_bins, "block int, bins binary").repartition("block").sortWithinPartitions("block").mapInArrow(_added, "block int, bins binary")
+    shared = spark.sparkContext.broadcast([tuple(r) for r in bins.collect()])  # 8 MB at most
+    rare = cut(own.mapInArrow(_rarest(shared), "token bigint, node bigint, root bigint, size bigint"))
+    groups = rare.groupBy("token", "root").agg(F.count("*").alias("n"))
+    # Of each shingle the largest group; members of the others meet all that have it.
+    main = groups.groupBy("token").agg(F.count("*").alias("k"), F.max_by("root", "n").alias("main")).where("k > 1").select("token", "main")
+    members = cut(spread_join(rare, main, "token", "node", "inner"))
+    few = members.where("root <> main").select("token", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"))
+    met = spread_join(members.select("token", "node", "root", "size"), few, "token", "node", "inner").where(F.col("root") != F.col("rx"))
+    met = met.where((F.col("size") >= F.col("sx") * (SIMILAR - 1e-9)) & (F.col("sx") >= F.col("size") * (SIMILAR - 1e-9)))
+    return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+
+
+def groups(sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(node, root) of all nodes that are linked to another."""
+    pairs, crowded = candidate_pairs(sets, bucket)
+    edges = compared(pairs, sets)
+    roots = components(edges)
+    if crowded.isEmpty():
+        return roots
+    more = compared(cut(apart(crowded, sets, roots)), sets)
+    return roots if more.isEmpty() else components(edges.unionByName(more))
 
 
 def near_rows(docs: DataFrame) -> DataFrame:
@@ -140,7 +222,7 @@ def near_rows(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     sets = cut(rows.mapInArrow(_sets, f"doc_id {kind}, h bigint, node bigint, keys array<bigint>, print binary, own binary"))
-    roots = components(links(sets.where("doc_id IS NOT NULL")))
+    roots = groups(sets.where("doc_id IS NOT NULL"))
     return spread_join(sets.select("doc_id", "h", "node"), roots, "node", "h").select("doc_id", "h", F.coalesce("root", "node").alias("root"))
 
 

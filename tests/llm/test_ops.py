@@ -365,7 +365,9 @@ def test_keep_one_links_similarity_of_four_fifths(spark):
     assert sorted(r.doc_id for r in got.collect()) == [0, 3, 4, 6]
 
 
-def test_near_links_equal_brute_force(spark):
+@pytest.mark.parametrize("bucket", [64, 2])
+def test_near_links_equal_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(near.groups, "__defaults__", (bucket,))
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     sets = {}
     for r in d.collect():
@@ -401,6 +403,31 @@ def test_mixing_keeps_the_given_weights(spark, monkeypatch, others):
         assert len(got) == 4000 and all(t == want[s, k] for t, s, k in got)
 
 
+def test_clouds_of_near_copies_are_whole(spark):
+    """Chains of copies of copies, where no leader is similar to all; and texts that share a frame alone."""
+    rng = np.random.default_rng(14)
+    words, texts = [f"w{i}" for i in range(120)], []
+    for i in range(150):
+        words[int(rng.integers(0, 120))] = f"n{i}"
+        texts.append(" ".join(words))
+    frame = " ".join(f"f{i}" for i in range(80))
+    texts += [frame + " " + " ".join(f"u{i}x{j}" for j in range(40)) for i in range(100)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    got = {r.doc_id for r in near.keep_one(docs(spark, [(i, t, None, None, None, None) for i, t in enumerate(texts)])).collect()}
+    assert got == {find(i) for i in range(len(texts))} and len(got) < 150
+
+
 def test_keep_one_judges_repeated_ids_by_row(spark):
     other = BASE.replace("a", "o")
     rows = [(1, BASE), (2, BASE + " end"), (2, other), (2, other), (3, "one of a kind"), (3, "of another kind"), (None, BASE)]
