@@ -8,7 +8,7 @@ from granary.operators import metrics as M
 from granary.operators import providers as P
 from granary.operators import serving as S
 from granary.operators.retrieval import bm25 as keyword_search
-from granary.operators.retrieval import cosine_topk, overlap, rerank, weak_retrieval
+from granary.operators.retrieval import cosine_topk, rerank, weak_retrieval
 from granary.plans.registry import query
 from granary.sources.tables import table
 
@@ -136,15 +136,3 @@ def bm25(spark, sf_dir):
     """The scores of each question's three best items."""
     got = keyword_search(questions(spark, sf_dir), table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"), 3)
     return got.select("query_id", "rank", F.round("score", 6).alias("score"))
-
-
-@query(
-    f"""WITH {ASKED}, b AS (SELECT item_id, {WORDS.format(t="text")} AS w FROM benchmark), s AS (SELECT query_id, item_id, len(list_intersect(list_distinct(qw), list_distinct(w))) AS n FROM q, b),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, item_id) AS rank FROM s) SELECT query_id, item_id, CAST(n AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"""
-)
-def rerank_overlap(spark, sf_dir):
-    """Every question against the benchmark's items, which are few."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", "text", F.col("item_id").alias("rank"))
-    pairs = questions(spark, sf_dir).join(F.broadcast(items))
-    got = rerank(pairs, overlap(F.col("question"), F.col("text")))
-    return got.select("query_id", "item_id", F.col("rerank_score").alias("score"), F.col("rerank").alias("rank"))
