@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +20,6 @@ def item_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
 
 
-def space_words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8 (bytes.split cuts at exactly these)."""
-    return [] if text is None else text.encode("utf-8", "surrogatepass").split()
-
-
 def rolling(ids: np.ndarray, width: int, base: int) -> np.ndarray:
     """Polynomial hash (mod 2**64) of every run of ``width`` consecutive ids, by doubling runs."""
     n = len(ids) - width + 1
@@ -45,20 +39,52 @@ def rolling(ids: np.ndarray, width: int, base: int) -> np.ndarray:
         run, span = run[:-span] * up(span) + run[span:], span * 2
 
 
-class WordIds:
-    """xxh64 of words, remembered for up to ``most`` words."""
-
-    def __init__(self, most: int = 400_000):
-        self.known: dict[bytes, int] = {}
-        self.most = most
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known, hashed = self.known, xxhash.xxh64_intdigest
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = hashed(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+SPACE_BYTES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+class WordCodes:
+    """64-bit hashes of a text's words (runs of bytes that are no ASCII blank), for each of some odd bases: a word's bytes as a
+    polynomial of the base, from sums over all bytes at once, then mixed. Texts are read in pieces of about ``piece`` bytes."""
+
+    def __init__(self, *bases: int, piece: int = 1 << 20):
+        self.bases, self.piece, self.tables = bases, piece, []
+        self._grow(1 << 14)
+
+    def _grow(self, n: int) -> None:
+        one = np.ones(1, np.uint64)
+        power = lambda b: np.cumprod(np.concatenate([one, np.full(n, b, np.uint64)]))
+        self.tables = [(power(b), power(pow(b, -1, 1 << 64))) for b in self.bases]
+
+    def _pieces(self, data: bytes):
+        """The text cut at blanks."""
+        at = 0
+        while len(data) - at > self.piece:
+            size, blanks = self.piece, ()
+            while not len(blanks) and at + size < len(data):
+                blanks = np.flatnonzero(SPACE_BYTES[np.frombuffer(data, np.uint8, min(size, len(data) - at), at)])
+                size *= 2
+            end = at + int(blanks[-1]) + 1 if len(blanks) else len(data)
+            yield np.frombuffer(data, np.uint8, end - at, at)
+            at = end
+        yield np.frombuffer(data, np.uint8, len(data) - at, at)
+
+    def __call__(self, data: bytes) -> list[np.ndarray]:
+        found = [self._codes(x) for x in self._pieces(data)]
+        return found[0] if len(found) == 1 else [np.concatenate(c) for c in zip(*found)]
+
+    def _codes(self, x: np.ndarray) -> list[np.ndarray]:
+        edge = np.flatnonzero(np.diff(SPACE_BYTES[x], prepend=True, append=True))
+        starts, ends = edge[::2], edge[1::2]
+        if len(x) > len(self.tables[0][0]):
+            self._grow(max(len(x), 2 * len(self.tables[0][0])))
+        value, out = x.astype(np.uint64) + np.uint64(1), []
+        for power, inverse in self.tables:
+            total = np.zeros(len(x) + 1, np.uint64)
+            np.cumsum(value * power[: len(x)], out=total[1:])
+            h = (total[ends] - total[starts]) * inverse[starts]
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            out.append(h ^ (h >> np.uint64(32)))
+        return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

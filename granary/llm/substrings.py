@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import rolling, space_words, table
+from granary.llm.common import WordCodes, rolling, table
 
 BASES = (0xD1342543DE82EF95, 0x9E3779B97F4A7C15)
 DEPTH, BLOCK_BITS, LEAST_BITS, MOST_BITS, GROUP = 2, 16, 20, 28, 1_500_000
@@ -33,31 +33,22 @@ LOW = (1 << 64) - 1
 
 
 class WindowHashes:
-    """Two independent hashes of each window of n words, of 64 and 31 bits; the words' are remembered for up to ``most`` words."""
-
-    def __init__(self, n: int, most: int = 400_000):
-        self.n, self.most = n, most
-        self.known: dict[bytes, int] = {}
-        self.halves = np.empty((2, 1 << 12), np.uint64)
-
-    def __call__(self, words: list[bytes], both: bool = True) -> tuple[np.ndarray, ...]:
-        if len(words) < self.n:
-            return (np.empty(0, np.uint64), np.empty(0, np.int32))[: 1 + both]
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words).difference(known):
-            at = len(known)
-            if at >= self.halves.shape[1]:
-                self.halves = np.concatenate([self.halves, np.empty_like(self.halves)], 1)
-            h = xxhash.xxh3_128_intdigest(w)
-            self.halves[:, at] = h & LOW, h >> 64
-            known[w] = at
-        ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        out = [rolling(self.halves[k][ids], self.n, BASES[k]) for k in range(1 + both)]
+    """Two independent hashes of each window of n words, of 64 and 31 bits."""
+
+    def __init__(self, n: int):
+        self.n, self.one, self.two = n, WordCodes(BASES[0]), WordCodes(*BASES)
+
+    def __call__(self, data: bytes, both: bool = True) -> tuple[np.ndarray, ...]:
+        ids = (self.two if both else self.one)(data)
+        out = [rolling(x, self.n, BASES[k]) for k, x in enumerate(ids)]
         return (out[0], (out[1] >> np.uint64(33)).astype(np.int32)) if both else (out[0],)
 
 
+def text_bytes(text: pa.StringScalar) -> bytes:
+    """A text's UTF-8; null has none."""
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
+
+
 def cells(window: np.ndarray, row: int, bits: int) -> np.ndarray:
     mixed = (window ^ (window >> np.uint64(31))) * np.uint64(MIX[row])
     return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(BASES[row]) >> np.uint64(64 - bits)).astype(np.uint32)
@@ -80,7 +71,7 @@ def _counts(n: int, bits: int):
     def run(batches):
         hashes, low = WindowHashes(n), np.uint32((1 << BLOCK_BITS) - 1)
         for b in batches:
-            found = [np.unique(hashes(space_words(t.as_py()), False)[0]) for d, t in zip(b[0], b[1]) if d.is_valid]
+            found = [np.unique(hashes(text_bytes(t), False)[0]) for d, t in zip(b[0], b[1]) if d.is_valid]
             if not found:
                 continue
             each = np.concatenate(found)
@@ -184,7 +175,7 @@ def _windows(shared, n: int, bits: int, most: int):
             for d, t in zip(b[0], b[1]):
                 if not d.is_valid:
                     continue
-                w, v = hashes(space_words(t.as_py()))
+                w, v = hashes(text_bytes(t))
                 if len(at := sketch.repeated(w)):
                     group.append((d.as_py(), w[at], v[at]))
                     size += len(at)
@@ -219,21 +210,22 @@ def _strip(n: int, text_at: int):
         for b in batches:
             rows = []
             for i in range(b.num_rows):
-                text = b[text_at][i].as_py()
-                words = left = space_words(text)
+                text = b[text_at][i]
+                data = text_bytes(text)
+                words = left = data.split()
                 windows, packed = b[b.num_columns - 2][i], b[b.num_columns - 1][i]
                 if windows.is_valid:
                     known = np.concatenate([np.asarray(windows.values, np.int64).view(np.uint64), *(np.frombuffer(p, np.uint64) for p in packed.as_py())])
-                    starts = np.flatnonzero(np.isin(hashes(words, False)[0], known))
+                    starts = np.flatnonzero(np.isin(hashes(data, False)[0], known))
                     mark = np.zeros(len(words) + 1, np.int32)
                     np.add.at(mark, starts, 1)
                     np.add.at(mark, starts + n, -1)
                     gone = np.cumsum(mark[:-1]) > 0
                     left = [x for x, g in zip(words, gone.tolist()) if not g]
                 whole = b" ".join(left)
-                rows.append((text if len(left) == len(words) else whole.decode("utf-8", "surrogatepass"), len(words), len(words) - len(left), hashlib.sha256(whole).hexdigest()))
+                rows.append((text if len(left) == len(words) else whole, len(words), len(words) - len(left), hashlib.sha256(whole).hexdigest()))
             cols = [b[i] for i in range(b.num_columns - 2)]
-            cols[text_at] = pa.array([r[0] for r in rows], pa.string())
+            cols[text_at] = pa.array([r[0].as_py() if isinstance(r[0], pa.Scalar) else r[0].decode("utf-8", "surrogatepass") for r in rows], pa.string())
             cols += [pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
 

@@ -24,6 +24,18 @@ def few(spark):
     return docs(spark, [(i, t, "en", "a" if i % 2 else None, 1, "clash") for i, t in enumerate(texts)] + [(3, BASE, "en", "a", 1, "clash"), (None, BASE, None, None, None, None)])
 
 
+@pytest.mark.parametrize("piece", [1 << 20, 64])
+def test_word_codes_tell_words_apart(piece):
+    rng = np.random.default_rng(15)
+    words = [bytes(rng.integers(33, 256, int(rng.integers(1, 12)), np.uint8)) for _ in range(3000)] + [b"a", b"aa", b"b" * 300, b"\0", b"\0\0"]
+    data = b"".join(w + bytes([9, 10, 11, 12, 13, 32][int(x)] for x in rng.integers(0, 6, int(rng.integers(1, 4)))) for w in words)
+    code = common.WordCodes(0xD1342543DE82EF95, 0x9E3779B97F4A7C15, piece=piece)
+    for got in code(b" \n" + data):
+        assert len(got) == len(words) == len(data.split()) and len(set(got.tolist())) == len(set(words))
+        assert len({(w, g) for w, g in zip(words, got.tolist())}) == len(set(words))
+    assert [len(x) for x in code(b"")] == [len(x) for x in code(b" \t")] == [0, 0] and len(code(b"x" * 1000)[0]) == 1
+
+
 def test_gaps_round_trip():
     for x in ([], [0], [254], [255], [65535], [0, 1, 255, 256, 511, 1021, 65535], list(range(0, 65536, 7))):
         assert substrings.from_gaps(substrings.gaps(np.array(x, np.uint32))).tolist() == x
