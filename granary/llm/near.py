@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import WordIds, cut, rolling, spread_join
+from granary.llm.common import WordCodes, cut, rolling, spread_join
 from granary.llm.simhash import bit_counts, components, ring_passes
 
 WORDS, SIMILAR = 5, 0.8
@@ -38,12 +38,12 @@ JOIN = _rng.integers(0, 2**64, (BANDS, ROWS), np.uint64) | np.uint64(1)
 WIDE = _rng.integers(0, 2**64, BITS // 64, np.uint64) | np.uint64(1)
 
 
-def shingles(text: str | None, ids_of: WordIds) -> np.ndarray:
+def shingles(text: str | None, codes: WordCodes) -> np.ndarray:
     """Sorted different hashes of a text's shingles."""
-    words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    (words,) = codes((text or "").encode("utf-8", "surrogatepass").lower())
+    if not len(words):
         return np.empty(0, np.uint64)
-    runs = rolling(ids_of(words), min(WORDS, len(words)), BASE)
+    runs = rolling(words, min(WORDS, len(words)), BASE)
     runs = (runs ^ (runs >> np.uint64(32))) * MIX
     return np.unique(runs ^ (runs >> np.uint64(29)))
 
@@ -76,11 +76,11 @@ def sliced(batches):
 
 
 def _sets(batches):
-    ids_of = WordIds(100_000)
+    codes = WordCodes(BASE)
     for b in sliced(batches):
         nodes, keys, prints, sets = [], [], [], []
         for t in b[2]:
-            own = shingles(t.as_py(), ids_of)
+            own = shingles(t.as_py(), codes)
             nodes.append(xxhash.xxh64_intdigest(own.tobytes()) - 2**63)
             keys.append(band_keys(own) if len(own) else None)
             prints.append(wide_print(own) if len(own) else None)

@@ -39,9 +39,12 @@ BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bi
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
     """How many of the rows of (n, words) uint64 hashes have each bit."""
     parts = hashes.view(np.uint8).reshape(len(hashes), -1)
-    if len(hashes) < 256:
-        return np.unpackbits(parts, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.concatenate([np.bincount(parts[:, k], minlength=256) @ BITS_OF_BYTE for k in range(parts.shape[1])])
+    if len(hashes) > 1000 and parts.shape[1] == 8:
+        return np.concatenate([np.bincount(parts[:, k], minlength=256) @ BITS_OF_BYTE for k in range(8)])
+    out = np.zeros(8 * parts.shape[1], np.int64)
+    for i in range(0, len(parts), 255):  # 255 rows' counts fit a byte
+        out += np.add.reduce(np.unpackbits(parts[i : i + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return out
 
 
 def fingerprint(text: str | None, n: int = 3) -> int:
