@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.operators import blocks as B
+from granary.operators.harness import dry_run as list_cases
+from granary.operators.metrics import truth_names
 from granary.plans.registry import query
 from granary.sources import files as S
 from granary.sources import store
@@ -123,3 +125,45 @@ def long_pages(spark, sf_dir):
     """Pages of more than 50 characters once stripped."""
     rows = table(spark, sf_dir, "region").selectExpr("concat('n', r_regionkey) AS name", "IF(r_regionkey = 0, repeat(' ', 80), concat(repeat(' ', 9), r_name, ' ', r_regionkey, repeat('.', 60))) AS text")
     return B.content_pages(rows).withColumn("text", F.regexp_replace("text", r"\.+$", ""))
+
+
+def _cases(spark, sf_dir):
+    """A question set in YAML with a question a nation, read back: every third has no truth, and no notes."""
+    import yaml
+
+    rows = sorted(table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect())
+    each = []
+    for key, name in rows:
+        q = {"id": f"q{key}", "category": "ood" if key % 5 == 0 else "procedural", "difficulty": key % 3 + 1, "question": f"Where is {name}?"}
+        q["ground_truth_chunks"] = None if key % 3 == 0 else [{"document": f"{name}.PDF", "section": "s"}, {"document": f"{name}.pdf", "section": "t"}]
+        each.append(q | ({"notes": "n"} if key % 3 else {}))
+    path = f"{new_folder(spark, 'questions')}/questions.yaml"
+    S.write_text(spark, path, yaml.safe_dump({"version": "1", "questions": each}))
+    return S.read_cases(spark, path)
+
+
+@query(
+    """SELECT 'q' || n_nationkey AS id, CASE WHEN n_nationkey % 5 = 0 THEN 'ood' ELSE 'procedural' END AS category, CAST(n_nationkey % 3 + 1 AS INTEGER) AS difficulty, 'Where is ' || n_name || '?' AS question,
+  CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE n_name END AS truth, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'n' END AS notes, n_nationkey % 5 = 0 AS is_ood FROM nation"""
+)
+def question_set(spark, sf_dir):
+    """With the names of the true documents, once each and without their endings."""
+    got = _cases(spark, sf_dir)
+    return got.select("id", "category", "difficulty", "question", F.array_join(truth_names(F.col("ground_truth_chunks")), ",").alias("truth"), "notes", (F.col("category") == "ood").alias("is_ood"))
+
+
+@query("SELECT 'q' || n_nationkey AS id, CASE WHEN n_nationkey % 5 = 0 THEN 'ood' ELSE 'procedural' END AS category, CAST(n_nationkey % 3 + 1 AS INTEGER) AS difficulty, 'Where is ' || n_name || '?' AS question FROM nation")
+def dry_run(spark, sf_dir):
+    """The question set alone."""
+    return list_cases(_cases(spark, sf_dir))
+
+
+@query("SELECT 2.5::DOUBLE AS coef, -0.125::DOUBLE AS intercept, 0.5::DOUBLE AS feature_mean, 0.25::DOUBLE AS feature_std, count(*) AS n_train, 0.0625::DOUBLE AS train_ece, 0.1875::DOUBLE AS train_brier FROM nation")
+def model_file(spark, sf_dir):
+    """A calibration model written twice and read back."""
+    path = f"{new_folder(spark, 'models')}/model.json"
+    model = {"coef": 2.5, "intercept": -0.125, "feature_mean": 0.5, "feature_std": 0.25, "n_train": table(spark, sf_dir, "nation").count(), "train_ece": 0.0625, "train_brier": 0.1875}
+    S.save_model(spark, model | {"coef": 0.0}, path)
+    S.save_model(spark, model, path)
+    got = S.load_model(spark, path)
+    return spark.createDataFrame([tuple(got.values())], S.MODEL)
