@@ -69,16 +69,18 @@ def robust_prune(x: np.ndarray, own: np.ndarray, found: np.ndarray) -> np.ndarra
     order = np.argsort(d, 1, kind="stable")
     rows = np.arange(len(own))
     found, d = found[rows[:, None], order], d[rows[:, None], order]
+    near = x[np.maximum(found, 0)]
+    square = np.einsum("bcd,bcd->bc", near, near)
+    # All distances among a node's candidates at once; each pick below only looks them up.
+    among = square[:, :, None] + square[:, None, :] - 2 * (near @ near.transpose(0, 2, 1))
     out = np.full((len(own), DEGREE), -1)
     for k in range(DEGREE):
         at = np.argmax(np.isfinite(d), 1)
         live = np.isfinite(d[rows, at])
         if not live.any():
             break
-        pick = found[rows, at]
-        out[live, k] = pick[live]
-        between = distances(x, x[np.maximum(pick, 0)], np.maximum(found, 0))
-        d = np.where(ALPHA * ALPHA * between <= d, np.inf, d)
+        out[live, k] = found[rows, at][live]
+        d = np.where(ALPHA * ALPHA * among[rows, at] <= d, np.inf, d)
         d[rows, at] = np.inf
     return out
 
