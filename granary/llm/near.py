@@ -168,21 +168,21 @@ def _added(batches):
 
 
 def _rarest(shared):
-    """Rows (token, node, root, size) of each set's rarest shingles, by the one order that all tasks have."""
+    """Rows (token, at, node, root, size) of each set's rarest shingles, by the one order that all tasks have."""
 
     def run(batches):
         count = np.zeros(1 << 20, np.int64)
         for block, bins in shared.value:
             count[block << 12 : (block + 1) << 12] = np.frombuffer(bins, np.int64)
         for b in sliced(batches):
-            cols = [[], [], [], []]
+            cols = [[], [], [], [], []]
             for node, root, own in zip(b[0].to_pylist(), b[1].to_pylist(), b[2]):
                 x = np.unique(np.frombuffer(own.as_py(), np.uint32))
                 need = int(np.ceil(SIMILAR * len(x) - 1e-9))
                 first = x[np.lexsort((x, count[x >> np.uint32(12)]))[: len(x) - need + 1]]
-                for col, values in zip(cols, (first.astype(np.int64), *(np.full(len(first), v, np.int64) for v in (node, root, len(x))))):
+                for col, values in zip(cols, (first.astype(np.int64), np.arange(len(first)), *(np.full(len(first), v, np.int64) for v in (node, root, len(x))))):
                     col.append(values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *c]), pa.int64()) for c in cols], names=["token", "node", "root", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *c]), pa.int64()) for c in cols], names=["token", "at", "node", "root", "size"])
 
     return run
 
@@ -195,14 +195,17 @@ def apart(crowded: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     own = cut(spread_join(own, roots, "node", "node", salts=1).select("node", F.coalesce("root", "node").alias("root"), "own"))
     bins = own.select("own").mapInArrow(_bins, "block int, bins binary").repartition("block").sortWithinPartitions("block").mapInArrow(_added, "block int, bins binary")
     shared = spark.sparkContext.broadcast([tuple(r) for r in bins.collect()])  # 8 MB at most
-    rare = cut(own.mapInArrow(_rarest(shared), "token bigint, node bigint, root bigint, size bigint"))
+    rare = cut(own.mapInArrow(_rarest(shared), "token bigint, at bigint, node bigint, root bigint, size bigint"))
     groups = rare.groupBy("token", "root").agg(F.count("*").alias("n"))
     # Of each shingle the largest group; members of the others meet all that have it.
     main = groups.groupBy("token").agg(F.count("*").alias("k"), F.max_by("root", "n").alias("main")).where("k > 1").select("token", "main")
     members = cut(spread_join(rare, main, "token", "node", "inner"))
-    few = members.where("root <> main").select("token", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"))
-    met = spread_join(members.select("token", "node", "root", "size"), few, "token", "node", "inner").where(F.col("root") != F.col("rx"))
+    few = members.where("root <> main").select("token", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"), F.col("at").alias("ax"))
+    met = spread_join(members.select("token", "at", "node", "root", "size"), few, "token", "node", "inner").where(F.col("root") != F.col("rx"))
     met = met.where((F.col("size") >= F.col("sx") * (SIMILAR - 1e-9)) & (F.col("sx") >= F.col("size") * (SIMILAR - 1e-9)))
+    # By position: what can be shared from this shingle on, were it the first shared one, must be enough for similarity.
+    least = (F.col("size") + F.col("sx")) * (SIMILAR / (1 + SIMILAR)) - 1e-6
+    met = met.where(F.least(F.col("size") - F.col("at"), F.col("sx") - F.col("ax")) >= least)
     return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
 
 
