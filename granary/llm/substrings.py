@@ -116,12 +116,14 @@ def _merge(batches):
 
 
 class Sketch:
-    def __init__(self, blocks: list[tuple[int, bytes]], bits: int):
+    """A bit a cell, set where its count is two or more; blocks: rows (row << 16 | block, bits)."""
+
+    def __init__(self, blocks: pa.Table, bits: int):
         self.bits, size = bits, 1 << (BLOCK_BITS - 3)
         self.rows = np.zeros((DEPTH, 1 << (bits - 3)), np.uint8)
-        for block, held in blocks:
+        for block, held in zip(blocks[0].to_pylist(), blocks[1]):
             k = block & 0xFFFF
-            self.rows[block >> 16, k * size : (k + 1) * size] = np.frombuffer(held, np.uint8)
+            self.rows[block >> 16, k * size : (k + 1) * size] = np.frombuffer(held.as_buffer(), np.uint8)
 
     def repeated(self, window: np.ndarray) -> np.ndarray:
         """Places of windows that every row counts twice or more."""
@@ -165,11 +167,11 @@ def _told(group: list[tuple], kind) -> pa.RecordBatch:
     )
 
 
-def _windows(shared, n: int, bits: int, most: int):
+def _windows(shared, n: int, most: int):
     """Rows (doc_id, w, v, packed): windows a document asks about, and, packed, those of which it knows that they repeat."""
 
     def run(batches):
-        sketch, hashes = Sketch(shared.value, bits), WindowHashes(n)
+        sketch, hashes = shared.value, WindowHashes(n)
         group, size = [], 0
         for b in batches:
             for d, t in zip(b[0], b[1]):
@@ -197,8 +199,8 @@ def repeated_windows(docs: DataFrame, n: int = 13, most_bits: int = MOST_BITS, g
     bits = min(most_bits, max(LEAST_BITS, int(chars // 6 * 2).bit_length()))
     counted = texts.mapInArrow(_counts(n, bits), "block int, once binary, more binary")
     merged = counted.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block int, bits binary")
-    shared = spark.sparkContext.broadcast([tuple(r) for r in merged.collect()])  # at most DEPTH * 2**most_bits bits
-    found = texts.mapInArrow(_windows(shared, n, bits, group), f"doc_id {kind}, {ASKS}")
+    shared = spark.sparkContext.broadcast(Sketch(merged.toArrow(), bits))  # at most DEPTH * 2**most_bits bits
+    found = texts.mapInArrow(_windows(shared, n, group), f"doc_id {kind}, {ASKS}")
     first = F.min("doc_id").over(Window.partitionBy("w", "v"))
     later = found.withColumn("first", first).where("packed IS NOT NULL OR first < doc_id")
     return later.groupBy("doc_id").agg(F.collect_list(F.when(F.col("packed").isNull(), F.col("w"))).alias("windows"), F.collect_list("packed").alias("packed"))
