@@ -107,6 +107,8 @@ def cut(df: DataFrame) -> DataFrame:
 def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "left", salts: int = 8) -> DataFrame:
     """left joined with right on key, where one key may have a large share of left's rows: they are dealt over ``salts``
     tasks by a hash of ``by``, and right's rows (few a key) are there once for each."""
+    if salts == 1:
+        return left.join(right, key, how)
     a = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return a.join(b, [key, "_salt"], how).drop("_salt")

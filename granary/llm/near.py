@@ -30,7 +30,7 @@ from granary.llm.simhash import bit_counts, components, ring_passes
 
 WORDS, SIMILAR = 5, 0.8
 BITS, MOST = 512, 118
-ROWS, BANDS, BUCKET, PART, SLICE, HOT = 5, 24, 64, 1024, 512, 1000
+ROWS, BANDS, BUCKET, PART, SLICE = 5, 24, 64, 1024, 512
 BASE, MIX = 0xD1342543DE82EF95, np.uint64(0x9FB21C651E98DF25)
 _rng = np.random.default_rng(6)
 TURN, SHIFT = (_rng.integers(0, 2**64, (ROWS * BANDS, 1), np.uint64) | np.uint64(1) for _ in range(2))
@@ -110,18 +110,11 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([b[0], b[1]], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _with(pairs: DataFrame, values: DataFrame, value: str, side: str, other: str, out: str) -> DataFrame:
-    """Pairs with the value of one side's node; rows (node, value), one a node. A leader is in many pairs: a node's value is
-    there once for each HOT of its pairs (up to 64 times), and they are dealt over these."""
-    times = pairs.groupBy(side).agg(F.least(F.lit(64), F.ceil(F.count("*") / HOT)).cast("long").alias("_n"))
-    left = spread_join(pairs, times, side, other, "inner").withColumn("_at", F.pmod(F.xxhash64(other), F.col("_n"))).drop("_n")
-    copies = values.withColumnRenamed("node", side).join(times, side).select(side, F.col(value).alias(out), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_at"))
-    return left.join(copies, [side, "_at"]).drop("_at")
-
-
-def _with_both(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
-    """Pairs (a, b) with the values x of a and y of b."""
-    return _with(_with(pairs, values, value, "a", "b", "x"), values, value, "b", "a", "y").select("a", "b", "x", "y")
+def _with_both(pairs: DataFrame, values: DataFrame, value: str, salts: int = 1) -> DataFrame:
+    """Pairs (a, b) with the values x of a and y of b; rows (node, value), one a node. A leader is in many pairs: small values are
+    there ``salts`` times, so that its pairs are dealt over as many tasks."""
+    first = spread_join(pairs, values.select(F.col("node").alias("a"), F.col(value).alias("x")), "a", "b", "inner", salts)
+    return spread_join(first, values.select(F.col("node").alias("b"), F.col(value).alias("y")), "b", "a", "inner", salts).select("a", "b", "x", "y")
 
 
 def candidate_pairs(sets: DataFrame, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
@@ -142,7 +135,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b), those of similar sets: by SimHash first, what is left by the sets."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     prints = cut(sets.select("node", "print").join(needed, "node", "left_semi").groupBy("node").agg(F.first("print").alias("print")))
-    pairs = cut(_with_both(pairs, prints, "print").mapInArrow(_pruned, "a bigint, b bigint"))
+    pairs = cut(_with_both(pairs, prints, "print", 8).mapInArrow(_pruned, "a bigint, b bigint"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     own = cut(sets.select("node", "own").join(needed, "node", "left_semi").groupBy("node").agg(F.first("own").alias("own")))
     return cut(_with_both(pairs, own, "own").mapInArrow(_verify, "a bigint, b bigint"))
