@@ -133,10 +133,10 @@ def candidate_pairs(sets: DataFrame, bucket: int = BUCKET) -> tuple[DataFrame, D
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b), those of similar sets: by SimHash first, what is left by the sets."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     prints = cut(sets.select("node", "print").join(needed, "node", "left_semi").groupBy("node").agg(F.first("print").alias("print")))
     pairs = cut(_with_both(pairs, prints, "print", 8).mapInArrow(_pruned, "a bigint, b bigint"))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     own = cut(sets.select("node", "own").join(needed, "node", "left_semi").groupBy("node").agg(F.first("own").alias("own")))
     return cut(_with_both(pairs, own, "own").mapInArrow(_verify, "a bigint, b bigint"))
 

@@ -38,14 +38,14 @@ def key(r):
 def test_each_stage_keeps_what_it_should(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = docs.columns
-    rows = docs.collect()
+    rows, out = docs.collect(), {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         got = stage(spark, docs, sf)
         assert got.columns == names and got.schema == docs.schema, name
-        assert stage(spark, docs.where("false"), sf).count() == 0, name
-        assert {(r.h, r.n_words, r["a.b"]) for r in got.collect()} <= {("k", 1, "k")}, name
+        out[name] = got.collect()
+        assert {(r.h, r.n_words, r["a.b"]) for r in out[name]} <= {("k", 1, "k")}, name
 
-    kept = sorted(map(key, stages.quality(spark, docs, sf).collect()))
+    kept = sorted(map(key, out["quality"]))
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     assert kept == sorted(key(r) for r, s in zip(rows, model.score([r.text for r in rows])) if s >= 0.3)
 
@@ -57,28 +57,32 @@ def test_each_stage_keeps_what_it_should(spark, sf):
         like = [o for o, s in zip(rows, sets) if o.doc_id is not None and (s == sets[i] or s and sets[i] and len(s & sets[i]) >= 0.8 * len(s | sets[i]))]
         if r.doc_id is None or r.doc_id == min(o.doc_id for o in like):
             want.append(key(r)[:2])
-    assert sorted({key(r)[:2] for r in stages.near_dedup(spark, docs, sf).collect()}) == sorted(set(want))
-    assert stages.near_dedup(spark, docs, sf).count() == len(set(want))
+    assert sorted(key(r)[:2] for r in out["near_dedup"]) == sorted(set(want))
 
-    cut = {key(r)[0]: r for r in stages.substring_dedup(spark, docs, sf).where("doc_id IS NOT NULL AND doc_id <> 13").collect()}
+    cut = {key(r)[0]: r for r in out["substring_dedup"] if r.doc_id not in (None, 13)}
     shared = " ".join(f"s{i}" for i in range(40))
     assert cut["6"].text.endswith(shared) and shared not in cut["7"].text and cut["7"].n_chars == len(cut["7"].text) and "10" not in cut and "5" not in cut and cut["4"].text == GOOD and cut["0"].text is None
 
-    clean = {key(r)[0] for r in stages.benchmark_free(spark, docs, sf).collect()}
-    assert clean == {str(r.doc_id) for r in rows} - {"8"}
+    assert {key(r)[0] for r in out["decontaminate"]} == {str(r.doc_id) for r in rows} - {"8"}
 
     mixed = stages.mixed(spark, docs, sf)
     assert mixed.columns == [*names, "source_row", "block", "slot", "position"] and sorted(map(key, mixed.collect())) == sorted(map(key, rows))
     assert mixed.select("position").distinct().count() == len(rows) and stages.mixed(spark, docs.where("false"), sf).count() == 0
 
 
+def test_stages_of_empty_tables(spark, sf):
+    none = spark.read.parquet(f"{sf}/documents.parquet").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0, name
+
+
 def test_run_chains_the_stages_and_cleans_up(spark, sf, tmp_path):
-    got = corpus_pipeline.run(spark, sf, f"file://{tmp_path}/out").collect()
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES:
-        got_now = stage(spark, docs, sf)
-        docs = spark.createDataFrame(got_now.collect(), got_now.schema)
-    assert sorted(map(str, got)) == sorted(map(str, docs.collect())) and got
+    got = corpus_pipeline.run(spark, sf, f"file://{tmp_path}/out")
+    rows = got.collect()
+    assert got.columns[-4:] == ["source_row", "block", "slot", "position"] and "text" in got.columns and rows
+    # No copy, no benchmark passage, no repeated passage is left.
+    texts = [r.text for r in rows if r.text]
+    assert len(texts) == len(set(texts)) and not any("bench0" in t for t in texts) and sum("s5 s6 s7" in t for t in texts) <= 1
     assert [p.name for p in (tmp_path / "out").iterdir()] == ["mixing"]
 
 
