@@ -9,10 +9,11 @@ bits that tell how often, odd or even, a sample hashed there. The XOR of two ske
 ones in it mean some -BITS/2 ln(1 - 2z/BITS) differing samples. Pairs of similarity 0.8 have 84 ones (deviation 10); those
 with more than MOST, six deviations above, are dropped. What is left is compared by its words, set by set.
 
-Only different sets are compared, each standing for its copies. First each set meets one leader a key, of which it's
-compared with the one whose sketch is nearest; most copies are in their group then. Next, all pairs that share a key and
-are in different groups are compared: nothing is capped. Keys where these would be more than CROWD pairs go another, exact way:
-their sets are joined by their rarest shingles, of which two similar sets share one (``near.apart``).
+Only different sets are compared, each standing for its copies. First each set meets one leader a key: the set that shares most keys
+with others, all keys counted, as one in the middle of a cloud of copies does. Nearly all that belongs to a cloud is linked by then.
+What a key still has in different groups is compared exactly, without a cap: sets of such keys are joined by their rarest
+shingles, of which two similar sets share one (``near.apart``); what a cloud's far members have of their own is rare, so
+they hardly meet, while all pairs of a key would be the square of a cloud.
 
 Compared texts travel once a pair, sets of many pairs in slices of SLICE, and are read one by one.
 
@@ -36,7 +37,9 @@ from granary.llm.simhash import components
 
 WORDS, SIMILAR = 4, 80
 ROWS, BANDS, SAMPLES, BITS, MOST = 5, 32, 256, 512, 144
-CROWD, SLICE, PART, BATCH = 4096, 64, 1024, 512
+SLICE, PART, BATCH = 64, 1024, 512
+#: Values of the hash that says which texts are moved at all: a table of so many rows at most is broadcast.
+SIEVE = 1 << 19
 BASE, MIX = 0xD1342543DE82EF95, np.uint64(0x9FB21C651E98DF25)
 _rng = np.random.default_rng(12)
 TURN, SHIFT = (_rng.integers(0, 2**32, (SAMPLES, 1), np.uint32) | np.uint32(1) for _ in range(2))
@@ -134,37 +137,33 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     dealt = cut(sized.select("a", "b", F.pmod(F.xxhash64("b"), F.expr(f"(n + {SLICE - 1}) div {SLICE}")).alias("part")))
     hubs = dealt.select(F.col("a").alias("doc_id"), F.col("a").alias("hub"), "part", F.lit(0).alias("kind")).distinct()
     others = dealt.select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), "part", F.lit(1).alias("kind"))
-    sent = docs.select("doc_id", "text").where("text IS NOT NULL").join(hubs.unionByName(others), "doc_id")
+    sent = only(docs, dealt.select(F.explode(F.array("a", "b")).alias("doc_id"))).join(hubs.unionByName(others), "doc_id")
     sent = sent.select("hub", "part", "kind", F.col("doc_id").alias("other"), "text").repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
     return cut(sent.mapInArrow(_confirmed, "a bigint, b bigint").distinct())
 
 
 def shared_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node, leader) of keys that several sets have. The leader is another one in each key."""
+    """(key, node, leader) of keys that several sets have. A key's leader is the one with the most company in all its keys."""
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "node"), "node"))["node"].alias("leader")).where("n > 1")
-    return cut(keyed.join(sizes.select("key", "leader"), "key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(keyed.join(sizes, "key"))
+    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
+    leaders = shared.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node"))["node"].alias("leader"))
+    return cut(shared.select("key", "node").join(leaders, "key"))
 
 
-def nearest_leaders(shared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b): of each set the leader whose sketch is the nearest one."""
-    stars = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    best = with_bits(stars, nodes).groupBy("b").agg(F.min(F.struct("z", "a"))["a"].alias("a"))
-    return cut(best.select("a", "b"))
+def mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The sets of keys whose sets are in different groups."""
+    rooted = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return cut(rooted.join(several, "key").select("node").distinct())
 
 
-def across(shared: DataFrame, roots: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b of one key and different groups, sets of keys with more than ``crowd`` such pairs, which are left out)."""
-    rooted = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    groups = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    keys = groups.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("main")).where("k > 1")
-    # The key's largest group needn't be compared with itself.
-    keys = keys.select("key", F.col("main.root").alias("main"), (F.col("all") * (F.col("all") - F.col("main.n")) > crowd).alias("crowded"))
-    members = cut(rooted.join(keys, "key"))
-    plain = members.where("NOT crowded")
-    few = plain.where("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
-    met = plain.select("key", "node", "root").join(few, "key").where("root <> rx").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-    return met.distinct(), cut(members.where("crowded").select("node").distinct())
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows with texts, without most of those whose ids aren't among ``ids``: a hash of the ids sifts them where they're read."""
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
+    held = ids.select(of("doc_id").alias("sieve")).distinct()
+    return docs.select("doc_id", "text").where("text IS NOT NULL").withColumn("sieve", of("doc_id")).join(F.broadcast(held), "sieve", "left_semi").drop("sieve")
 
 
 def _own(batches):
@@ -174,19 +173,21 @@ def _own(batches):
         yield pa.RecordBatch.from_arrays([b[0], pa.array(sets, pa.binary())], names=["node", "own"])
 
 
-def links(nodes: DataFrame, docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) that join all sets (node, keys, sketch) linked by similarity. A node is the id of a document with that set."""
     shared = shared_keys(nodes)
-    edges = confirmed(nearest_leaders(shared, nodes), docs)
+    stars = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    edges = confirmed(cut(with_bits(stars, nodes).select("a", "b")), docs)
     roots = components(edges)
-    pairs, crowded = across(shared, roots, crowd)
-    if not crowded.isEmpty():
-        texts = docs.select(F.col("doc_id").alias("node"), "text").where("text IS NOT NULL").join(crowded, "node", "left_semi")
-        pairs = pairs.unionByName(apart(crowded, cut(texts.mapInArrow(_own, "node bigint, own binary")), roots)).distinct()
+    rest = mixed(shared, roots)
+    if rest.isEmpty():
+        return edges
+    texts = only(docs, rest.withColumnRenamed("node", "doc_id")).withColumnRenamed("doc_id", "node").join(rest, "node", "left_semi")
+    pairs = apart(rest, cut(texts.mapInArrow(_own, "node bigint, own binary")), roots)
     return edges.unionByName(confirmed(cut(with_bits(pairs, nodes).select("a", "b")), docs))
 
 
-def near_documents(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+def near_documents(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
     if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
         raise ValueError("ids must be integers")
@@ -198,7 +199,7 @@ def near_documents(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     # An id that is repeated with other texts joins their sets.
     ids = members.where("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").select("doc_id", "a")
     same = members.join(ids, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
-    roots = components(links(sets.drop("digest"), docs, crowd).unionByName(same))
+    roots = components(links(sets.drop("digest"), docs).unionByName(same))
     names = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     known = roots.join(names, "root").select("node", "component_id")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "node"))

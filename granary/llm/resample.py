@@ -43,11 +43,14 @@ def lowered(gram: Column) -> Column:
 def grams(own: Column, most: int = MOST) -> Column:
     """All runs of 1 to ``most`` consecutive words, joined by one space."""
 
-    def runs(n: int) -> Column:
-        starts = F.when(F.size(own) >= n, F.sequence(F.lit(1), F.size(own) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(own, i, n), " "))
-
-    return F.concat(own, *[runs(n) for n in range(2, most + 1)]) if most > 1 else own
+    def runs(w, n: int) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    if most == 1:
+        return own
+    # The words are bound once as a lambda's argument, so the split isn't evaluated again for every run.
+    return F.get(F.transform(F.array(own), lambda w: F.concat(w, *[runs(w, n) for n in range(2, most + 1)])), 0)
 
 
 def bucket_of(gram: Column, buckets: int = BUCKETS) -> Column:

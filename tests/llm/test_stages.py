@@ -179,7 +179,7 @@ def test_near_groups_with_empty_tables(spark):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(QUERIES) == sorted(["pipeline", *(f"op{i}_{n}" for i, n in enumerate("decontaminate toxicity warc licenses neighbours simhash mixing urls quality substrings".split(), 1))])
+    assert sorted(QUERIES) == sorted(["pipeline", *(f"op{i}_{n}" for i, n in enumerate("decontaminate toxicity warc licenses neighbours simhash mixing urls quality substrings manifest minhash resample".split(), 1))])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "substring_dedup", "decontaminate", "mixing"]
     assert importlib.util.find_spec("granary.llm") is not None and not set(QUERIES) & set(OTHERS)
     assert not [m for m in sys.modules if m.startswith("granary.") and not m.startswith("granary.llm") and "llm" in vars(sys.modules[m])]
