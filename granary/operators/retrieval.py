@@ -13,6 +13,8 @@ from granary.functions.text import words
 #: A group of queries that is sent to all rows has at most so many bytes of vectors; more queries mean more passes.
 QUERY_BYTES = 64 << 20
 ROWS, QUERIES, PAIRS, NEAR = 4096, 512, 200_000, 1e-9
+#: Names of a search's scopes that go into the scan's filter; more are joined.
+NAMES = 1000
 
 
 def vectors(col: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +124,17 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, key: str = "
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
 
 
+def search(queries: DataFrame, collection, k: int = 20, scope: str | None = None, query_key: str = "query_id") -> DataFrame:
+    """(query_id, rank, chunk_id, score): ``cosine_topk`` over a collection's points. Where all queries have a scope (a column of
+    document names), only the files that its index gives for these names are read; names it doesn't know cost nothing."""
+    names = None
+    if scope and queries.where(F.col(scope).isNull() | (F.size(scope) == 0)).isEmpty():
+        names = queries.select(F.explode(scope).alias("term")).distinct()
+        few = [r.term for r in names.limit(NAMES + 1).collect()]
+        names = few if len(few) <= NAMES else names
+    return cosine_topk(queries, collection.points(names), k, key="chunk_id", query_key=query_key, scope=scope, name="doc_name" if scope else None)
+
+
 def with_payload(ranked: DataFrame, corpus: DataFrame, key: str = "chunk_id", fields: tuple = ("doc_name", "section_path", "page_num", "text", "token_count")) -> DataFrame:
     """Ranked rows with the typed fields of their chunks."""
     return ranked.join(corpus.select(key, *fields), key)

@@ -9,6 +9,7 @@ from granary.operators import calibration as K
 from granary.operators import harness as H
 from granary.operators import metrics as M
 from granary.operators import providers as P
+from granary.operators.isotonic import isotonic, isotonic_pools
 from granary.plans.registry import query
 from granary.plans.serving import SERVED, questions, responses
 from granary.sources.tables import table
@@ -133,11 +134,16 @@ def platt_predict(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(T.platt(F.col("n_chars") % 101, 2.0, -1.0), 6).alias("probability"))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT n_chars % 101 AS raw, sum(quality) AS s, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+m AS (SELECT a.raw AS j, b.raw AS k, sum(p.s) / sum(p.n) AS mean FROM p a JOIN p b ON a.raw <= b.raw JOIN p ON p.raw BETWEEN a.raw AND b.raw GROUP BY 1, 2),
+least AS (SELECT i.raw, m.j, min(mean) AS lo FROM p i JOIN m ON m.j <= i.raw AND m.k >= i.raw GROUP BY 1, 2) SELECT raw, round(max(lo), 6) AS isotonic FROM least GROUP BY raw"""
+)
 def isotonic_fit(spark, sf_dir):
-    """The monotone fit at each confidence; the tests compare it with pooled neighbours by hand."""
+    """The monotone fit at each confidence, pooled over ranges; in SQL, the highest of the lowest means around it."""
     rows = labelled(spark, sf_dir)
-    return K.fit_isotonic(rows, "raw", "quality")(rows.select("raw").distinct()).select("raw", F.round("isotonic", 6).alias("isotonic"))
+    got = isotonic(rows.select("raw").distinct(), "raw", isotonic_pools(rows, "raw", "quality", size=20))
+    return got.select("raw", F.round("isotonic", 6).alias("isotonic"))
 
 
 @query("SELECT doc_id, CASE WHEN CAST('0x' || substr(sha1(CAST(doc_id AS VARCHAR)), 1, 4) AS INTEGER) % 4 < 2 THEN 'train' WHEN CAST('0x' || substr(sha1(CAST(doc_id AS VARCHAR)), 1, 4) AS INTEGER) % 4 = 2 THEN 'dev' ELSE 'holdout' END AS split FROM documents")
@@ -205,6 +211,20 @@ def failure_buckets(spark, sf_dir):
     return rows.groupBy(H.failure_bucket(F.lit(True)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH r AS (SELECT doc_id, doc_id % 23 = 0 AS is_ood_true, doc_id % 29 = 0 AS is_ood_pred, CASE WHEN doc_id % 31 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 0.0 ELSE 1.0 END AS recall_20, doc_id % 7 <> 3 AS hit, least(2, doc_id % 11) AS faith, least(2, doc_id % 13) AS cite, CASE WHEN quality = 0 THEN doc_id % 3 ELSE 2 END AS relevance, (doc_id % 101) / 100.0::DOUBLE AS c, doc_id % 17 = 4 AS refused FROM labels)
+SELECT doc_id, CASE WHEN is_ood_true <> is_ood_pred THEN 'query_parsing' WHEN recall_20 = 0 THEN 'retrieval_miss' WHEN recall_20 = 1 AND NOT hit THEN 'reranker' WHEN faith < 2 THEN 'hallucination' WHEN cite < 2 THEN 'citation'
+  WHEN relevance = 0 AND c >= 0.85 OR refused AND NOT is_ood_true THEN 'calibration' WHEN relevance < 2 THEN 'ambiguity' END AS bucket FROM r"""
+)
+def failure_causes(spark, sf_dir):
+    """Rows of every kind: each of the seven causes is found, and some rows have none."""
+    rows = table(spark, sf_dir, "labels").selectExpr(
+        "doc_id", "doc_id % 23 = 0 AS is_ood_true", "doc_id % 29 = 0 AS is_ood_pred", "CASE WHEN doc_id % 31 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 0D ELSE 1D END AS recall_20", "doc_id % 7 <> 3 AS hit", "least(2, doc_id % 11) AS judge_faithfulness",
+        "least(2, doc_id % 13) AS judge_citation_accuracy", "IF(quality = 0, doc_id % 3, 2) AS judge_relevance", "(doc_id % 101) / 100D AS calibrated_confidence", "doc_id % 17 = 4 AS refused",
+    )
+    return rows.select("doc_id", H.failure_bucket(F.col("hit")).alias("bucket"))
+
+
 @query("SELECT coalesce(c, p) AS category, coalesce(n, 0) AS n, coalesce(planned, 0) AS planned FROM (SELECT 'c' || doc_id % 3 AS c, count(*) AS n FROM labels GROUP BY 1) FULL JOIN (VALUES ('c0', 50), ('c1', 40), ('c9', 20)) v(p, planned) ON c = p")
 def category_distribution(spark, sf_dir):
     cases = table(spark, sf_dir, "labels").selectExpr("concat('c', doc_id % 3) AS category")

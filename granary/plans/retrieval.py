@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 from granary.operators import metrics as M
 from granary.operators import providers as P
 from granary.operators import serving as S
+from granary.operators.keywords import index as keyword_index
+from granary.operators.keywords import keyword_topk
+from granary.operators.keywords import parts as keyword_parts
 from granary.operators.retrieval import bm25 as keyword_search
 from granary.operators.retrieval import cosine_topk, rerank, weak_retrieval
+from granary.operators.vectors import VectorIndex
 from granary.plans.registry import query
+from granary.sources.shared import cut, new_folder
 from granary.sources.tables import table
 
 #: Every row whose id is divisible by 50 asks; all rows are candidates.
@@ -40,6 +45,15 @@ def topk_cosine(spark, sf_dir):
     return rounded(near(spark, sf_dir))
 
 
+@query(OTHERS + "SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10")
+def topk_bounded(spark, sf_dir):
+    """The ten nearest others by an index that skips blocks by their bounds."""
+    rows = vectors(spark, sf_dir)
+    index = VectorIndex(spark, new_folder(spark, "vectors")).build(rows, pivots=16, size=1024)
+    got, _ = index.topk(rows.where("vec_id % 50 = 0"), 10, "vec_id", skip_self=True)
+    return rounded(got.withColumnRenamed("key", "vec_id"))
+
+
 @query(ALL + "SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5")
 def topk_prototype(spark, sf_dir):
     return rounded(near(spark, sf_dir, 5))
@@ -136,3 +150,17 @@ def bm25(spark, sf_dir):
     """The scores of each question's three best items."""
     got = keyword_search(questions(spark, sf_dir), table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"), 3)
     return got.select("query_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH {ASKED}, b AS (SELECT doc_id, {WORDS.format(t="text")} AS w FROM documents), n AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM b),
+tf AS (SELECT doc_id, len(w) AS l, x AS term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS x FROM b) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+a AS (SELECT DISTINCT query_id, unnest(qw) AS term FROM q),
+s AS (SELECT query_id, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 6) AS score FROM a JOIN tf USING (term) JOIN df USING (term), n GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, score FROM r WHERE rank <= 5"""
+)
+def bm25_index(spark, sf_dir):
+    """The scores of each question's five best documents, by an index with bounds."""
+    blocks = cut(keyword_index(keyword_parts(table(spark, sf_dir, "documents"))))
+    got, _ = keyword_topk(questions(spark, sf_dir), blocks, 5)
+    return got.select("query_id", "rank", F.round("score", 6).alias("score"))

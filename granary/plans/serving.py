@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.operators import harness as H
 from granary.operators import providers as P
 from granary.operators import serving as S
+from granary.operators.intervals import policy_actions as actions_in_force
+from granary.operators.ledger import Ledger, call_key
 from granary.operators.retrieval import overlap
 from granary.plans.registry import query
 from granary.plans.retrieval import ASKED, WORDS, questions
+from granary.sources.shared import new_folder
 from granary.sources.tables import table
 
 
@@ -124,3 +129,71 @@ def query_logs(spark, sf_dir):
     """The log records, read back."""
     got = H.query_log(responses(spark, sf_dir)).select("query_id", F.from_json("log", "action string, hits array<string>").alias("l"))
     return got.select("query_id", "l.action", F.array_join(F.coalesce("l.hits", F.array().cast("array<string>")), ",").alias("hits"))
+
+
+def _echo():
+    """A model that repeats what it's asked, and is never reached for some prompts."""
+
+    def call(prompt):
+        if len(prompt) % 7 == 0:
+            raise OSError("unreachable")
+        return f"You said: {prompt}", {"input_tokens": len(prompt), "output_tokens": 2}
+
+    return call
+
+
+@query(
+    """WITH c AS (SELECT conv_id * 1000 + turn AS query_id, text, length(text) % 7 = 0 AS fails, max(CAST(conv_id % 2 = 0 AS INTEGER)) OVER (PARTITION BY text) AS twice FROM conversations WHERE text IS NOT NULL)
+SELECT query_id, CASE WHEN NOT fails THEN 'You said: ' || text END AS answer, CASE WHEN fails THEN 'OSError: unreachable' END AS error, CASE WHEN NOT fails THEN length(text) END::DOUBLE AS input_tokens, CASE WHEN fails THEN 2 + 2 * twice ELSE 1 END AS tries FROM c"""
+)
+def ledger_calls(spark, sf_dir):
+    """Half of the conversations are asked, then all of them: a text is asked once, however many turns have it and however often
+    the run is repeated; texts that fail are tried twice in each run."""
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL").selectExpr("conv_id", "conv_id * 1000 + turn AS query_id", "text")
+    ledger = Ledger(spark, new_folder(spark, "ledger"), "echo", _echo, group=20_000, tasks=4, tries=2, pause=0.0)
+    ledger.ask(turns.where("conv_id % 2 = 0").select(F.col("text").alias("prompt")))
+    got = ledger(turns, "text", "r")
+    tries = ledger.entries().groupBy("key").agg(F.sum("tries").alias("tries"))
+    named = got.withColumn("key", call_key("echo", F.col("text"))).join(tries, "key")
+    return named.select("query_id", F.col("r.value").alias("answer"), F.col("r.error").alias("error"), F.col("r.usage.input_tokens").cast("double").alias("input_tokens"), "tries")
+
+
+#: Policies in five versions, with as many bounds as there are parts.
+POLICIES = "SELECT p_partkey % 20 AS policy, CAST((p_partkey // 20) % 5 AS INTEGER) AS version, TIMESTAMP '2024-01-03 00:00:00' + INTERVAL 6 DAY * CAST((p_partkey // 20) % 5 AS INTEGER) AS since, (p_partkey * 7919 % 10007) / 10007.0::DOUBLE AS low, 'a' || p_partkey AS action FROM part"
+
+
+@query(
+    f"""WITH p AS ({POLICIES}), e AS (SELECT event_id, ts, user_id % 21 AS policy, CASE WHEN event_id % 17 > 0 THEN (event_id * 31 % 1000) / 1000.0::DOUBLE END AS confidence FROM events),
+v AS (SELECT event_id, policy, confidence, max_by(version, since) AS version FROM e LEFT JOIN (SELECT DISTINCT policy, version, since FROM p) USING (policy) WHERE since <= ts GROUP BY ALL),
+a AS (SELECT event_id, max_by(action, low) AS action FROM v JOIN p USING (policy, version) WHERE low <= confidence GROUP BY event_id)
+SELECT event_id, CAST(v.version AS DOUBLE) AS version, coalesce(action, 'refuse') AS action FROM e LEFT JOIN v USING (event_id) LEFT JOIN a USING (event_id)"""
+)
+def policy_versions(spark, sf_dir):
+    """Each event's action by the bounds of the version that was in force. One policy of 21 has no versions."""
+    policies = table(spark, sf_dir, "part").selectExpr("p_partkey % 20 AS policy", "CAST((p_partkey DIV 20) % 5 AS INT) AS version", "timestampadd(DAY, 6 * CAST((p_partkey DIV 20) % 5 AS INT), TIMESTAMP '2024-01-03 00:00:00') AS since", "(p_partkey * 7919 % 10007) / 10007D AS low", "concat('a', p_partkey) AS action")
+    asked = table(spark, sf_dir, "events").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS at", "user_id % 21 AS policy", "IF(event_id % 17 > 0, (event_id * 31 % 1000) / 1000D, NULL) AS confidence")
+    return actions_in_force(asked, policies).select("event_id", F.col("version").cast("double").alias("version"), "action")
+
+
+def _judge_sql() -> str:
+    """The judge's template with its fields as SQL."""
+    fields = {"question": "question", "chunks": "'[1] (' || source || ')' || chr(10) || coalesce(text, '')", "answer": "'About ' || doc_id"}
+    parts = re.split(r"\{(question|chunks|answer)\}", S.JUDGE)
+    return " || ".join(fields[p] if i % 2 else "'" + p.replace("'", "''") + "'" for i, p in enumerate(parts))
+
+
+@query(f"WITH d AS (SELECT *, 'What of {{answer}} and {{chunks}} in ' || doc_id || '?' AS question FROM documents WHERE source IS NOT NULL) SELECT doc_id, length({_judge_sql()}) AS n, sha256({_judge_sql()}) AS prompt_sha FROM d")
+def judge_prompts(spark, sf_dir):
+    """The judge's prompt for each document as its own passage. The questions hold the names of fields, which stay as they are."""
+    rows = table(spark, sf_dir, "documents").where("source IS NOT NULL").selectExpr("doc_id", "concat('What of {answer} and {chunks} in ', doc_id, '?') AS question", "concat('[1] (', source, ')\n', coalesce(text, '')) AS chunks", "concat('About ', doc_id) AS answer")
+    prompt = S.render(S.JUDGE, question=F.col("question"), chunks=F.col("chunks"), answer=F.col("answer"))
+    return rows.select("doc_id", F.length(prompt).cast("long").alias("n"), F.sha2(prompt.cast("binary"), 256).alias("prompt_sha"))
+
+
+@query("SELECT source, sum(n_chars // 4) AS input_tokens, sum(doc_id % 50) AS output_tokens, sum(CASE WHEN doc_id % 3 > 0 THEN doc_id % 10 ELSE 0 END) AS cache_read, 0 AS cache_creation, count(*) AS n FROM documents GROUP BY source")
+def usage_counts(spark, sf_dir):
+    """Token counters of replies, by source; cache counters that a reply lacks are 0."""
+    reply = F.struct((F.expr("n_chars DIV 4")).alias("input_tokens"), (F.col("doc_id") % 50).alias("output_tokens"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 10).alias("cache_read_input_tokens"), F.lit(None).alias("cache_creation_input_tokens"))
+    used = table(spark, sf_dir, "documents").select("source", P.usage(reply).alias("u"))
+    total = {"input_tokens": "input_tokens", "output_tokens": "output_tokens", "cache_read": "cache_read_input_tokens", "cache_creation": "cache_creation_input_tokens"}
+    return used.groupBy("source").agg(*[F.sum(f"u.{c}").alias(n) for n, c in total.items()], F.count("*").alias("n"))

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from granary.operators import blocks as B
 from granary.operators.harness import dry_run as list_cases
 from granary.operators.metrics import truth_names
+from granary.operators.retrieval import search
 from granary.plans.registry import query
 from granary.sources import files as S
 from granary.sources import store
+from granary.sources.records import Rule, read_records, tally, write_records
 from granary.sources.shared import new_folder
 from granary.sources.tables import table
 from granary.streaming.ingest import stream_into
+from granary.streaming.traces import SPAN, read_traces, write_traces
 
 POINT = "chunk_id string, doc_name string, section_path array<string>, page_num int, text string, token_count int"
 
@@ -51,6 +54,53 @@ def collection_points(spark, sf_dir):
     return made.points().select("chunk_id", "doc_name", "text")
 
 
+LOG = """WITH log AS (SELECT vec_id, 1 AS seq, 'd' || label AS doc, 't' AS text, false AS gone FROM embeddings
+  UNION ALL SELECT vec_id, 2, 'd' || (label + 1), 'moved', false FROM embeddings WHERE vec_id % 3 = 0
+  UNION ALL SELECT vec_id, 3, 'd2', 'kept', false FROM embeddings WHERE label = 2 AND vec_id % 2 = 0
+  UNION ALL SELECT vec_id, 4, NULL, NULL, true FROM embeddings WHERE vec_id % 11 = 0
+  UNION ALL SELECT vec_id, 5, 'd' || label, 'late', false FROM embeddings WHERE vec_id % 5 = 0),
+dropped AS (SELECT * FROM (VALUES ('d2', 3), ('d4', 6)) v(doc, seq)),
+newest AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY seq DESC) AS r FROM log)
+SELECT 'c' || vec_id AS chunk_id, doc AS doc_name, text FROM newest n WHERE r = 1 AND NOT gone AND NOT EXISTS (SELECT 1 FROM dropped d WHERE d.doc = n.doc AND d.seq > n.seq)
+"""
+
+
+@query(LOG)
+def collection_compacted(spark, sf_dir):
+    """A log of upserts that move points to other documents, a replaced document, deletions, and both kinds of compaction among them."""
+    made, rows = filled(spark, sf_dir)
+    own = F.expr("CAST(substr(chunk_id, 2) AS BIGINT)")
+    made.upsert(rows.withColumn("text", F.lit("t")))
+    made.upsert(rows.where(own % 3 == 0).withColumns({"doc_name": F.expr("concat('d', CAST(substr(doc_name, 2) AS BIGINT) + 1)"), "text": F.lit("moved")}))
+    made.upsert(rows.where((F.col("doc_name") == "d2") & (own % 2 == 0)).withColumn("text", F.lit("kept")), replace_documents=True)
+    made.compact()
+    made.remove(rows.where(own % 11 == 0))
+    made.compact(full=True)
+    made.upsert(rows.where(own % 5 == 0).withColumn("text", F.lit("late")))
+    made.remove_documents(rows.where("doc_name = 'd4'").select("doc_name").limit(1))
+    made.vacuum()
+    return made.points().select("chunk_id", "doc_name", "text")
+
+
+@query(
+    """WITH n AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label, CASE WHEN vec_id % 7 = 0 THEN 'moved' ELSE 'd' || label END AS doc FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, c.doc AS doc_name, list_cosine_similarity(q.e, c.e) AS score FROM n q JOIN n c ON q.vec_id % 50 = 0 AND q.vec_id % 100 <> 50 AND c.doc IN ('d' || q.label, 'moved')),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, 'c' || vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, 'c' || vec_id AS chunk_id, doc_name, round(score, 6) AS score FROM r WHERE rank <= 10"""
+)
+def collection_scoped(spark, sf_dir):
+    """Each query searches its own document and another one; half of them one that isn't there. A seventh of the points have
+    moved between documents since the base was made."""
+    made, rows = filled(spark, sf_dir)
+    made.upsert(rows)
+    made.compact(full=True)
+    made.upsert(rows.where("CAST(substr(chunk_id, 2) AS BIGINT) % 7 = 0").withColumn("doc_name", F.lit("moved")))
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    asked = asked.selectExpr("vec_id AS query_id", "CAST(embedding AS array<float>) AS embedding", "IF(vec_id % 100 = 50, array('nowhere'), array(concat('d', label), 'moved')) AS scope")
+    got = search(asked, made, 10, scope="scope")
+    return got.withColumn("score", F.round("score", 6)).join(made.points().select("chunk_id", "doc_name"), "chunk_id")
+
+
 @query("SELECT count(*) AS points_count, CAST(max(len(embedding)) AS INTEGER) AS vector_size, 'cosine' AS distance FROM embeddings")
 def collection_info(spark, sf_dir):
     made, rows = filled(spark, sf_dir)
@@ -64,7 +114,8 @@ def stream_ingest(spark, sf_dir):
     made, rows = filled(spark, sf_dir)
     made.upsert(rows.where("doc_name = 'd1'"))
     kind = table(spark, sf_dir, "embeddings").schema
-    stream_into(points(spark.readStream.schema(kind).parquet(f"{sf_dir}/embeddings.parque[t]")), made, new_folder(spark, "stream")).awaitTermination()
+    stream = spark.readStream.schema(kind).parquet(f"{sf_dir}/embeddings.parque[t]")
+    stream_into(points(stream).withColumn("at", F.lit(1)), made, new_folder(spark, "stream"), "at").awaitTermination()
     return made.points().select("chunk_id", "doc_name")
 
 
@@ -167,3 +218,55 @@ def model_file(spark, sf_dir):
     S.save_model(spark, model, path)
     got = S.load_model(spark, path)
     return spark.createDataFrame([tuple(got.values())], S.MODEL)
+
+
+#: A layout of line items: packed, zoned and binary numbers, texts, and a day that is written as text.
+ITEM = [Rule("orderkey", 1, 6, "packed"), Rule("line", 7, 2, "binary"), Rule("quantity", 9, 6, "zoned", 2), Rule("price", 15, 7, "packed", 2), Rule("flag", 22, 1, "text"), Rule("shipped", 23, 8, "date"), Rule("supplier", 31, 9, "zoned")]
+
+
+def _items(spark, sf_dir):
+    """Line items as EBCDIC records and back. Of each 97th order the day is none; each 13th supplier is unknown; and a file more
+    ends within a record."""
+    import dataclasses
+
+    path = new_folder(spark, "items")
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS orderkey", "l_linenumber AS line", "CAST(-l_quantity AS DECIMAL(18,2)) AS quantity", "CAST(l_extendedprice AS DECIMAL(18,2)) AS price", "l_returnflag AS flag", "IF(l_orderkey % 97 = 0, '20010230', date_format(l_shipdate, 'yyyyMMdd')) AS shipped", "IF(l_suppkey % 13 = 0, NULL, l_suppkey) AS supplier")
+    write_records(rows, path, [dataclasses.replace(r, kind="text") if r.name == "shipped" else r for r in ITEM], 40)
+    S.write_text(spark, f"{path}/short", "x" * 25)
+    return read_records(spark, path, ITEM, 40, range=1 << 20)
+
+
+@query("SELECT l_orderkey AS orderkey, CAST(l_linenumber AS BIGINT) AS line, -l_quantity AS quantity, l_extendedprice AS price, l_returnflag AS flag, strftime(l_shipdate, '%Y-%m-%d') AS shipped, CASE WHEN l_suppkey % 13 > 0 THEN l_suppkey END AS supplier FROM lineitem WHERE l_orderkey % 97 > 0")
+def record_fields(spark, sf_dir):
+    """The records that follow the layout."""
+    got = _items(spark, sf_dir).where("_error IS NULL")
+    return got.selectExpr("orderkey", "line", "CAST(quantity AS DOUBLE) AS quantity", "CAST(price AS DOUBLE) AS price", "flag", "CAST(shipped AS STRING) AS shipped", "supplier")
+
+
+@query("SELECT CASE WHEN l_orderkey % 97 = 0 THEN 'shipped' END AS field, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT '(cut off)', 1")
+def record_rejects(spark, sf_dir):
+    return tally(_items(spark, sf_dir))
+
+
+@query(
+    """WITH s AS (SELECT 'u' || user_id || '-' || strftime(ts, '%m%d') AS trace_id, user_id, event_id, event_type AS kind, ts, value FROM events),
+k AS (SELECT trace_id, string_agg(kind || ':' || n, ',' ORDER BY kind) AS kinds FROM (SELECT trace_id, kind, count(*) AS n FROM s GROUP BY ALL) GROUP BY trace_id)
+SELECT trace_id, CASE WHEN any_value(user_id) % 2 = 0 THEN 'complete' ELSE 'incomplete' END AS status, count(*) AS n_spans, count(*) FILTER (event_id % 7 = 0) AS n_errors, datediff('microsecond', min(ts), max(ts)) AS micros, round(sum(value), 4) AS seconds, any_value(kinds) AS kinds
+FROM s JOIN k USING (trace_id) GROUP BY trace_id"""
+)
+def trace_stream(spark, sf_dir):
+    """A user's events of a day are a trace. They come in four batches, in no order; of every second user the first span says how many
+    there are, the others' traces end when two batches from another time have moved the watermark past them."""
+    top = new_folder(spark, "spans")
+    own = table(spark, sf_dir, "events").selectExpr("concat('u', user_id, '-', date_format(ts, 'MMdd')) AS trace_id", "CAST(event_id AS STRING) AS span_id", "event_type AS kind", "CAST(ts AS TIMESTAMP) AS ts", "CAST(value AS DOUBLE) AS seconds", "IF(event_id % 7 = 0, 'failed', NULL) AS error", "user_id")
+    sizes = own.groupBy("trace_id").agg(F.count("*").cast("int").alias("spans"), F.min("span_id").alias("root"))
+    spans = own.join(sizes, "trace_id").withColumn("spans", F.when((F.col("span_id") == F.col("root")) & (F.col("user_id") % 2 == 0), F.col("spans"))).drop("root", "user_id")
+    spans.select(*[x.split()[0] for x in SPAN.split(", ")]).repartition(4, "span_id").write.parquet(top)
+    for days in (1000, 2000):
+        spark.createDataFrame([("later", str(days))], "trace_id string, span_id string").selectExpr("trace_id", "span_id", "'x' AS kind", f"timestampadd(DAY, {days}, TIMESTAMP '2024-01-01 00:00:00') AS ts", "0D AS seconds", "CAST(NULL AS STRING) AS error", "CAST(NULL AS INT) AS spans").coalesce(1).write.mode("append").parquet(top)
+    stream = spark.readStream.schema(SPAN).option("maxFilesPerTrigger", 1).parquet(top)
+    out = new_folder(spark, "traces")
+    write_traces(stream, out, new_folder(spark, "stream"), gap_s=86_400, keep_s=86_400, delay="40 days").awaitTermination()
+    kinds = F.array_join(F.transform("kinds", lambda k: F.concat(k["kind"], F.lit(":"), k["n"].cast("string"))), ",")
+    got = read_traces(spark, out).where("trace_id <> 'later'")
+    return got.select("trace_id", "status", "n_spans", "n_errors", (F.col("ended") - F.col("started")).alias("micros"), F.round("seconds", 4).alias("seconds"), kinds.alias("kinds"))

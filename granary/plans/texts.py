@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from granary.functions import text as T
 from granary.operators import blocks as B
 from granary.operators import chunking as C
+from granary.operators.longdocs import long_chunks as long_chunk_rows
+from granary.operators.longdocs import long_sections as long_section_rows
+from granary.operators.longdocs import with_headings as long_headings
 from granary.plans.registry import query
 from granary.sources.tables import table
 
@@ -43,9 +46,11 @@ def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
-def blocks_with_headings(spark, sf_dir):
-    """The documents' lines as blocks, with the fixture's headings between them."""
+def blocks_with_headings(spark, sf_dir, book=None):
+    """The documents' lines as blocks, with the fixture's headings between them. book: documents are bound into books by it."""
     lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).withColumn("text", T.strip(F.col("text")))
+    if book:
+        lines = lines.select(F.expr(book).alias("doc_id"), (F.col("doc_id") * 100_000 + F.col("i")).alias("i"), "text")
     page, even = F.expr("CAST(i DIV 8 + 1 AS INT)"), F.col("doc_id") % 2 == 0
     size = lambda x: F.when(even, x).otherwise(0.0).alias("font_size")
     heads = lines.where("i % 3 = 0").select("doc_id", (2 * F.col("i")).alias("block_ord"), page.alias("page_num"), F.expr(HEAD).alias("text"), size(14.0))
@@ -160,6 +165,24 @@ def chunk_documents(spark, sf_dir):
     return got.withColumn("section_path", F.array_join("section_path", " > "))
 
 
+#: A book has a third of all documents, the others are small.
+BOOK = "CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 40 END"
+BOUND = f"SELECT {BOOK} AS doc_id, documents.doc_id * 100000 + o - 1 AS i, trim(t) AS text FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(t, o)"
+
+
+@query(f"WITH {PARTS.replace(LINES, BOUND)} SELECT doc_id, CAST(section AS BIGINT) AS section, array_to_string(section_path, ' > ') AS section_path, CAST(page_num AS INTEGER) AS page_num, text FROM s")
+def long_sections(spark, sf_dir):
+    """The sections of books, whose blocks lie in many tasks."""
+    got = long_section_rows(long_headings(blocks_with_headings(spark, sf_dir, BOOK)))
+    return got.withColumn("section_path", F.array_join("section_path", " > "))
+
+
+@query(f"WITH {CHUNKS.replace(LINES, BOUND)} SELECT doc_id, chunk, chunk_id, array_to_string(section_path, ' > ') AS section_path, page_num, text, token_count FROM chunks")
+def long_chunks(spark, sf_dir):
+    got = long_chunk_rows(blocks_with_headings(spark, sf_dir, BOOK))
+    return got.withColumn("section_path", F.array_join("section_path", " > "))
+
+
 FIXED = """n AS (SELECT *, unnest(range(0, CASE WHEN length(text) <= 800 THEN 1 ELSE CAST(ceil((length(text) - 800) / 650.0) AS BIGINT) + 1 END)) AS i FROM {rows}),
 w AS (SELECT * EXCLUDE (text), regexp_replace(substr(text, i * 650 + 1, 800), '^\\s+|\\s+$', '', 'g') AS text FROM n),
 f AS (SELECT {keys}, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY i) - 1 AS INTEGER) AS chunk, text FROM w WHERE length(text) > 80)"""

@@ -4,7 +4,7 @@ import pytest
 from granary.plans.catalog import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.01"
-TABLES = "region nation documents labels embeddings part pages benchmark conversations events".split()
+TABLES = "region nation documents labels embeddings part pages benchmark conversations events lineitem orders".split()
 
 
 def rows(df):

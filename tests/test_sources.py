@@ -94,3 +94,136 @@ def test_collection(spark, kind):
     assert (info.points_count, info.vector_size, info.distance) == (9, 2, "cosine")
     if kind == "table":
         spark.sql(f"DROP TABLE {place}")
+
+
+def vecs(spark, rows):
+    """(id, document, text) as chunks with a vector."""
+    made = spark.createDataFrame([(f"c{i}", d, ["root", f"s{i % 3}"], 1, t, 1, [float(i), 1.0]) for i, d, t in rows], f"{POINT}, embedding array<float>")
+    return made
+
+
+def held(c):
+    return sorted((r.chunk_id, r.doc_name, r.text) for r in c.points().collect())
+
+
+def opened(spark, buckets=4):
+    c = store.Collection(spark, new_folder(spark, "c"), buckets)
+    c.ensure(2, POINT)
+    return c
+
+
+def bytes_below(spark, path):
+    fs, p = store.Collection(spark, path)._at(path)
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
+def test_a_moved_chunk_is_one_point(spark):
+    c = opened(spark)
+    c.upsert(vecs(spark, [(1, "a", "old"), (2, "a", "x")]))
+    c.upsert(vecs(spark, [(1, "b", "new")]))
+    assert held(c) == [("c1", "b", "new"), ("c2", "a", "x")]
+    # The old place is gone for good: the new document's removal doesn't bring it back.
+    c.remove_documents(spark.createDataFrame([("b",)], "doc_name string"))
+    assert held(c) == [("c2", "a", "x")]
+    c.compact()
+    assert held(c) == [("c2", "a", "x")]
+    c.compact(full=True)
+    assert held(c) == [("c2", "a", "x")] and not c.compact(full=True) and len(c._live()[0]) == 1
+
+
+def test_random_logs_equal_a_dictionary(spark):
+    import random
+
+    rng, c, want = random.Random(4), opened(spark, 2), {}
+    for step in range(9):
+        what = rng.choice(["upsert", "upsert", "replace", "remove", "documents", "fold", "base"])
+        rows = [(i, f"d{rng.randrange(4)}", f"t{step}") for i in rng.sample(range(12), 4)]
+        if what in ("upsert", "replace"):
+            if what == "replace":
+                want = {i: v for i, v in want.items() if v[0] not in {d for _, d, _ in rows}}
+            c.upsert(vecs(spark, rows), replace_documents=what == "replace")
+            want |= {i: (d, t) for i, d, t in rows}
+        elif what == "remove":
+            c.remove(vecs(spark, rows))
+            want = {i: v for i, v in want.items() if i not in {r[0] for r in rows}}
+        elif what == "documents":
+            c.remove_documents(vecs(spark, rows[:1]))
+            want = {i: v for i, v in want.items() if v[0] != rows[0][1]}
+        else:
+            c.compact(full=what == "base")
+            c.vacuum()
+        assert held(c) == sorted((f"c{i}", d, t) for i, (d, t) in want.items()), (step, what)
+
+
+def test_a_batch_costs_its_own_size(spark):
+    c = opened(spark)
+    c.upsert(vecs(spark, [(i, f"d{i % 50}", "x" * 300) for i in range(4000)]))
+    c.compact(full=True)
+    before = bytes_below(spark, f"{c.place}/data")
+    c.upsert(vecs(spark, [(i, "d1", "y") for i in range(100)]))
+    new = bytes_below(spark, f"{c.place}/data") - before
+    assert 0 < new < 20_000 < before and c.count() == 4000
+    assert [e["rows"] for e in c.log()][-1] == 100 and c.vacuum() == 1
+
+
+def test_commits_are_exclusive_and_seen_whole(spark, monkeypatch):
+    c = opened(spark)
+    c.upsert(vecs(spark, [(1, "a", "x")]))
+    with pytest.raises(store.Conflict):
+        c._commit({"number": 1})
+    # A writer that dies before its commit leaves nothing to be seen.
+    monkeypatch.setattr(store.Collection, "_commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        c.upsert(vecs(spark, [(2, "a", "y")]))
+    monkeypatch.undo()
+    assert held(c) == [("c1", "a", "x")] and c.vacuum() == 1
+    # A stream's batch that is run again is in the log already; folding keeps what is known of the stream.
+    assert c.upsert(vecs(spark, [(3, "a", "z")]), stream=("s", 0)) == 1 and c.upsert(vecs(spark, [(3, "a", "other")]), stream=("s", 0)) == 0
+    c.compact(full=True)
+    assert c.upsert(vecs(spark, [(3, "a", "other")]), stream=("s", 0)) == 0 and c.upsert(vecs(spark, [(4, "a", "w")]), stream=("s", 1)) == 1
+    assert held(c) == [("c1", "a", "x"), ("c3", "a", "z"), ("c4", "a", "w")]
+
+
+def scanned(df):
+    """Rows that the scans of vectors gave out, and their files."""
+    df.collect()
+    plan, rows, files = df._jdf.queryExecution().executedPlan(), 0, 0
+    plan = plan.finalPhysicalPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    stack = [plan]
+    while stack:
+        p = stack.pop()
+        name = p.getClass().getSimpleName()
+        if name.endswith("QueryStageExec"):
+            stack.append(p.plan())
+        if name == "FileSourceScanExec" and "embedding" in p.requiredSchema().simpleString():
+            rows, files = rows + p.metrics().apply("numOutputRows").value(), files + p.metrics().apply("numFiles").value()
+        stack += [p.children().apply(i) for i in range(p.children().size())]
+    return rows, files
+
+
+def test_a_scope_reads_its_files(spark):
+    from granary.operators.retrieval import cosine_topk, search
+
+    c = opened(spark, 16)
+    c.upsert(vecs(spark, [(i, f"d{i % 16:02d}", "x") for i in range(1600)]))
+    c.compact(full=True)
+    c.upsert(vecs(spark, [(5, "d03", "moved"), (3, "d99", "gone")]))
+    every, some, none = (c.points(s) for s in (None, ["d03"], ["nowhere"]))
+    assert scanned(none) == (0, 0) and none.collect() == []
+    want = sorted(r.chunk_id for r in every.where("doc_name = 'd03'").collect())
+    assert sorted(r.chunk_id for r in some.collect()) == want and "c5" in want and "c3" not in want and len(want) == 100
+    (rows, files), (all_rows, all_files) = scanned(some), scanned(every)
+    assert all_rows == 1602 and all_files >= 17 and files <= 3 and rows <= 350
+    # Path entries, and names as a table.
+    assert len(c.points(["s1"], "section_path").collect()) == every.where("array_contains(section_path, 's1')").count()
+    names = spark.createDataFrame([("d03",), ("d99",), ("no",)], "term string")
+    assert sorted(r.chunk_id for r in c.points(names).collect()) == sorted([*want, "c3"])
+    assert c.points(spark.createDataFrame([("s2",)], "term string"), "section_path").count() == every.where("array_contains(section_path, 's2')").count()
+    with pytest.raises(ValueError, match="not indexed"):
+        c.points(["x"], "text")
+    asked = spark.createDataFrame([(1, [3.0, 1.0], ["d03", "d99"]), (2, [9.0, 2.0], ["d07"]), (3, [1.0, 1.0], ["no"])], "query_id int, embedding array<float>, scope array<string>")
+    key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in df.collect())
+    got = search(asked, c, 5, scope="scope")
+    assert key(got) == key(cosine_topk(asked, every, 5, key="chunk_id", query_key="query_id", scope="scope", name="doc_name")) and {r.query_id for r in got.collect()} == {1, 2}
+    open_ = asked.unionByName(spark.createDataFrame([(4, [1.0, 1.0], None)], asked.schema))
+    assert {r.query_id for r in search(open_, c, 5, scope="scope").collect()} == {1, 2, 4}
