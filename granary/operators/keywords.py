@@ -70,13 +70,14 @@ def keyword_topk(queries: DataFrame, blocks: DataFrame, k: int = 20) -> tuple[Da
     up = Window.partitionBy("query_id").orderBy("top", "term")
     bounded = known.withColumns({"below": F.sum("top").over(up.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("top").over(Window.partitionBy("query_id"))})
     # Terms that together stay below the bound bring no document in; of the others, blocks that can't reach it aren't read.
-    needed = cut(bounded.where("below >= least").select("query_id", "term", (F.col("least") - F.col("all") + F.col("top")).alias("floor")))
-    taken = needed.join(own, "term").where("best >= floor").select("query_id", "n", "postings")
-    found = cut(taken.select("query_id", F.explode("postings").alias("p")).groupBy("query_id", "p.doc_id").agg(F.sum("p.part").alias("partial")))
-    # The bound again, from all that was found; what can't reach it with every other term of the query isn't scored.
+    needed = cut(bounded.where("below >= least").select("query_id", "term", "top", (F.col("least") - F.col("all") + F.col("top")).alias("floor")))
+    taken = needed.join(own, "term").where("best >= floor").select("query_id", "top", "n", "postings")
+    each = taken.select("query_id", "top", F.explode("postings").alias("p"))
+    found = cut(each.groupBy("query_id", "p.doc_id").agg(F.sum("p.part").alias("partial"), F.sum("top").alias("seen")))
+    # The bound again, from all that was found; what can't reach it with the best of the terms that it wasn't found by isn't scored.
     spare = bounded.groupBy("query_id").agg(F.first("all").alias("all"))
     higher = found.join(_kth(found, k), "query_id", "left").join(spare, "query_id")
-    able = higher.where("least IS NULL OR partial + all >= least").select("query_id", "doc_id")
+    able = higher.where(F.col("least").isNull() | (F.col("partial") + F.col("all") - F.col("seen") >= F.col("least") - NEAR)).select("query_id", "doc_id")
     flat = own.select("term", F.explode("postings").alias("p")).select("term", "p.doc_id", "p.part")
     scored = able.join(asked.select("query_id", "term"), "query_id").join(flat, ["term", "doc_id"])
     score = scored.groupBy("query_id", "doc_id").agg(_sum_in_order(F.collect_list(F.struct("term", "part"))).alias("score"))

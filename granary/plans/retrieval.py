@@ -153,14 +153,14 @@ def bm25(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ASKED}, b AS (SELECT doc_id, {WORDS.format(t="text")} AS w FROM documents), n AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM b),
+    f"""WITH {ASKED}, b AS (SELECT item_id AS doc_id, {WORDS.format(t="text")} AS w FROM benchmark), n AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM b),
 tf AS (SELECT doc_id, len(w) AS l, x AS term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS x FROM b) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 a AS (SELECT DISTINCT query_id, unnest(qw) AS term FROM q),
 s AS (SELECT query_id, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 6) AS score FROM a JOIN tf USING (term) JOIN df USING (term), n GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, score FROM r WHERE rank <= 5"""
 )
 def bm25_index(spark, sf_dir):
-    """The scores of each question's five best documents, by an index with bounds."""
-    blocks = cut(keyword_index(keyword_parts(table(spark, sf_dir, "documents"))))
+    """The scores of each question's five best items, by an index with bounds."""
+    blocks = cut(keyword_index(keyword_parts(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))))
     got, _ = keyword_topk(questions(spark, sf_dir), blocks, 5)
     return got.select("query_id", "rank", F.round("score", 6).alias("score"))

@@ -249,16 +249,16 @@ def record_rejects(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT 'u' || user_id || '-' || strftime(ts, '%m%d') AS trace_id, user_id, event_id, event_type AS kind, ts, value FROM events),
+    """WITH s AS (SELECT 'u' || user_id AS trace_id, user_id, event_id, event_type AS kind, ts, value FROM events),
 k AS (SELECT trace_id, string_agg(kind || ':' || n, ',' ORDER BY kind) AS kinds FROM (SELECT trace_id, kind, count(*) AS n FROM s GROUP BY ALL) GROUP BY trace_id)
 SELECT trace_id, CASE WHEN any_value(user_id) % 2 = 0 THEN 'complete' ELSE 'incomplete' END AS status, count(*) AS n_spans, count(*) FILTER (event_id % 7 = 0) AS n_errors, datediff('microsecond', min(ts), max(ts)) AS micros, round(sum(value), 4) AS seconds, any_value(kinds) AS kinds
 FROM s JOIN k USING (trace_id) GROUP BY trace_id"""
 )
 def trace_stream(spark, sf_dir):
-    """A user's events of a day are a trace. They come in four batches, in no order; of every second user the first span says how many
+    """A user's events are a trace. They come in four batches, in no order; of every second user the first span says how many
     there are, the others' traces end when two batches from another time have moved the watermark past them."""
     top = new_folder(spark, "spans")
-    own = table(spark, sf_dir, "events").selectExpr("concat('u', user_id, '-', date_format(ts, 'MMdd')) AS trace_id", "CAST(event_id AS STRING) AS span_id", "event_type AS kind", "CAST(ts AS TIMESTAMP) AS ts", "CAST(value AS DOUBLE) AS seconds", "IF(event_id % 7 = 0, 'failed', NULL) AS error", "user_id")
+    own = table(spark, sf_dir, "events").selectExpr("concat('u', user_id) AS trace_id", "CAST(event_id AS STRING) AS span_id", "event_type AS kind", "CAST(ts AS TIMESTAMP) AS ts", "CAST(value AS DOUBLE) AS seconds", "IF(event_id % 7 = 0, 'failed', NULL) AS error", "user_id")
     sizes = own.groupBy("trace_id").agg(F.count("*").cast("int").alias("spans"), F.min("span_id").alias("root"))
     spans = own.join(sizes, "trace_id").withColumn("spans", F.when((F.col("span_id") == F.col("root")) & (F.col("user_id") % 2 == 0), F.col("spans"))).drop("root", "user_id")
     spans.select(*[x.split()[0] for x in SPAN.split(", ")]).repartition(4, "span_id").write.parquet(top)

@@ -3,10 +3,14 @@
 A trace is given out as soon as all the spans that its root announces are there, or, without them, once the watermark is ``gap`` past
 its last span. Spans that come again are counted and not added. What comes for a trace that was given out is late: it's
 kept count of, and told in a row of its own when the trace is forgotten, ``keep`` later. Spans older than the watermark never get
-that far; Spark counts them (``dropped``). State is a row a span of an open trace, and one a trace until it's forgotten."""
+that far; Spark counts them (``dropped``). State is a row a trace, with its
+spans while it's open; a trace's spans fit a row."""
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -15,7 +19,7 @@ from pyspark.sql.types import Row
 #: What a stream of spans has: ``spans`` is set on a trace's root alone.
 SPAN = "trace_id string, span_id string, kind string, ts timestamp, seconds double, error string, spans int"
 TRACE = "trace_id string, status string, started bigint, ended bigint, n_spans int, n_repeated int, n_errors int, n_late int, seconds double, kinds array<struct<kind:string,n:int,seconds:double>>"
-HEAD = "started bigint, ended bigint, expected int, repeated int, late int, given boolean"
+HEAD = "started bigint, ended bigint, expected int, repeated int, late int, given boolean, spans array<struct<span_id:string,kind:string,seconds:double,failed:boolean>>"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -28,48 +32,48 @@ class Traces(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.head = handle.getValueState("head", HEAD)
-        self.spans = handle.getMapState("spans", "span_id string", "kind string, seconds double, failed boolean")
 
     def _wake(self, at_ms: int) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         self.handle.registerTimer(at_ms)
 
-    def _row(self, key, status, head, spans):
-        started, ended, _, repeated, late, _ = head
+    def _row(self, key, status, head):
+        started, ended, _, repeated, late, _, spans = head
         kinds: dict = {}
-        for kind, seconds, _ in spans:
+        for _, kind, seconds, _ in spans:
             n, s = kinds.get(kind, (0, 0.0))
             kinds[kind] = n + 1, s + (seconds or 0.0)
         listed = [Row(kind=k, n=n, seconds=s) for k, (n, s) in sorted(kinds.items(), key=lambda x: (x[0] is not None, x[0]))]
-        return Row(trace_id=key[0], status=status, started=started, ended=ended, n_spans=len(spans), n_repeated=repeated, n_errors=sum(f for _, _, f in spans), n_late=late, seconds=float(sum(x.seconds for x in listed)), kinds=listed)
+        return Row(trace_id=key[0], status=status, started=started, ended=ended, n_spans=len(spans), n_repeated=repeated, n_errors=sum(x[3] for x in spans), n_late=late, seconds=float(sum(x.seconds for x in listed)), kinds=listed)
 
     def _give(self, key, status, head):
         """The trace's row; its spans go, its head stays as a mark."""
-        out = self._row(key, status, head, [tuple(v) for v in self.spans.values()])
-        self.spans.clear()
-        started, ended, expected, repeated, _, _ = head
-        self.head.update((started, ended, expected, repeated, 0, True))
+        started, ended, expected, repeated, _, _, _ = head
+        self.head.update((started, ended, expected, repeated, 0, True, []))
         self._wake(ended // 1000 + self.gap + self.keep)
-        return out
+        return self._row(key, status, head)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802
         head = self.head.get()
-        started, ended, expected, repeated, late, given = tuple(head) if head is not None else (None, None, None, 0, 0, False)
+        started, ended, expected, repeated, late, given, spans = tuple(head) if head is not None else (None, None, None, 0, 0, False, [])
+        spans = [tuple(x) for x in spans]
+        known = {x[0] for x in spans}
         for r in rows:
             if given:
                 late += 1
                 continue
-            if self.spans.containsKey((r.span_id,)):
+            if r.span_id in known:
                 repeated += 1
                 continue
-            self.spans.updateValue((r.span_id,), (r.kind, r.seconds, r.error is not None))
+            known.add(r.span_id)
+            spans.append((r.span_id, r.kind, r.seconds, r.error is not None))
             started, ended = min(started or r.at, r.at), max(ended or r.at, r.at)
             expected = r.spans if r.spans is not None else expected
-        head = (started, ended, expected, repeated, late, given)
+        head = (started, ended, expected, repeated, late, given, spans)
         if given:
             self.head.update(head)
-        elif expected is not None and sum(1 for _ in self.spans.keys()) >= expected:
+        elif expected is not None and len(spans) >= expected:
             yield self._give(key, "complete", head)
         else:
             self.head.update(head)
@@ -84,7 +88,7 @@ class Traces(StatefulProcessor):
             yield self._give(key, "incomplete", head)
             return
         if head[4]:
-            yield self._row(key, "late", head, [])
+            yield self._row(key, "late", head)
         self.head.clear()
 
     def close(self) -> None:
@@ -95,6 +99,8 @@ def traces(spans: DataFrame, gap_s: float, keep_s: float, delay: str) -> DataFra
     """A stream of spans (SPAN) to a stream of traces (TRACE). delay: how far spans may lag behind the newest one. Spans without a trace,
     an id or a time are left out. Sets the session's state store to one that has timers."""
     spans.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    # The driver's own worker, which asks for the state's schema, doesn't see files that were sent to the others.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     known = spans.where("trace_id IS NOT NULL AND span_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay)
     rows = known.select("trace_id", "span_id", "kind", "ts", F.unix_micros("ts").alias("at"), "seconds", "error", "spans")
     return rows.groupBy("trace_id").transformWithState(Traces(gap_s, keep_s), TRACE, "Append", "EventTime")
