@@ -47,11 +47,12 @@ def documents(spark, sf_dir):
 
 
 def blocks_with_headings(spark, sf_dir, book=None):
-    """The documents' lines as blocks, with the fixture's headings between them. book: documents are bound into books by it."""
+    """The documents' lines as blocks, with the fixture's headings between them. book: documents are bound into books by it, whose
+    pages may number more than an INT holds."""
     lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).withColumn("text", T.strip(F.col("text")))
     if book:
         lines = lines.select(F.expr(book).alias("doc_id"), (F.col("doc_id") * 100_000 + F.col("i")).alias("i"), "text")
-    page, even = F.expr("CAST(i DIV 8 + 1 AS INT)"), F.col("doc_id") % 2 == 0
+    page, even = F.expr(f"CAST(i DIV 8 + 1 AS {'BIGINT' if book else 'INT'})"), F.col("doc_id") % 2 == 0
     size = lambda x: F.when(even, x).otherwise(0.0).alias("font_size")
     heads = lines.where("i % 3 = 0").select("doc_id", (2 * F.col("i")).alias("block_ord"), page.alias("page_num"), F.expr(HEAD).alias("text"), size(14.0))
     return heads.unionByName(lines.where("text <> ''").select("doc_id", (2 * F.col("i") + 1).alias("block_ord"), page.alias("page_num"), "text", size(10.0)))
