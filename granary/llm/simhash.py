@@ -15,6 +15,9 @@ one bit of both, so each member emits its 65 values and links to the smallest me
 Texts of similarity 0.8 or more (``granary.llm.near``) differ at about 15 % of their bits, where no key made of segments
 selects; there the rule prunes candidate pairs of wide fingerprints (``ring_passes``).
 
+Tables that grow with the data are joined by sorting (``merge``): the planner would broadcast each that is still small, and the
+driver builds and keeps every one of them.
+
 Texts: null and empty texts have no words and fingerprint zero, linked like any other; fewer than three words are
 one shingle. Rows with a null doc_id get a null component and link nothing; repeated ids share a row's group.
 """
@@ -108,14 +111,14 @@ def links(prints: DataFrame, most: int = 2) -> DataFrame:
     if most != 2:
         raise ValueError("the segments are laid out for 2 bits")
     exact, looked = chain_keys(prints)
-    large = cut(exact.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("key"))
-    pairs = exact.join(large, "key", "left_anti").withColumnRenamed("fp", "a").join(looked.withColumnRenamed("fp", "b"), "key").where("a < b")
+    large = cut(exact.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("key")).hint("merge")
+    pairs = exact.join(large, "key", "left_anti").withColumnRenamed("fp", "a").join(looked.withColumnRenamed("fp", "b").hint("merge"), "key").where("a < b")
     near = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most).select("a", "b")
     crowded = looked.join(large, "key", "left_semi").select("fp").distinct()
     ball = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     around = crowded.select("fp", F.explode(ball).alias("mid"))
     least = around.groupBy("mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("mid", "a")
-    stars = around.join(least, "mid").where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b"))
+    stars = around.join(least.hint("merge"), "mid").where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b"))
     return near.unionByName(stars).distinct()
 
 
@@ -131,10 +134,10 @@ def components(edges: DataFrame) -> DataFrame:
         if roots is None:
             roots = move.select(F.col("a").alias("node"), F.col("to").alias("root"))
         else:
-            roots = spread_join(roots, move.withColumnRenamed("a", "root"), "root", "node").select("node", F.coalesce("to", "root").alias("root"))
+            roots = spread_join(roots, move.withColumnRenamed("a", "root").hint("merge"), "root", "node").select("node", F.coalesce("to", "root").alias("root"))
         roots = cut(roots)
         x, y = move.select("a", F.col("to").alias("x")), move.select(F.col("a").alias("b"), F.col("to").alias("y"))
-        moved = spread_join(spread_join(edges, x, "a", "b", "inner"), y, "b", "a", "inner")
+        moved = spread_join(spread_join(edges, x.hint("merge"), "a", "b", "inner"), y.hint("merge"), "b", "a", "inner")
         edges = cut(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
@@ -144,11 +147,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = cut(fingerprints(docs))
     firsts = prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(firsts.select("fp")))
-    mapped = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    mapped = firsts.join(roots.hint("merge"), firsts.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     # Which fingerprint ends as root is arbitrary; the component is named by its smallest doc_id.
     names = mapped.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = spread_join(mapped, names, "root", "fp", "inner").select("fp", "component_id")
-    return spread_join(prints, by_print, "fp", "doc_id").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    by_print = spread_join(mapped, names.hint("merge"), "root", "fp", "inner").select("fp", "component_id")
+    return spread_join(prints, by_print.hint("merge"), "fp", "doc_id").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

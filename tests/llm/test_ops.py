@@ -459,3 +459,22 @@ def test_training_rows_are_one_a_document(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 7)] + [(3, None), (None, 1), (4, 1)], "doc_id bigint, y int")
     got = common.training_rows(df, labels, "y", 1, 5, 4).collect()
     assert len(got) == 4 and sorted(r.place for r in got) == [0, 1, 2, 3] and all(r.y == 1 for r in got if r.doc_id == 4)
+
+
+def test_simhash_broadcasts_no_table_that_grows(spark, monkeypatch):
+    """At the planner's own limits each of these small tables would be broadcast from the driver."""
+    from granary.llm import simhash
+
+    plans, real = [], simhash.cut
+
+    def seen(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(simhash, "cut", seen)
+    docs = spark.createDataFrame([(i, f"w{i % 40 // 2} is here with {'a few words more ' * 30} {i % 40}") for i in range(120)], "doc_id bigint, text string")
+    got = simhash.near_duplicates(docs)
+    assert got.where("component_id < doc_id").count() >= 80
+    seen(got)
+    assert sum("Join" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
