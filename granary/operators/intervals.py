@@ -68,14 +68,15 @@ def in_force(versions: DataFrame, since: str, by: tuple[str, ...] = (), until: s
     return versions.withColumn(until, F.lead(since).over(Window.partitionBy(*(by or (F.lit(0),))).orderBy(since)))
 
 
-def policy_actions(rows: DataFrame, policies: DataFrame, value: str = "confidence", at: str = "at", policy: str = "policy", default: str = "refuse") -> DataFrame:
+def policy_actions(rows: DataFrame, policies: DataFrame, value: str = "confidence", at: str = "at", policy: str = "policy", default: str = "refuse", rank: tuple[str, ...] = ("action",)) -> DataFrame:
     """Rows with ``version`` and ``action``: the action of the highest bound that the value reaches, in the version of the row's policy
     that was in force; ``default`` below all bounds, before the first version, without a policy, and for an unknown value.
 
     policies: (policy, version, since, low, action), a row a bound. Versions and bounds are found by interval joins, so there may be any
-    number of both."""
+    number of both. Of equal bounds of a version the last one by ``rank``, columns of policies, decides."""
     versions = in_force(policies.select(policy, "version", "since").distinct(), "since", (policy,))
     dated = interval_join(rows, at, versions, "since", "until", (policy,)).drop("since", "until")
-    bounds = policies.select(policy, "version", "low", "action")
+    best = F.max_by("action", F.struct(*rank))
+    bounds = policies.groupBy(policy, "version", "low").agg(best.alias("action"))
     bounds = bounds.withColumn("high", F.lead("low").over(Window.partitionBy(policy, "version").orderBy("low")))
     return interval_join(dated, value, bounds, "low", "high", (policy, "version")).drop("low", "high").withColumn("action", F.coalesce("action", F.lit(default)))

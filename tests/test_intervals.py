@@ -91,3 +91,17 @@ def test_pools_of_nothing(spark):
     rows = spark.createDataFrame([(1.0, 1.0)], "x double, y double")
     got = isotonic(rows.unionByName(rows.withColumn("x", F.lit(None).cast("double"))), "x", isotonic_pools(rows, "x", "y")).collect()
     assert sorted(str(r.isotonic) for r in got) == ["1.0", "None"]
+
+
+def test_equal_bounds_are_decided_by_rank(spark):
+    """The last of equal bounds decides, in whatever order and partition they come; the SQL on one thread takes the larger part too."""
+    since = datetime.datetime(2024, 1, 1)
+    rows = [(i, i % 2, 0, since, (i % 40) / 40, f"a{i}") for i in range(400)]
+    asked = spark.createDataFrame([(i, i % 2, since, (i % 40) / 40 + 0.001) for i in range(40)], "id int, policy int, at timestamp, confidence double")
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        policies = spark.createDataFrame(rows, "part int, policy int, version int, since timestamp, low double, action string").repartition(5)
+        got = {r.id: r.action for r in policy_actions(asked, policies, rank=("part",)).collect()}
+        assert got == {i: f"a{360 + i}" for i in range(40)}
+        got = {r.id: r.action for r in policy_actions(asked, policies.drop("part")).collect()}
+        assert got == {i: max(f"a{k}" for k in range(i, 400, 40)) for i in range(40)}
