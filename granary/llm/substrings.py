@@ -10,6 +10,8 @@ Second pass. Windows whose cells all say "two or more" are grouped by two indepe
 of them, ask about a window once, by the smallest of them; the others know already that it repeats, and their windows
 travel packed. So a window has no more askers than there are such groups, however many documents have it.
 
+The texts meet their windows in a join; for the way there each is packed.
+
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null and empty texts have none; shorter texts have no window. Rows that
 repeat a doc_id are judged as that one document. A null doc_id comes after all others: it owns nothing, and loses nothing.
 """
@@ -206,14 +208,37 @@ def repeated_windows(docs: DataFrame, n: int = 13, most_bits: int = MOST_BITS, g
     return later.groupBy("doc_id").agg(F.collect_list(F.when(F.col("packed").isNull(), F.col("w"))).alias("windows"), F.collect_list("packed").alias("packed"))
 
 
+def pack(data: bytes) -> bytes:
+    """A text's length in 8 bytes, then its bytes as zstd makes them."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+
+
+def unpack(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def _packed(text_at: int):
+    """Texts packed for their way to the windows that are cut from them."""
+
+    def run(batches):
+        for b in batches:
+            cols = list(b.columns)
+            cols[text_at] = pa.array([pack(text_bytes(t)) if t.is_valid else None for t in b[text_at]], pa.binary())
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+
+    return run
+
+
 def _strip(n: int, text_at: int):
+    """Texts come packed."""
+
     def run(batches):
         hashes = WindowHashes(n)
         for b in batches:
             rows = []
             for i in range(b.num_rows):
                 text = b[text_at][i]
-                data = text_bytes(text)
+                data = unpack(text.as_py()) if text.is_valid else b""
                 words = left = data.split()
                 windows, packed = b[b.num_columns - 2][i], b[b.num_columns - 1][i]
                 if windows.is_valid:
@@ -225,9 +250,9 @@ def _strip(n: int, text_at: int):
                     gone = np.cumsum(mark[:-1]) > 0
                     left = [x for x, g in zip(words, gone.tolist()) if not g]
                 whole = b" ".join(left)
-                rows.append((text if len(left) == len(words) else whole, len(words), len(words) - len(left), hashlib.sha256(whole).hexdigest()))
+                rows.append(((data if text.is_valid else None) if len(left) == len(words) else whole, len(words), len(words) - len(left), hashlib.sha256(whole).hexdigest()))
             cols = [b[i] for i in range(b.num_columns - 2)]
-            cols[text_at] = pa.array([r[0].as_py() if isinstance(r[0], pa.Scalar) else r[0].decode("utf-8", "surrogatepass") for r in rows], pa.string())
+            cols[text_at] = pa.array([None if r[0] is None else r[0].decode("utf-8", "surrogatepass") for r in rows], pa.string())
             cols += [pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
 
@@ -240,10 +265,12 @@ def dedup_substrings(docs: DataFrame, n: int = 13, details: tuple = (), **more)
     and all other columns stay, whatever their names."""
     names = docs.columns
     cut_of = repeated_windows(docs.select("doc_id", "text"), n, **more).toDF("id", "windows", "packed")
+    kinds, text_at = [f.dataType.simpleString() for f in docs.schema], names.index("text")
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    plain = plain.mapInArrow(_packed(text_at), ", ".join(f"c{i} {'binary' if i == text_at else k}" for i, k in enumerate(kinds)))
     joined = plain.join(cut_of, plain[f"c{names.index('doc_id')}"] == cut_of["id"], "left").drop("id")
-    kinds = [f.dataType.simpleString() for f in docs.schema] + ["bigint", "bigint", "string"]
-    out = joined.mapInArrow(_strip(n, names.index("text")), ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
+    kinds += ["bigint", "bigint", "string"]
+    out = joined.mapInArrow(_strip(n, text_at), ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
     kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in details]
     return out.select(*kept, *[F.col(f"c{len(names) + i}").alias(c) for i, c in enumerate(details)])
 

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import itertools
+import random
 import re
 from fractions import Fraction
 
@@ -478,3 +479,16 @@ def test_simhash_broadcasts_no_table_that_grows(spark, monkeypatch):
     assert got.where("component_id < doc_id").count() >= 80
     seen(got)
     assert sum("Join" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_substring_texts_travel_packed(spark):
+    """What is moved to the windows is under two thirds of a prose; null and empty texts come back as they are."""
+    words = [f"{a}{b}" for a in ("river", "stone", "quiet", "market", "after") for b in ("", "s", "ing", "ed", "ly", "less")]
+    pick = random.Random(4)
+    texts = [" ".join(pick.choice(words) for _ in range(300)) for _ in range(20)] + ["", None, "é 😀".encode("utf-16", "surrogatepass").decode("utf-16")]
+    for t in filter(None, texts):
+        assert substrings.unpack(substrings.pack(t.encode())) == t.encode()
+    assert sum(len(substrings.pack(t.encode())) for t in texts[:20]) < sum(map(len, texts[:20])) * 2 / 3
+    docs = spark.createDataFrame([(i, t, i * 2) for i, t in enumerate(texts + texts[:1])], "doc_id bigint, text string, more int")
+    got = {r.doc_id: (r.text, r.more) for r in substrings.dedup_substrings(docs).collect()}
+    assert got == {**{i: (t, i * 2) for i, t in enumerate(texts)}, 23: ("", 46)}
