@@ -3,10 +3,11 @@ import os
 import random
 import time
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from granary.sources.shared import new_folder, ship_package
-from granary.streaming.traces import SPAN, dropped, read_traces, write_traces
+from granary.streaming.traces import SPAN, Traces, dropped, read_traces, write_traces
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -62,3 +63,32 @@ def test_traces_in_any_order_and_over_a_restart(spark, tmp_path):
     # Nothing is given out again.
     run(spark, tmp_path, out, checkpoint, **more)
     assert read_traces(spark, out).where("trace_id <> 'flush'").agg(F.count("*")).first()[0] == len(got)
+
+
+def test_a_trace_has_one_timer_and_keeps_sums():
+    """Each call to the state costs; a timer that fires before the trace is due is set anew."""
+    calls, held = [], {}
+
+    class Head:
+        get = staticmethod(lambda: held.get("head"))
+        update = staticmethod(lambda v: held.update(head=v))
+        clear = staticmethod(held.clear)
+
+    class Handle:
+        getValueState = staticmethod(lambda *_: Head)  # noqa: N815
+        registerTimer = staticmethod(calls.append)  # noqa: N815
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    t = Traces(60, 600)
+    t.init(Handle)
+    for i in range(3):
+        row = Row(span_id=f"s{i}", kind="k", at=(100 + 10 * i) * 1_000_000, seconds=0.5, error=None, spans=None)
+        assert list(t.handleInputRows(("t",), [row, row], Now(0))) == []
+    assert calls == [160_000] and held["head"][7] == [("k", 3, 1.5)]
+    assert list(t.handleExpiredTimer(("t",), Now(170_000), None)) == [] and calls == [160_000, 180_000]
+    (given,) = t.handleExpiredTimer(("t",), Now(180_000), None)
+    assert (given.status, given.n_spans, given.n_repeated, given.seconds) == ("incomplete", 3, 3, 1.5) and calls[2:] == [780_000]
+    assert list(t.handleExpiredTimer(("t",), Now(780_000), None)) == [] and not held
