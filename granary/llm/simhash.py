@@ -5,12 +5,15 @@ which, for every length k, the first k of m segments differ at no more than floo
 pigeonholes only give the first of these conditions).
 
 Exact links of 64-bit fingerprints at D = 2 (``near_duplicates``): three segments of 22, 21 and 21 bits have budgets 0, 1
-and 2, so a chain's first segment is equal, and its second within one bit. The chain itself makes the candidates: each
-fingerprint stands under its three exact keys (start, next) and is looked for under the keys whose second segment is
-changed in one bit or none. Keys have 42 bits and more, so few candidates reach the full Hamming check, the chain's last
-condition. Only different fingerprints are compared. Members of keys with more than BUCKET fingerprints (clouds of near
-copies) are linked without pairs and exactly: two fingerprints differ at 2 bits or fewer just when some value lies within
-one bit of both, so each member emits its 65 values and links to the smallest member of each. Nothing is capped or dropped.
+and 2, so a chain's first segment is equal, and its second within one bit; so one half of the second is equal too. Each
+fingerprint stands under six keys of 31 to 33 bits (start, half: first segment and that half), which are counted in one
+shuffle; those it shares with none go no further, the others' pairs meet the full Hamming check, the chain's last
+condition. Only different fingerprints are compared. Where a half key has more than HALVES * BUCKET fingerprints, the whole
+chain makes its members' candidates: each stands under its three exact keys (start, next) and is looked for under the keys
+whose second segment is changed in one bit or none, 42 bits and more. Members of those keys with more than BUCKET fingerprints
+(clouds of near copies) are linked without pairs and exactly: two fingerprints differ at 2 bits or fewer just when some value
+lies within one bit of both, so each member emits its 65 values and links to the smallest member of each. Nothing is capped or
+dropped.
 
 Texts of similarity 0.8 or more (``granary.llm.near``) differ at about 15 % of their bits, where no key made of segments
 selects; there the rule prunes candidate pairs of wide fingerprints (``ring_passes``).
@@ -29,13 +32,15 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import cut, spread_join, table
 
 #: (lowest bit, width) of the three segments of 64 bits.
 RING, BUCKET = ((0, 22), (22, 21), (43, 21)), 64
+#: Half keys bear so many times BUCKET: pairs cost less there than the 70 rows of the whole chain's keys.
+HALVES = 4
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -95,6 +100,13 @@ def _key(start: int) -> Column:
     return F.shiftleft(first, 22).bitwiseOR(second).bitwiseOR(F.lit(start << 60))
 
 
+def half_keys(prints: DataFrame) -> DataFrame:
+    """Rows (fp, key): a chain's start, its first segment and one half of its second, for each start and half."""
+    low = [(1 << (RING[(start + 1) % 3][1] + 1) // 2) - 1 for start in range(3)]
+    halves = [_key(start).bitwiseAND(F.lit(~hidden)).bitwiseOR(F.lit(half << 62)) for start in range(3) for half, hidden in enumerate((low[start], ((1 << 22) - 1) ^ low[start]))]
+    return prints.select("fp", F.explode(F.array(*halves)).alias("key"))
+
+
 def chain_keys(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (fp, key): the exact keys, and the keys with the second segment as it is and with each bit turned."""
     exact = prints.select("fp", F.explode(F.array(*[_key(s) for s in range(3)])).alias("key"))
@@ -110,16 +122,19 @@ def links(prints: DataFrame, most: int = 2) -> DataFrame:
     """Edges (a, b), a < b, that join all fingerprints linked at up to ``most`` = 2 differing bits (and only those)."""
     if most != 2:
         raise ValueError("the segments are laid out for 2 bits")
-    exact, looked = chain_keys(prints)
+    within = lambda pairs: pairs.where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most).select("a", "b")
+    shared = cut(half_keys(prints).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
+    few = shared.where(F.col("n") <= HALVES * BUCKET)
+    met = within(few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")).hint("merge"), "key"))
+    exact, looked = chain_keys(shared.where(F.col("n") > HALVES * BUCKET).select("fp").distinct())
     large = cut(exact.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("key")).hint("merge")
-    pairs = exact.join(large, "key", "left_anti").withColumnRenamed("fp", "a").join(looked.withColumnRenamed("fp", "b").hint("merge"), "key").where("a < b")
-    near = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most).select("a", "b")
+    near = within(exact.join(large, "key", "left_anti").withColumnRenamed("fp", "a").join(looked.withColumnRenamed("fp", "b").hint("merge"), "key"))
     crowded = looked.join(large, "key", "left_semi").select("fp").distinct()
     ball = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     around = crowded.select("fp", F.explode(ball).alias("mid"))
     least = around.groupBy("mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("mid", "a")
     stars = around.join(least.hint("merge"), "mid").where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b"))
-    return near.unionByName(stars).distinct()
+    return met.unionByName(near).unionByName(stars).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

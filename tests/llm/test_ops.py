@@ -481,6 +481,37 @@ def test_simhash_broadcasts_no_table_that_grows(spark, monkeypatch):
     assert sum("Join" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
 
 
+@pytest.mark.parametrize("bucket, halves", [(1 << 20, 4), (2, 1), (2, 0)])
+def test_simhash_half_keys_lose_no_link(spark, monkeypatch, bucket, halves):
+    """Every way to turn one or two bits, by half keys, by the whole chain's keys, and by values within one bit of both."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "HALVES", halves)
+    base = 0x1234_5678_9ABC_DEF0
+    turned = np.array([base ^ (1 << i) ^ (1 << j if j < i else 0) for i in range(64) for j in range(i + 1)] + [base], np.uint64)
+    prints = np.unique(turned.view(np.int64))
+    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(int(x),) for x in prints], "fp bigint")).collect()}
+    far = np.bitwise_count((prints[:, None] ^ prints[None, :]).view(np.uint64))
+    want = {(int(prints[i]), int(prints[j])) for i, j in zip(*np.nonzero(far <= 2)) if i < j}
+    assert len(prints) == 2081 and got <= want
+    assert got == want if bucket > 2 else len({r.root for r in simhash.components(spark.createDataFrame(sorted(got), "a bigint, b bigint")).collect()}) == 1
+
+
+def test_simhash_shuffles_few_rows_a_fingerprint(spark):
+    """Of fingerprints that link with nothing, six keys are moved for each."""
+    sc = spark.sparkContext
+
+    def moved():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    rng = np.random.default_rng(14)
+    prints = spark.createDataFrame([(int(x),) for x in rng.integers(-(2**63), 2**63 - 1, 3000)], "fp bigint")
+    before = moved()
+    assert simhash.links(prints).collect() == []
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    assert 6 * 3000 <= moved() - before < 7 * 3000
+
+
 def test_substring_texts_travel_packed(spark):
     """What is moved to the windows is under two thirds of a prose; null and empty texts come back as they are."""
     words = [f"{a}{b}" for a in ("river", "stone", "quiet", "market", "after") for b in ("", "s", "ing", "ed", "ly", "less")]
