@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.sources.shared import cut
+from granary.sources.shared import cut_packed
 
 
 class Scan:
@@ -96,7 +96,7 @@ def scan(rows: DataFrame, key: str, order: list[str], how: Scan, parts: int | No
 
     spark, part = rows.sparkSession, f"_part_{uuid.uuid4().hex}"
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(rows.repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order).withColumn(part, F.spark_partition_id()))
+    placed = cut_packed(rows.repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order).withColumn(part, F.spark_partition_id()))
     light = placed.select(F.col(key).alias("k"), F.col(part).alias("p"), *[F.col(c).alias(f"i{i}") for i, c in enumerate(how.inputs)])
     found = light.mapInArrow(_summaries(how), "part int, first binary, last binary, single boolean, summary binary").orderBy("part").collect()  # one a range
     starts, state, before = {}, None, None

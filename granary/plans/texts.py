@@ -9,7 +9,6 @@ from granary.operators import blocks as B
 from granary.operators import chunking as C
 from granary.operators.longdocs import long_chunks as long_chunk_rows
 from granary.operators.longdocs import long_sections as long_section_rows
-from granary.operators.longdocs import with_headings as long_headings
 from granary.plans.registry import query
 from granary.sources.tables import table
 
@@ -174,7 +173,7 @@ BOUND = f"SELECT {BOOK} AS doc_id, documents.doc_id * 100000 + o - 1 AS i, trim(
 @query(f"WITH {PARTS.replace(LINES, BOUND)} SELECT doc_id, CAST(section AS BIGINT) AS section, array_to_string(section_path, ' > ') AS section_path, CAST(page_num AS INTEGER) AS page_num, text FROM s")
 def long_sections(spark, sf_dir):
     """The sections of books, whose blocks lie in many tasks."""
-    got = long_section_rows(long_headings(blocks_with_headings(spark, sf_dir, BOOK)))
+    got = long_section_rows(blocks_with_headings(spark, sf_dir, BOOK))
     return got.withColumn("section_path", F.array_join("section_path", " > "))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,6 +34,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _pack(batches):
+    for b in batches:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(b)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rows"])
+
+
+def _unpack(batches):
+    for b in batches:
+        for rows in b.column(0):
+            yield from pa.ipc.open_stream(rows.as_buffer())
+
+
+def cut_packed(df: DataFrame) -> DataFrame:
+    """``cut`` in less room: a checkpoint keeps rows as they lie in memory, so each batch of them is one compressed value. Rows stay
+    in their partitions and order."""
+    return cut(df.mapInArrow(_pack, "rows binary")).mapInArrow(_unpack, df.schema)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder of any store that Spark reads."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
